@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, scratch_path
+from .common import documents, held_out, scratch_path
+from .ctw import score_texts
 from .pareto import pareto_mix, word_count
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .tiling import contaminated
 from .warc import dedup_plan, read_warc, write_warc
 
 
@@ -36,6 +38,10 @@ def op2_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), held_out(F.col("doc_id"), 7, 2)).drop("bits_per_byte")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -61,5 +67,10 @@ SELECT doc_id, size, n::BIGINT AS source_size, target,
        (size * (whole + CASE WHEN p > 0 AND 2 * rest >= 2 * upto - own THEN 1 ELSE 0 END))::BIGINT AS taken FROM q
 """
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op8_simhash, op9_pareto_mix)}
+def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return pairs.select("doc_id", "item_id", "coverage", F.lit(True).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op8_simhash, op9_pareto_mix, op10_greedy_tiling)}
 ORACLES = {"op1_warc_salvage": OP1_SQL, "op9_pareto_mix": OP9_SQL}
