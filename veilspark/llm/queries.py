@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, held_out, scratch_path
+from .crf import toxicity
 from .ctw import score_texts
 from .kneser_ney import quality
 from .pareto import pareto_mix, word_count
@@ -48,6 +49,12 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "lang", "words", "perplexity", "surprise", "threshold", "kept")
 
 
+def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    other = held_out(F.col("doc_id"), 3, 1)
+    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~other, with_spans=False).select("doc_id", other.alias("held_out"), "score", "predicted")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -78,5 +85,5 @@ def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "item_id", "coverage", F.lit(True).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op8_simhash, op9_pareto_mix, op10_greedy_tiling)}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op8_simhash, op9_pareto_mix, op10_greedy_tiling)}
 ORACLES = {"op1_warc_salvage": OP1_SQL, "op9_pareto_mix": OP9_SQL}
