@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .common import documents, held_out, scratch_path
 from .crf import toxicity
 from .ctw import score_texts
+from .decision_list import quality_rules
 from .kneser_ney import quality
 from .pareto import pareto_mix, word_count
+from .sanitise import find_private, span_text
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .tiling import contaminated
@@ -55,6 +57,17 @@ def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~other, with_spans=False).select("doc_id", other.alias("held_out"), "score", "predicted")
 
 
+def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = find_private(documents(spark, sf_dir))
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return spans.select("doc_id", number(0).alias("n_email"), number(1).alias("n_ip"), number(2).alias("n_card"), number(3).alias("n_phone"), F.sha2(span_text(F.col("spans"), 3), 256).alias("base_sha256"), span_text(F.col("spans"), 4).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -85,5 +98,5 @@ def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "item_id", "coverage", F.lit(True).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op8_simhash, op9_pareto_mix, op10_greedy_tiling)}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op6_decision_list, op7_sanitise, op8_simhash, op9_pareto_mix, op10_greedy_tiling)}
 ORACLES = {"op1_warc_salvage": OP1_SQL, "op9_pareto_mix": OP9_SQL}
