@@ -37,6 +37,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def others(df: DataFrame, own: list[str]) -> list[Column]:
+    """df's columns but those with a name (in any case) that the operator's own columns take."""
+    taken = {c.lower() for c in own}
+    return [df[c] for c in df.columns if c.lower() not in taken]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,11 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, others
 
 #: A-Z to lower case; ASCII punctuation and control characters to a blank.
 _TABLE = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
 SEGMENT = 32
+OWN = ["score", "predicted", "spans"]
 #: Raw scores are cut at this and 1 minus this before they are calibrated.
 LEAST = 1e-3
 
@@ -231,17 +232,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_0
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_000, threshold: float = 0.7, with_spans: bool = True) -> DataFrame:
-    """docs with score, predicted (1 from the threshold on) and spans (start, end in code points, p) of offending words.
+    """docs with score, predicted (1 from the threshold on) and spans (start, end in code points, p) of offending words, which replace columns of these names.
 
     ``usable`` says of a doc_id whether its labels may be learned from.  Null and empty texts have no spans and the score of a
     text without offending words.  Without toxic labels all scores are 0.  Rows that repeat get the same score.
     """
     model = train(docs, labels, usable, sample)
     if model is None:
-        return docs.select("*", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("array<struct<start:int,end:int,p:double>>").alias("spans"))
+        return docs.select(*others(docs, OWN), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("array<struct<start:int,end:int,p:double>>").alias("spans"))
     w = [float(x) for x in model["calibration"]]
-    scored = docs.withColumn("_t", toxicity_column(docs.sparkSession, {k: v for k, v in model.items() if k != "calibration"}, F.col("text"), with_spans))
-    cut = F.greatest(F.lit(LEAST), F.least(F.lit(1 - LEAST), F.col("_t.raw")))
+    scored = docs.withColumn("_crf_scored", toxicity_column(docs.sparkSession, {k: v for k, v in model.items() if k != "calibration"}, F.col("text"), with_spans))
+    cut = F.greatest(F.lit(LEAST), F.least(F.lit(1 - LEAST), F.col("_crf_scored.raw")))
     z = w[0] + w[1] * F.log(cut / (1 - cut))
     score = 1 / (1 + F.exp(-z))
-    return scored.select(*docs.columns, score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.col("_t.spans").alias("spans"))
+    return scored.select(*others(docs, OWN), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.col("_crf_scored.spans").alias("spans"))

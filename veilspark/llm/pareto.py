@@ -36,42 +36,58 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: i
     return dealt.select("source", "source_size", F.least("_cap", F.coalesce(F.col("_level"), F.lit(0.0)) * F.col("_w")).alias("target"))
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
+    """What the mix takes of each source: source, source_size, target, whole (certain copies), p (inclusion probability of
+    one more) and limit (the largest random number that is taken).
 
-    ``docs`` has an id, source and size (words; null counts as 0).  A document of a source with target / size = r gets
-    floor(r) certain copies; the fraction p left is its inclusion probability.  Its rank is its random odds over its
-    inclusion odds, (u / (1 - u)) / (p / (1 - p)); of each source the lowest ranks are taken, so many that their words come
-    nearest to what the certain copies leave of the target.  p is the same within a source, so ranks order as the random
-    numbers do, and a source's threshold can be searched digit by digit: three histograms of 256 bins, then the few rows
-    of the last bin.  No source passes through one task, however large.  Rows that repeat an id share its draw.  A null
-    source is a source.  An empty table gives an empty result.
+    ``docs`` has an id, source and size.  The threshold is searched digit by digit: three histograms of 256 bins, then the few
+    rows of the last bin, so no source passes through one task, however large.
     """
-    d = docs.select(F.col(id_col).alias("doc_id"), "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), uniform(F.col(id_col), seed).alias("_u"))
+    d = docs.select("source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), uniform(F.col(id_col), seed).alias("_u"))
     d = materialise(d, "mix-rows")
     targets = water_fill(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    state = targets.withColumn("_whole", F.floor(ratio)).withColumn("_p", ratio - F.col("_whole"))
-    state = materialise(state.withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size")).withColumn("_path", F.lit(0).cast("long")).withColumn("_base", F.lit(0).cast("long")), "mix-state")
+    state = targets.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.col("whole"))
+    state = materialise(state.withColumn("_left", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("_path", F.lit(0).cast("long")).withColumn("_base", F.lit(0).cast("long")), "mix-state")
     sums = state
     for level in range(1, LEVELS + 1):
         digits = F.shiftright(F.col("_u"), BITS - STEP * level)
         at = _near(d, sums).where(F.shiftright(digits, STEP) == F.col("_path")).groupBy("source", digits.alias("_bin")).agg(F.sum("size").alias("_n"), F.first("_base").alias("_base"), F.first("_left").alias("_left"))
         upto = F.col("_base") + F.sum("_n").over(W.partitionBy("source").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
         crossing = at.withColumn("_upto", upto).where(F.col("_upto") > F.col("_left"))
-        sums = crossing.groupBy("source").agg(F.min_by(F.struct("_bin", (F.col("_upto") - F.col("_n")).alias("b")), "_bin").alias("s"), F.first("_left").alias("_left")).select("source", "_left", F.col("s._bin").alias("_path"), F.col("s.b").alias("_base"))
+        first = crossing.groupBy("source").agg(F.min_by(F.struct("_bin", (F.col("_upto") - F.col("_n")).alias("b")), "_bin").alias("s"), F.first("_left").alias("_left"))
+        sums = materialise(first.select("source", "_left", F.col("s._bin").alias("_path"), F.col("s.b").alias("_base")), "mix-state")
     last = _near(d, sums).where(F.shiftright(F.col("_u"), BITS - STEP * LEVELS) == F.col("_path")).groupBy("source", "_u").agg(F.sum("size").alias("_n"), F.first("_base").alias("_base"), F.first("_left").alias("_left"))
     upto = F.col("_base") + F.sum("_n").over(W.partitionBy("source").orderBy("_u").rowsBetween(W.unboundedPreceding, 0))
     # A number is in if the sum with it is nearer to the target than the sum without it.
     ends = last.withColumn("_upto", upto).groupBy("source").agg(F.max(F.when(2 * F.col("_left") >= 2 * F.col("_upto") - F.col("_n"), F.col("_u"))).alias("_in"), F.min("_u").alias("_low"))
     full = state.join(ends, state["source"].eqNullSafe(ends["source"]), "left").drop(ends["source"])
-    # No bin crosses the target: all are in if there is something left to take, else none.
-    limit = F.when(F.col("_low").isNull(), F.when(F.col("_p") > 0, F.lit(1 << BITS)).otherwise(F.lit(-1))).otherwise(F.coalesce(F.col("_in"), F.col("_low") - 1))
-    full = full.select("source", "source_size", "target", "_whole", "_p", limit.alias("_limit"))
-    u = (F.col("_u") + 0.5) / float(1 << BITS)
-    odds = F.when(F.col("_p") > 0, (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p"))))
-    copies = (F.col("_whole") + F.when((F.col("_p") > 0) & (F.col("_u") <= F.col("_limit")), 1).otherwise(0)).cast("long")
-    return _near(d, full).select("doc_id", d["source"], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), odds.alias("pareto_rank"))
+    # No bin crosses the target: all are in.
+    limit = F.when(F.col("p") <= 0, F.lit(-1)).when(F.col("_low").isNull(), F.lit(1 << BITS)).otherwise(F.coalesce(F.col("_in"), F.col("_low") - 1))
+    return materialise(full.select("source", "source_size", "target", "whole", "p", limit.alias("limit")), "mix-plan")
+
+
+def copies_of(plan: DataFrame, docs: DataFrame, seed: str = "mix", id_col: str = "doc_id") -> tuple[DataFrame, Column, Column]:
+    """docs with their source's plan as struct _plan; how often each is taken; its Pareto rank."""
+    joined = _near(docs, plan.select("source", F.struct(*(c for c in plan.columns if c != "source")).alias("_plan")))
+    number, p = uniform(F.col(id_col), seed), F.col("_plan.p")
+    u = (number + 0.5) / float(1 << BITS)
+    rank = F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    return joined, (F.col("_plan.whole") + F.when(number <= F.col("_plan.limit"), 1).otherwise(0)).cast("long"), rank
+
+
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", id_col: str = "doc_id") -> DataFrame:
+    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken, pareto_rank.
+
+    ``docs`` has an id, source and size (words; null counts as 0).  A document of a source with target / size = r gets
+    floor(r) certain copies; the fraction p left is its inclusion probability.  Its rank is its random odds over its
+    inclusion odds, (u / (1 - u)) / (p / (1 - p)); of each source the lowest ranks are taken, so many that their words come
+    nearest to what the certain copies leave of the target.  p is the same within a source, so ranks order as the random
+    numbers do.  Rows that repeat an id share its draw.  A null source is a source.  An empty table gives an empty result.
+    """
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")), "mix-docs")
+    joined, copies, rank = copies_of(plan_mix(rows, weights, most, seed), rows, seed)
+    return joined.select("doc_id", "source", "size", "_plan.source_size", "_plan.target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), rank.alias("pareto_rank"))
 
 
 def _near(rows: DataFrame, by_source: DataFrame) -> DataFrame:

@@ -200,3 +200,14 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = joined.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(by_print, prints["fp"] == by_print["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = 3, size: int = 3, text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: the first row of each group stays.
+
+    Rows are numbered when they are written once, so null and repeated ids don't matter.
+    """
+    rows = materialise(docs.withColumn("_simhash_row", F.monotonically_increasing_id()), "simhash-docs")
+    groups = near_duplicates(rows, radius, size, "_simhash_row", text_col)
+    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_simhash_row"))
+    return rows.join(dropped, "_simhash_row", "left_anti").select(*docs.columns)

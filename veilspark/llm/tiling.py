@@ -16,10 +16,13 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A-Z to lower case; ASCII punctuation and control characters to a blank.
 _TABLE = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
@@ -110,27 +113,29 @@ class SeedIndex:
             yield item_id, sum(t[2] for t in out) / len(own), out
 
 
+def _blocks(benchmark: DataFrame, min_words: int, block_bytes: int) -> Iterator[Broadcast]:
+    """Indexes of the benchmark's items, about block_bytes of text (one item at least) in each: they grow in number, not in size."""
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    for b in range(blocks):
+        # One block of bounded size passes through the driver.
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(SeedIndex([(r["item_id"], bytes(r["text"])) for r in block], min_words)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
     """Pairs doc_id, item_id, coverage, tiles (structs item_at, doc_at, words) of documents that hold that much of a test.
 
-    The benchmark goes to the executors in blocks of about block_bytes of text (one item at least), each block being held
-    against all documents: blocks grow in number, not in size.  Null or empty texts and items match nothing.  Items
-    that repeat are reported once each; rows that repeat an id are reported once each.
+    Each block of the benchmark is held against all documents.  Null or empty texts and items match nothing.  Items that
+    repeat are reported once each; rows that repeat an id are reported once each.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, coverage double, tiles array<struct<item_at:int,doc_at:int,words:int>>"
-    tile_type = pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("words", pa.int32())]))
-    out = []
-    for b in range(blocks):
-        # One block of bounded size passes through the driver.
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(cloudpickle.dumps(SeedIndex([(r["item_id"], bytes(r["text"])) for r in block], min_words)))
+    item_type = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, coverage double, tiles array<struct<item_at:int,doc_at:int,words:int>>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def scanner(index: Broadcast):
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seeds = pickle.loads(index.value)
             for batch in batches:
                 who, which, covered, where = [], [], [], []
@@ -141,10 +146,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, cove
                             which.append(item_id)
                             covered.append(share)
                             where.append([{"item_at": i, "doc_at": d, "words": n} for i, d, n in found])
-                ids = batch.column(0).take(pa.array(who, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(which), pa.array(covered, pa.float64()), pa.array(where, tile_type)], names=["doc_id", "item_id", "coverage", "tiles"]) if who else pa.RecordBatch.from_arrays(
-                    [ids, pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], tile_type)], names=["doc_id", "item_id", "coverage", "tiles"]
-                )
+                columns = [batch.column(0).take(pa.array(who, pa.int64())), *(pa.array(x, arrow.field(c).type) for c, x in (("item_id", which), ("coverage", covered), ("tiles", where)))]
+                yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+
+        return scan
+
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(scanner(index), schema) for index in _blocks(benchmark, min_words, block_bytes)])
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, coverage: float = 0.8, text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
+    """The rows of docs that hold less than that much of every test, decided row by row without a shuffle."""
+
+    def most(index: Broadcast):
+        @F.pandas_udf("double")
+        def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            seeds = pickle.loads(index.value)
+            for series in batches:
+                yield pd.Series([max((c for _, c, _ in seeds.matches(text)), default=0.0) for text in series], dtype="float64")
+
+        return share(F.col(text_col).cast("binary"))
 
-        out.append(rows.mapInArrow(scan, schema))
-    return reduce(DataFrame.unionByName, out)
+    for index in _blocks(benchmark, min_words, block_bytes):
+        docs = docs.where(most(index) < coverage)
+    return docs
