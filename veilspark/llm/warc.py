@@ -114,6 +114,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
         if not colon:
             return None, at, "bad header line"
         fields.setdefault(name.strip().lower(), value.strip())
+    if not {"warc-type", "warc-record-id", "warc-date"} <= fields.keys():
+        return None, at, "mandatory field missing"
     size = fields.get("content-length", "")
     if not re.fullmatch("[0-9]{1,18}", size):
         return None, at, "bad content length"
