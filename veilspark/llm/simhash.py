@@ -202,12 +202,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str
     return prints.join(by_print, prints["fp"] == by_print["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, radius: int = 3, size: int = 3, text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: the first row of each group stays.
+def one_of_each_group(docs: DataFrame, radius: int = 3, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each group the row with the smallest id stays (null ids last, then by text).
 
-    Rows are numbered when they are written once, so null and repeated ids don't matter.
+    Rows are numbered when they are written once, so null and repeated ids don't matter; reruns keep the same documents.
     """
     rows = materialise(docs.withColumn("_simhash_row", F.monotonically_increasing_id()), "simhash-docs")
-    groups = near_duplicates(rows, radius, size, "_simhash_row", text_col)
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_simhash_row"))
+    groups = near_duplicates(rows, radius, size, "_simhash_row", text_col).select(F.col("doc_id").alias("_simhash_row"), "component_id")
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col("_simhash_row"))
+    ranked = materialise(groups.join(rows.select("_simhash_row", rank.alias("_rank")), "_simhash_row"), "simhash-ranked")
+    best = ranked.groupBy("component_id").agg(F.min("_rank").alias("_best"))
+    dropped = ranked.join(best, "component_id").where(~F.col("_rank").eqNullSafe(F.col("_best"))).select("_simhash_row")
     return rows.join(dropped, "_simhash_row", "left_anti").select(*docs.columns)
