@@ -210,7 +210,7 @@ def one_of_each_group(docs: DataFrame, radius: int = 3, size: int = 3, id_col: s
     rows = materialise(docs.withColumn("_simhash_row", F.monotonically_increasing_id()), "simhash-docs")
     groups = near_duplicates(rows, radius, size, "_simhash_row", text_col).select(F.col("doc_id").alias("_simhash_row"), "component_id")
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col("_simhash_row"))
-    ranked = materialise(groups.join(rows.select("_simhash_row", rank.alias("_rank")), "_simhash_row"), "simhash-ranked")
-    best = ranked.groupBy("component_id").agg(F.min("_rank").alias("_best"))
-    dropped = ranked.join(best, "component_id").where(~F.col("_rank").eqNullSafe(F.col("_best"))).select("_simhash_row")
-    return rows.join(dropped, "_simhash_row", "left_anti").select(*docs.columns)
+    ranked = groups.join(rows.select("_simhash_row", rank.alias("_rank")), "_simhash_row")
+    # The best rank names its row, so rows are picked by their own number and never meet on a large group's id.
+    best = ranked.groupBy("component_id").agg(F.min("_rank").alias("_best")).select("_best._simhash_row")
+    return rows.join(best, "_simhash_row", "left_semi").select(*docs.columns)
