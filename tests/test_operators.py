@@ -1,9 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import corpus, evaluate, gate, pii, quasi
+from veilspark.functions import fixed
+from veilspark.operators import corpus, evaluate, gate, pii, population, quasi
+from veilspark.streaming import incremental
 
 RANK = {"direct_identifier": 1, "strong_identifier": 2, "quasi_identifier": 3, "contextual": 4}
 
@@ -65,3 +68,44 @@ def test_blocks(spark):
 def test_upper_median(spark, n, want):
     rows = spark.createDataFrame([("x" * k,) for k in (3, 5, 7, 9)[:n]], "text string")
     assert corpus.length_stats(rows).first()["upper_median"] == want
+
+
+def _speaks_of_person(title, text):
+    sample = title + " " + text[:2000]
+    if re.search(fixed.PRONOUNS, sample.lower()) or set(re.findall(r"\b[a-z]+\b", sample.lower())) & set(fixed.PERSON_WORDS) or re.search(fixed.HONORIFICS, sample, re.I):
+        return True
+    return any(a not in fixed.NO_NAMES and b not in fixed.NO_NAMES for a, b in re.findall(fixed.NAME, sample))
+
+
+def test_mentions_of_persons(spark):
+    texts = ["Dr. Smith met", "Mary Jones; x", "New York and Great Britain", "it ended. Anna Lee", "the farmers", "the farmer", "stone and river", "st Andrew", "x" * 2000 + " she", "", "man_y women's", "é man"]
+    rows = spark.createDataFrame([(i, "A title", t) for i, t in enumerate(texts)], "i int, title string, text string")
+    got = {r["i"]: r["m"] for r in rows.select("i", corpus.mentions_person(F.col("title"), F.col("text")).alias("m")).collect()}
+    assert got == {i: _speaks_of_person("A title", t) for i, t in enumerate(texts)}
+
+
+def test_occupations(spark):
+    docs = spark.createDataFrame([(1, "The CEO asked a registered nurse"), (2, "a zoologist"), (3, "none")], "doc_id long, text string")
+    got = {(r["doc_id"], r["value"], r["start"], r["end"], r["detector"]) for r in quasi.detect(docs).where("qi_type = 'occupation'").collect()}
+    assert got == {(1, "healthcare_practitioners", 27, 32, "keyword"), (2, "zoologist", 2, 11, "keyword"), (2, "zoologist", 2, 11, "gazetteer")}
+
+
+def test_population(spark):
+    census = spark.createDataFrame([("male_under_5", 10), ("female_15_17", 4), ("female_18_19", 6), ("male_85_plus", 5), ("male_60_61", 0), ("total", 99)], "variable string, count long")
+    one, two = population.age_by_sex(census, 25, "census")
+    assert {(r["qi_value"], r["count"]) for r in one.collect()} == {("male", 15), ("female", 10), ("0-4", 10), ("15-19", 10), ("85+", 5), ("60-64", 0)}
+    assert {(r["age_5yr"], r["sex"], r["frequency"]) for r in two.collect()} == {("0-4", "male", 0.4), ("15-19", "female", 0.4), ("85+", "male", 0.2)}
+    rows = {(r["qi_type"], r["qi_value"]): r for r in population.published(spark).collect()}
+    assert rows[("health_condition", "stroke")]["count"] + rows[("health_condition", "no_stroke")]["count"] == 258000000 and ("health_behavior", "no_short_sleep") not in rows
+    assert rows[("education", "ged")]["count"] == 13240000 and abs(sum(r["frequency"] for (t, _), r in rows.items() if t == "occupation") - 1) < 1e-9
+    classes = population.prevalence_classes(spark.createDataFrame([("<1/100", 3), ("<1/100", 1), (">1/10", 4)], "prevalence_class string, count long"), "x")
+    assert {(r["qi_value"], r["count"], r["frequency"]) for r in classes.collect()} == {("lt_1_per_100", 4, 0.5), ("gt_1_per_10", 4, 0.5)}
+    assert population.from_counts(census.where("false").select(F.col("variable").alias("qi_value"), "count"), "a", "b").count() == 0
+
+
+def test_streamed_counts(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id * 7) AS ts, concat('t', id % 2) AS event_type, double(id) AS value FROM range(100)")
+    rows.repartition(3).write.parquet(f"{tmp_path}/events")
+    got = {(str(r["window"]["start"]), r["event_type"]): (r["n"], r["total"]) for r in incremental.run_windowed_counts(spark, f"{tmp_path}/events").collect()}
+    want = {(str(r["h"]), r["event_type"]): (r["n"], r["t"]) for r in rows.groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("t")).collect()}
+    assert got == want

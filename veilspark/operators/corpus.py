@@ -25,7 +25,13 @@ def sensitive(text: Column) -> Column:
 
 
 def mentions_person(title: Column, text: Column) -> Column:
-    return F.rlike(F.lower(F.concat_ws(" ", title, F.substring(text, 1, 2000))), F.lit(pattern_of(fixed.PRONOUNS)))
+    """Whether the title or the first 2000 characters hold a pronoun, a word for persons, an honorific or a name of two words."""
+    sample = F.concat(title, F.lit(" "), F.substring(text, 1, 2000))
+    part = lambda g: F.regexp_extract_all(sample, F.lit(pattern_of(fixed.NAME, False)), F.lit(g))
+    no_name = F.array(*map(F.lit, fixed.NO_NAMES))
+    words = rf"\b(?:{'|'.join(fixed.PERSON_WORDS)})\b"
+    names = F.exists(F.arrays_zip(part(1).alias("a"), part(2).alias("b")), lambda n: ~F.array_contains(no_name, n["a"]) & ~F.array_contains(no_name, n["b"]))
+    return F.rlike(F.lower(sample), F.lit(f"(?U){fixed.PRONOUNS}|{words}")) | F.rlike(sample, F.lit(pattern_of(fixed.HONORIFICS))) | names
 
 
 def good_articles(articles: DataFrame, least: int = 1000) -> DataFrame:

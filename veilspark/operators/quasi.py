@@ -39,11 +39,16 @@ def _places(text: Column, values: dict[str, str]) -> Column:
     return F.flatten(F.transform(F.array(F.lower(text)), spans))
 
 
-def detect(docs: DataFrame) -> DataFrame:
-    """doc_id, qi_type, value, start, end, confidence, granularity, unseen, detector, ord for every quasi-identifier found."""
+def _first_of(text: Column, values: dict[str, str]) -> Column:
+    """The first place of the first word, in the table's order, that the lower-cased text holds."""
+    return F.slice(_places(text, values), 1, 1)
+
+
+def detect(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """doc_id, qi_type, value, start, end, confidence, granularity, unseen, detector, ord for every quasi-identifier found (of these types only)."""
     text = F.col("text")
-    parts: list[Column] = []
-    add = lambda *a, **k: parts.append(_rows(a[0], len(parts), *a[1:], **k))
+    parts: list[tuple[str, Column]] = []
+    add = lambda *a, **k: parts.append((a[0], _rows(a[0], len(parts), *a[1:], **k)))
     bucket = lambda s: F.when(s["group"].cast("int") <= 120, F.concat((F.floor(s["group"].cast("int") / 5) * 5).cast("string"), F.lit("-"), (F.floor(s["group"].cast("int") / 5) * 5 + 4).cast("string")))
     lower = lambda s: F.lower(s["group"])
     for p in fixed.AGE:
@@ -58,6 +63,7 @@ def detect(docs: DataFrame) -> DataFrame:
     add("race", matches(text, pattern_of(fixed.RACE), 1), race, 0.78, unseen=lambda s: lower(s).isin(fixed.RACE_UNSEEN))
     add("state", _places(text, fixed.STATES), lambda s: s["group"], 0.88, "state", detector="gazetteer")
     add("state", matches(text, pattern_of(fixed.STATE_CODE, False), 1), lambda s: F.when(s["group"].isin(sorted(set(fixed.STATES.values()))), s["group"]), 0.75, "state")
+    add("occupation", _first_of(text, fixed.OCCUPATIONS), lambda s: s["group"], 0.8, "occupation_broad", detector="keyword")
     for kind, patterns, confidence, grain in (("date", fixed.DATES, 0.85, "full_date"), ("time", fixed.TIMES, 0.8, "time"), ("datetime", fixed.STAMP_FORMS, 0.9, "datetime")):
         for p in patterns:
             add(kind, matches(text, pattern_of(p)), lambda s: s["value"], confidence, grain)
@@ -69,7 +75,7 @@ def detect(docs: DataFrame) -> DataFrame:
         add("education", F.slice(matches(text, pattern_of(p)), 1, 1), _fixed_value(value), 0.8)
     for p, value in fixed.EMPLOYMENT:
         add("employment", F.slice(matches(text, pattern_of(p)), 1, 1), _fixed_value(value), 0.82)
-    return docs.select("doc_id", F.explode(F.concat(*parts)).alias("q")).select("doc_id", "q.*")
+    return docs.select("doc_id", F.explode(F.concat(*(part for kind, part in parts if types is None or kind in types))).alias("q")).select("doc_id", "q.*")
 
 
 def dedup(found: DataFrame) -> DataFrame:

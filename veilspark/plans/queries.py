@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.spans import pattern_of
-from ..operators import corpus, evaluate, frequency, gate, pii, quasi
+from ..operators import corpus, evaluate, frequency, gate, pii, population, quasi
+from ..streaming.incremental import run_windowed_counts
 
 _FACTS = ["balance", "nation", "segment"]
 
@@ -338,3 +339,27 @@ def length_stats(spark, sf_dir):
 def source_histogram(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return rounded(docs.groupBy("source").agg(F.count("*").alias("n")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("t")))).select("source", "n", (100 * F.col("n") / F.col("t")).alias("pct")))
+
+
+@register("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def streamed_event_counts(spark, sf_dir):
+    """Event counts by hour and type, streamed with a watermark and a checkpoint."""
+    # A glob: the table may be one file, and a stream's plain path must be a folder.
+    rows = run_windowed_counts(spark, f"{sf_dir}/events*.parquet")
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@register("""SELECT c_mktsegment AS qi_value, count(*) AS count, round(p, 6) AS frequency, round(greatest(0, m - s), 6) AS lower_bound, round(least(1, m + s), 6) AS upper_bound FROM customer JOIN
+ (SELECT c_mktsegment, p, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) AS m, 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n) / (1 + 3.8416 / n) AS s
+  FROM (SELECT c_mktsegment, count(*) / (SELECT count(*) FROM customer) AS p, (SELECT count(*)::DOUBLE FROM customer) AS n FROM customer GROUP BY 1)) USING (c_mktsegment) GROUP BY ALL""")
+def segment_marginals(spark, sf_dir):
+    """Shares of counted groups with Wilson's bounds, as for occupations."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("qi_value")).agg(F.count("*").alias("count"))
+    return rounded(population.from_counts(counts, "segment", "customer").select("qi_value", "count", "frequency", "lower_bound", "upper_bound"))
+
+
+@register("SELECT doc_id, v.value AS occupation FROM (SELECT doc_id, list_filter([" + ", ".join(f"{{'word': '{w}', 'value': '{v}'}}" for w, v in fixed.OCCUPATIONS.items()) + "], lambda x: contains(lower(text), x.word))[1] AS v FROM documents) WHERE v IS NOT NULL")
+def occupations(spark, sf_dir):
+    """The occupation that each text speaks of first by the table's order."""
+    found = quasi.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), ["occupation"]).where("detector = 'keyword'")
+    return found.select("doc_id", F.col("value").alias("occupation"))
