@@ -83,4 +83,4 @@ def length_stats(samples: DataFrame) -> DataFrame:
     """total, least, most, mean and upper median of the texts' lengths."""
     n = F.length("text")
     # The median of even counts is the upper one: that of the negated lengths from below.
-    return samples.agg(F.count("*").alias("total"), F.min(n).alias("least"), F.max(n).alias("most"), F.avg(n).alias("mean"), (-F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -length(text))")).alias("upper_median"))
+    return samples.agg(F.count("*").alias("total"), F.min(n).alias("least"), F.max(n).alias("most"), F.avg(n).alias("mean"), (-F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY -length(text))")).cast("long").alias("upper_median"))
