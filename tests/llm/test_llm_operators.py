@@ -164,6 +164,28 @@ def test_kneser_ney(spark, docs, labels):
     assert a < b
 
 
+def test_thresholds_cover_all_trusted(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["the", "tree", "river", "stone"]) for _ in range(rng.randrange(5, 60))), "de" if i % 4 else "en") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = spark.createDataFrame([(i, 1) for i in range(400)], "doc_id long, quality int")
+    got = kneser_ney.quality(d, good, sample=60).collect()
+    fit = {r["doc_id"] for r in kneser_ney.fit_sample(kneser_ney.trusted(good), 60).collect()}
+    assert len(fit) == 60
+    for lang in ("de", "en"):
+        own = [r for r in got if r["lang"] == lang]
+        want = np.quantile([r["surprise"] for r in own if r["doc_id"] not in fit], 0.995)
+        assert {round(r["threshold"], 6) for r in own} == {round(want, 6)}
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(6)
+    rows = [("a", rng.gauss(5, 2)) for _ in range(999)] + [("b", 3.25)] * 300 + [(None, float(i)) for i in range(7)] + [("c", 1.5)]
+    for q in (0.5, 0.995, 1.0):
+        got = {r["lang"]: r["t"] for r in kneser_ney.exact_quantiles(spark.createDataFrame(rows, "lang string, h double"), q).collect()}
+        assert got.keys() == {"a", "b", "c", None} and all(abs(t - np.quantile([h for x, h in rows if x == g], q)) < 1e-9 for g, t in got.items())
+
+
 def test_toxicity(spark, docs, labels):
     rows = {r["doc_id"]: r for r in crf.toxicity(docs, labels, ~held_out(F.col("doc_id"), 3, 1)).collect()}
     assert all(rows[i]["predicted"] == int(i % 7 == 0) for i in range(80))
