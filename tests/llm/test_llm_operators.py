@@ -230,3 +230,10 @@ def test_sanitise(spark, docs):
     clean = d.join(found, "doc_id").select("doc_id", sanitise_text(F.coalesce("text", F.lit("")), F.col("spans")).alias("t")).where("doc_id = 15").first()["t"]
     assert "[EMAIL]" in clean and "zorro" not in clean and "plain" in clean
     assert find_private(empty(spark, d)).count() == 0
+
+
+def test_sanitise_whole_texts(spark):
+    rows = [(i, "Zorro\n" + "plain things and went home " * 4 + f"x{i}@mail.org") for i in range(12)] + [(50 + i, "plain things and went home") for i in range(60)] + [(200, "home of Zorro and zorro")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == 4] for r in find_private(d).collect()}
+    assert all(terms[i] == [(0, 5)] for i in range(12)) and terms[200] == [(8, 13), (18, 23)] and not any(terms[50 + i] for i in range(60))

@@ -1,8 +1,8 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
-Base spans (email, ip, card, phone) are found by patterns.  Terms near them may give them away: how strongly a term
+Base spans (email, ip, card, phone) are found by patterns.  Terms of the same document may give them away: how strongly a term
 reveals a kind of entity is the pointwise mutual information of the two over the corpus, as a share of what the entity itself
-carries (1: the term occurs with it alone).  Terms above the disclosure thresholds are generalised or removed.
+carries (1: the term occurs with it alone).  Terms above the disclosure thresholds are generalised or removed wherever they stand.
 """
 
 from __future__ import annotations
@@ -80,54 +80,68 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def context_terms(text: Column, spans: Column, reach: int) -> Column:
-    """array<struct<kind, term, start, end>>: whole words within ``reach`` code points of a span, that overlap none."""
+#: Stands for a base span where words are counted; no text has this noncharacter.
+_CUT = "\ufdd0"
 
-    def around(s: Column) -> Column:
-        first = F.greatest(F.lit(0), s["start"] - reach)
-        snippet = F.substring(text, first + 1, s["end"] + reach - first)
-        words = _let(snippet, lambda x: F.transform(find_spans(x, WORD), lambda w: F.struct(w["start"].alias("a"), w["end"].alias("b"), w["value"].alias("value"), F.length(x).alias("n"))))
-        # A word that touches the cut may go on behind it.
-        whole = F.filter(words, lambda w: ((w["a"] > 0) | (first == 0)) & ((w["b"] < w["n"]) | (first + w["n"] >= F.length(text))))
-        return F.transform(whole, lambda w: F.struct(s["kind"].alias("kind"), F.lower(w["value"]).alias("term"), (first + w["a"]).alias("start"), (first + w["b"]).alias("end")))
 
-    every = F.flatten(F.transform(spans, around))
-    return F.array_distinct(F.filter(every, lambda w: ~F.exists(spans, lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))))
+def distinct_terms(text: Column, spans: Column) -> Column:
+    """The distinct words of a whole text, lower-cased, but those that overlap a span."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    add = lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.lit(_CUT)).alias("out"))
+    cut = F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    words = F.array_distinct(F.split(F.lower(cut), SPACE + "+"))
+    return F.filter(words, lambda w: (w != "") & ((F.size(spans) == 0) | ~F.contains(w, F.lit(_CUT))))
+
+
+def term_places(text: Column, spans: Column, strong: Column) -> Column:
+    """array<struct<start, kind, end, action>> of every occurrence of the words in strong (word to action) that overlaps no span."""
+    pairs = F.zip_with(F.split(text, WORD, -1), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
+    place = "struct<start:int,kind:int,end:int,action:string>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{place}>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        first = acc["at"] + F.length(x["gap"])
+        last = first + F.length(x["value"])
+        action = F.try_element_at(strong, F.lower(x["value"]))
+        # Only hits are put into the array, so a long text is one pass.
+        free = ~F.exists(spans, lambda s: (s["start"] < last) & (first < s["end"]))
+        hit = F.array(F.struct(first.alias("start"), F.lit(4).alias("kind"), last.alias("end"), action.alias("action")).cast(place))
+        return F.struct(last.alias("at"), F.when(action.isNotNull() & free, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(F.filter(pairs, lambda x: x["value"].isNotNull()), start, add, lambda acc: acc["out"])
 
 
-def disclosure(docs: DataFrame, found: DataFrame, least_docs: int) -> DataFrame:
-    """kind, term, docs_with, docs_of, disclosure for terms near spans of a kind in least_docs documents or more.
+def disclosure(found: DataFrame, least_docs: int) -> DataFrame:
+    """kind, term, docs_with, docs_of, disclosure for terms that stand in least_docs documents or more with spans of a kind.
 
-    ``docs`` has the texts (_t), ``found`` a row for each of them with spans and terms.
+    ``found`` has a row for each document: its text (_t) and spans.  A document's words count wherever they stand in it.
     """
     exists = [F.count_if(_has_kind(k)) for k in range(4)]
     n, *with_kind = found.agg(F.count("*"), *exists).first()
-    near = found.select("_row", F.explode("terms").alias("x")).select("_row", "x.kind", "x.term").distinct()
-    joint = near.groupBy("kind", "term").agg(F.count("*").alias("docs_with")).where(F.col("docs_with") >= least_docs)
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("_t"), SPACE + "+"))).alias("term")).groupBy("term").agg(F.count("*").alias("docs_of"))
+    words = found.select(F.explode(distinct_terms(F.col("_t"), F.col("spans"))).alias("term"), *(_has_kind(k).alias(f"_has{k}") for k in range(4)))
+    counts = words.groupBy("term").agg(F.count("*").alias("docs_of"), *(F.count_if(f"_has{k}").alias(f"_with{k}") for k in range(4)))
+    joint = counts.select("term", "docs_of", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"_with{k}").alias("docs_with")) for k in range(4)))).alias("x")).select("x.kind", "term", "x.docs_with", "docs_of").where(F.col("docs_with") >= least_docs)
     p_kind = F.element_at(F.array(*(F.lit(max(1, x) / max(1, n)) for x in with_kind)), F.col("kind") + 1)
     pmi = F.log2(F.col("docs_with") / F.col("docs_of") / p_kind)
-    return joint.join(words, "term").select("kind", "term", "docs_with", "docs_of", F.when(p_kind < 1, pmi / -F.log2(p_kind)).otherwise(0.0).alias("disclosure"))
+    return joint.select("kind", "term", "docs_with", "docs_of", F.when(p_kind < 1, pmi / -F.log2(p_kind)).otherwise(0.0).alias("disclosure"))
 
 
-def find_private(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, least_docs: int = 5, reach: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_private(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9, least_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans: array<struct<start, kind, end, action>> by start and kind, of all whole texts.
 
-    Actions: mask (base spans), generalise or remove (terms).  A null text is empty.  Rows that repeat each get a row; they count as
-    several documents in the corpus statistics.  An empty table gives an empty result.
+    Actions: mask (base spans), generalise or remove (terms, in all texts).  A null text is empty.  Rows that repeat each get a row;
+    they count as several documents in the corpus statistics.  An empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    found = texts.select("doc_id", "_t", base_spans(F.col("_t")).alias("spans"))
-    terms = F.when(F.size("spans") > 0, context_terms(F.col("_t"), F.col("spans"), reach)).otherwise(F.array().cast("array<struct<kind:int,term:string,start:int,end:int>>"))
-    found = materialise(found.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "spans", terms.alias("terms")), "private-spans")
-    strong = materialise(disclosure(texts, found, least_docs).where(F.col("disclosure") >= generalise), "private-terms")
+    texts = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    found = materialise(texts.select("*", base_spans(F.col("_t")).alias("spans")), "private-spans")
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
-    hits = found.select("_row", F.explode("terms").alias("x")).select("_row", "x.*").join(strong, ["kind", "term"])
-    # A document's own terms: as many as stand near its spans.
-    hits = hits.groupBy("_row", "start", "end").agg(F.max(action).alias("action")).groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "action")).alias("more"))
+    strong = materialise(disclosure(found, least_docs).where(F.col("disclosure") >= generalise).groupBy("term").agg(F.max(action).alias("action")), "private-terms")
+    own = found.select("_row", F.explode(distinct_terms(F.col("_t"), F.col("spans"))).alias("term")).join(strong, "term")
+    # A document's own strong terms: at most its distinct words.
+    own = own.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("strong"))
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit("mask").alias("action")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,action:string>>")
-    return found.select("_row", "doc_id", base.alias("base")).join(hits, "_row", "left").select("doc_id", F.array_sort(F.concat("base", F.coalesce("more", none))).alias("spans"))
+    more = term_places(F.col("_t"), F.col("spans"), F.col("strong"))
+    return found.join(own, "_row", "left").select("doc_id", F.when(F.col("strong").isNull(), base).otherwise(F.array_sort(F.concat(base, more))).alias("spans"))
 
 
 def sanitise_text(text: Column, spans: Column) -> Column:
