@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialise
+from veilspark.llm.common import materialise, unused
 from veilspark.llm.kneser_ney import quality
 from veilspark.llm.pareto import copies_of, plan_mix, word_count
 from veilspark.llm.sharding import shard_documents
@@ -30,9 +30,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    joined, copies, _ = copies_of(plan_mix(sizes), docs)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(copies, F.lit(1).cast("long"))))).where(copies > 0).select(*docs.columns)
+    size = word_count(F.col("text"))
+    joined, _, copies, _ = copies_of(plan_mix(docs.select("doc_id", "source", size.alias("size"))), docs, size)
+    number = unused(joined.columns, "number")[0]
+    repeated = joined.where(F.col(copies) > 0).withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+    return repeated.select(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

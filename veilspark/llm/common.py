@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir; only where that is unset, and on one machine, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-veil-")
@@ -43,6 +46,18 @@ def others(df: DataFrame, own: list[str]) -> list[Column]:
     return [df[c] for c in df.columns if c.lower() not in taken]
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with so many underscores before it that no taken column (in any case) has it."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -78,21 +78,28 @@ def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS u FROM documents),
+WITH d0 AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+                   ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT AS u FROM documents),
+d AS (SELECT *, length(bin(size))::BIGINT AS cls, (u + 0.5) / 4503599627370496::DOUBLE AS x FROM d0),
 s AS (SELECT source, sum(size)::DOUBLE AS n, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
 c AS (SELECT *, 3 * n / w AS stop,
              (sum(n) OVER () - coalesce(sum(3 * n) OVER (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
              / sum(w) OVER (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
 t AS (SELECT source, n, least(3 * n, w * (SELECT max(level) FROM c WHERE level <= stop)) AS target FROM c),
-r AS (SELECT d.*, n, target, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole, CASE WHEN n > 0 THEN target / n - floor(target / n) ELSE 0 END AS p
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-q AS (SELECT *, target - whole * n AS rest, sum(size) OVER (PARTITION BY source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-             sum(size) OVER (PARTITION BY source, u) AS own FROM r)
-SELECT doc_id, size, n::BIGINT AS source_size, target,
-       (size * (whole + CASE WHEN p > 0 AND 2 * rest >= 2 * upto - own THEN 1 ELSE 0 END))::BIGINT AS taken FROM q
+k AS (SELECT source, cls, sum(size)::DOUBLE AS cn FROM d GROUP BY ALL),
+k1 AS (SELECT k.*, n, target, (target - coalesce(sum(cn * 3) OVER (PARTITION BY k.source ORDER BY cls DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+              / nullif(sum(cls * cn) OVER (PARTITION BY k.source ORDER BY cls DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS lv
+       FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+k2 AS (SELECT *, CASE WHEN n > 0 THEN least(3.0::DOUBLE, coalesce(max(CASE WHEN lv <= 3.0::DOUBLE / cls THEN lv END) OVER (PARTITION BY source), 3.0::DOUBLE) * cls) ELSE 0 END AS r FROM k1),
+r AS (SELECT d.*, n, target, floor(r) AS whole, r - floor(r) AS p FROM d JOIN k2 ON d.source IS NOT DISTINCT FROM k2.source AND d.cls = k2.cls),
+v AS (SELECT *, CASE WHEN p > 0 THEN (x / (1 - x)) / (p / (1 - p)) END AS q, sum(p * size) OVER (PARTITION BY source) AS rest FROM r),
+f AS (SELECT *, floor(q / (1 + q) * 4503599627370496::DOUBLE)::BIGINT AS place FROM v),
+z AS (SELECT *, sum(CASE WHEN place IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY place NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+             sum(size) OVER (PARTITION BY source, place) AS own FROM f)
+SELECT doc_id, size, n::BIGINT AS source_size, target, (size * (whole + CASE WHEN place IS NOT NULL AND 2 * rest >= 2 * upto - own THEN 1 ELSE 0 END))::BIGINT AS taken FROM z
 """
 
+
 def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return pairs.select("doc_id", "item_id", "coverage", F.lit(True).alias("contaminated"))
