@@ -19,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by the fingerprints of op8."""
+    """One document of each group of near-duplicates: five words a shingle, a similarity of about 0.8 or more."""
     return one_of_each_group(docs)
 
 
