@@ -1,32 +1,31 @@
 """Benchmark decontamination by greedy string tiling.
 
-Shared runs of ``min_words`` words are the seeds, found by a rolling Karp-Rabin hash against an index of the benchmark's
-own runs.  Seeds on one diagonal join into maximal matches; the longest is marked again and again, what overlaps marked
-words is cut back, and the share of a test's words that end up marked is its coverage.  Passages that a document brings in
-another order are covered all the same.
+Runs of ``min_words`` words are the seeds, as Karp-Rabin values.  Documents give the seeds that some benchmark item may have, by
+a bitmap of fixed size, and these are joined with the items' seeds.  For each pair that shares one, the longest match of
+words not yet marked is sought by running Karp-Rabin over both texts, again and again, and marked; the share of a test's words
+that end up marked is its coverage.  Passages that a document brings in another order are covered all the same.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-import pickle
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast, cloudpickle
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+
+from .common import materialise, unused
 
 #: A-Z to lower case; ASCII punctuation and control characters to a blank.
 _TABLE = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+#: The bitmap of seeds has so many bits (as a power of 2): 8 MB, whatever the benchmark.
+MAP_BITS = 26
+#: Most numbers of rows that are broadcast to take the rows out (8 bytes each).
+SENT_ROWS = 1_000_000
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -34,138 +33,194 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
+def word_ids(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of words; ``known`` remembers them."""
+    if len(known) > 1_000_000:
+        known.clear()
+    get = known.get
+    ids = [get(w) for w in words]
+    for i, w in enumerate(words):
+        if ids[i] is None:
+            ids[i] = known[w] = xxhash.xxh64_intdigest(w)
+    return np.array(ids, np.uint64)
+
+
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """The Karp-Rabin value of each run of n ids (modulo 2 ** 64)."""
+    """The Karp-Rabin value of each run of n ids (modulo 2 ** 64), mixed with n."""
     out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
     for i in range(n):
-        out = out * _BASE + ids[i : i + len(out)].astype(np.uint64) + np.uint64(1)
-    return out
-
-
-def tiles(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in item, place in doc, length >= n) from seeds (place in item, place in doc) of n words each."""
-    heap: list[tuple[int, int, int]] = []
-    run: list[int] | None = None
-    for diagonal, i in sorted((d - i, i) for i, d in seeds):
-        if run and run[0] == diagonal and run[1] + run[2] - n + 1 == i:
-            run[2] += 1
-            continue
-        if run:
-            heap.append((-run[2], run[1], run[0] + run[1]))
-        run = [diagonal, i, n]
-    if run:
-        heap.append((-run[2], run[1], run[0] + run[1]))
-    heapq.heapify(heap)
-    in_item, in_doc, out = np.zeros(len(item), bool), np.zeros(len(doc), bool), []
-    while heap:
-        length, i, d = heapq.heappop(heap)
-        length = -length
-        free = ~(in_item[i : i + length] | in_doc[d : d + length])
-        if free.all():
-            in_item[i : i + length] = in_doc[d : d + length] = True
-            out.append((i, d, length))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
-        for start, stop in edges.reshape(-1, 2).tolist():
-            if stop - start >= n:
-                heapq.heappush(heap, (start - stop, i + start, d + start))
-    return out
-
-
-class SeedIndex:
-    """The benchmark's items as word ids and the places of their runs.  An item shorter than a run has one run: itself."""
-
-    def __init__(self, items: list[tuple[int, bytes]], min_words: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for item_id, text in items:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int64)
-            if len(ids):
-                self.items.append((item_id, ids))
+        out = out * np.uint64(_BASE) + ids[i : i + len(out)]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
+    return out ^ (out >> np.uint64(32))
+
+
+class _Runs:
+    """A text's Karp-Rabin values for runs of any length, and which of its words are still free."""
+
+    def __init__(self, ids: np.ndarray, free: np.ndarray):
+        self.ids, self.free = ids, free
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(ids), np.uint64(_BASE))]), dtype=np.uint64)
+        self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(ids), _INVERSE)]), dtype=np.uint64)
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum((ids + np.uint64(1)) * power[:-1], dtype=np.uint64)])
+
+    def room(self) -> np.ndarray:
+        """How many free words stand from each place on."""
+        place = np.arange(len(self.ids))
+        stop = np.where(self.free, len(place), place)
+        return np.minimum.accumulate(stop[::-1])[::-1] - place
+
+    def values(self, at: np.ndarray, n: int) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
+def _common(item: _Runs, doc: _Runs, own: np.ndarray, other: np.ndarray, n: int) -> tuple[int, int] | None:
+    """The first places in item and doc of an equal run of n free words, or None."""
+    i, d = np.flatnonzero(own >= n), np.flatnonzero(other >= n)
+    if not len(i) or not len(d):
+        return None
+    values, seen = item.values(i, n), doc.values(d, n)
+    order = np.argsort(seen, kind="stable")
+    seen = seen[order]
+    spot = np.minimum(np.searchsorted(seen, values), len(seen) - 1)
+    for k in np.flatnonzero(seen[spot] == values).tolist():
+        a, b = int(i[k]), int(d[order[spot[k]]])
+        if np.array_equal(item.ids[a : a + n], doc.ids[b : b + n]):
+            return a, b
+    return None
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in item, place in doc, length >= n): the longest match of free words first, then the first in the item.
+
+    ``doc`` has the hashes of the document's words at the places ``pos``.  Each tile takes as many passes over both texts as the
+    longest match has binary digits, however often words repeat.
+    """
+    gaps = np.flatnonzero(np.diff(pos) != 1) + 1
+    a, b = _Runs(item, np.ones(len(item), bool)), _Runs(np.insert(doc, gaps, 0), np.insert(np.ones(len(doc), bool), gaps, False))
+    pos, out, most = np.insert(pos, gaps, -1), [], len(item)
+    while True:
+        own, other = a.room(), b.room()
+        low, high, best = n, min(most, int(own.max(initial=0)), int(other.max(initial=0))), None
+        while low <= high:
+            middle = (low + high) // 2
+            if found := _common(a, b, own, other, middle):
+                best, low = (*found, middle), middle + 1
+            else:
+                high = middle - 1
+        if best is None:
+            return out
+        i, d, most = best
+        a.free[i : i + most] = b.free[d : d + most] = False
+        out.append((i, int(pos[d]), most))
+
+
+def _item_rows(benchmark: DataFrame) -> DataFrame:
+    """item, item_id, w: numbered items with the hashes of their words; items without words are left out."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            ids = [word_ids(words_of(x.as_py()), known).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["item_id", "w"])
+
+    item_type = benchmark.schema["item_id"].dataType.simpleString()
+    rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text")).mapInArrow(build, f"item_id {item_type}, w array<long>")
+    return materialise(rows.where(F.size("w") > 0).withColumn("item", F.monotonically_increasing_id()), "tiling-items")
+
+
+def _item_seeds(items: DataFrame, min_words: int) -> DataFrame:
+    """item, n, h: the items' seeds.  An item shorter than a run has one seed: itself."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = w.values.to_numpy().view(np.uint64)
                 n = min(min_words, len(ids))
-                for i, h in enumerate(rolling(ids, n).tolist()):
-                    places[n][h].append((len(self.items) - 1, i))
-        self.places = {n: dict(p) for n, p in places.items()}
-        self.hashes = {n: np.array(sorted(p), np.uint64) for n, p in places.items()}
-
-    def matches(self, text: bytes | None) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
-        """Items with a seed in this text: item id, coverage, tiles."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, 0) for w in words_of(text)], np.int64)
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, known in self.hashes.items():
-            sums = np.cumsum(np.concatenate([[0], ids == 0]))
-            at = np.flatnonzero(sums[n:] == sums[:-n]) if len(ids) >= n else np.zeros(0, np.int64)
-            if not len(at):
-                continue
-            h = rolling(ids, n)[at]
-            spot = np.searchsorted(known, h)
-            hit = known[np.minimum(spot, len(known) - 1)] == h
-            for d, x in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
-                for k, i in self.places[n][x]:
-                    if np.array_equal(self.items[k][1][i : i + n], ids[d : d + n]):
-                        found[k].append((i, d))
-        for k, seeds in found.items():
-            item_id, own = self.items[k]
-            n = min(len(own), next(n for n in sorted(self.places, reverse=True) if n <= len(own)))
-            out = tiles(own, ids, seeds, n)
-            yield item_id, sum(t[2] for t in out) / len(own), out
-
-
-def _blocks(benchmark: DataFrame, min_words: int, block_bytes: int) -> Iterator[Broadcast]:
-    """Indexes of the benchmark's items, about block_bytes of text (one item at least) in each: they grow in number, not in size."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
-    for b in range(blocks):
-        # One block of bounded size passes through the driver.
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(cloudpickle.dumps(SeedIndex([(r["item_id"], bytes(r["text"])) for r in block], min_words)))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
+                h = np.unique(rolling(ids, n)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), item, np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(h)], names=["item", "n", "h"])
+
+    return materialise(items.select("item", "w").mapInArrow(build, "item long, n int, h long"), "tiling-seeds")
+
+
+def _seed_map(seeds: DataFrame) -> np.ndarray:
+    """The bitmap of the seeds: 2 ** MAP_BITS bits."""
+    place = F.shiftrightunsigned("h", 64 - MAP_BITS)
+    bits = seeds.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - MAP_BITS}) & 63))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int, coverage: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, item_id, coverage, tiles of pairs that reach the coverage."""
+    id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    items = _item_rows(benchmark)
+    seeds = _item_seeds(items, min_words)
+    lengths = sorted(r["n"] for r in seeds.select("n").distinct().collect())  # 1 to min_words
+    shared = docs.sparkSession.sparkContext.broadcast(_seed_map(seeds))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            rows, found = [], {"h": [], "w": [], "pos": []}
+            for row, text in enumerate(batch.column(1)):
+                ids = word_ids(words_of(text.as_py()), known)
+                covered, hits = np.zeros(len(ids) + 1, np.int64), []
+                for n in lengths:
+                    h = rolling(ids, n)
+                    at = h >> np.uint64(64 - MAP_BITS)
+                    here = np.flatnonzero(shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                    if len(here):
+                        hits.append(h[here])
+                        np.add.at(covered, here, 1)
+                        np.add.at(covered, here + n, -1)
+                if hits:
+                    pos = np.flatnonzero(np.cumsum(covered)[:-1])
+                    rows.append(row)
+                    for name, x in (("h", np.unique(np.concatenate(hits)).view(np.int64)), ("w", ids[pos].view(np.int64)), ("pos", pos)):
+                        found[name].append(x)
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(found[c], pa.list_(pa.int64())) for c in found)], names=["doc_id", *found])
+
+    # Numbered once when written: null and repeated ids don't matter.
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    scanned = materialise(own.mapInArrow(scan, f"doc_id {id_type}, h array<long>, w array<long>, pos array<long>").withColumn("doc", F.monotonically_increasing_id()), "tiling-scan")
+    pairs = scanned.select("doc", F.explode("h").alias("h")).join(seeds.select("h", "item"), "h").select("doc", "item").distinct()
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, share, where = [], [], []
+            for row in range(batch.num_rows):
+                doc, pos, item = (batch.column(c)[row].values.to_numpy() for c in (2, 3, 4))
+                found = tiles(item.view(np.uint64), doc.view(np.uint64), pos, min(min_words, len(item)))
+                part = sum(x[2] for x in found) / len(item)
+                if part >= coverage:
+                    rows.append(row)
+                    share.append(part)
+                    where.append([{"item_at": i, "doc_at": d, "words": n} for i, d, n in found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(share, pa.float64()), pa.array(where, pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("words", pa.int32())])))],
+                names=["doc_id", "item_id", "coverage", "tiles"],
+            )
+
+    both = pairs.join(scanned.select("doc", "doc_id", "w", "pos"), "doc").join(items.select("item", "item_id", F.col("w").alias("v")), "item").select("doc_id", "item_id", "w", "pos", "v")
+    return both.mapInArrow(tile, f"doc_id {id_type}, item_id {item_type}, coverage double, tiles array<struct<item_at:int,doc_at:int,words:int>>")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs doc_id, item_id, coverage, tiles (structs item_at, doc_at, words) of documents that hold that much of a test.
 
-    Each block of the benchmark is held against all documents.  Null or empty texts and items match nothing.  Items that
-    repeat are reported once each; rows that repeat an id are reported once each.
+    Null or empty texts and items match nothing.  Items that repeat are reported once each; rows that repeat an id are reported
+    once each.  An item of fewer than min_words words is matched as a whole.  Very long and repetitive texts are read whole.  Other
+    columns are not read, whatever their names.  An empty table of either kind gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    item_type = benchmark.schema["item_id"].dataType
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {item_type.simpleString()}, coverage double, tiles array<struct<item_at:int,doc_at:int,words:int>>"
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def scanner(index: Broadcast):
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = pickle.loads(index.value)
-            for batch in batches:
-                who, which, covered, where = [], [], [], []
-                for row, text in enumerate(batch.column(1)):
-                    for item_id, share, found in seeds.matches(text.as_py()):
-                        if share >= coverage:
-                            who.append(row)
-                            which.append(item_id)
-                            covered.append(share)
-                            where.append([{"item_at": i, "doc_at": d, "words": n} for i, d, n in found])
-                columns = [batch.column(0).take(pa.array(who, pa.int64())), *(pa.array(x, arrow.field(c).type) for c, x in (("item_id", which), ("coverage", covered), ("tiles", where)))]
-                yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
-
-        return scan
-
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(scanner(index), schema) for index in _blocks(benchmark, min_words, block_bytes)])
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, coverage: float = 0.8, text_col: str = "text", block_bytes: int = 16_000_000) -> DataFrame:
-    """The rows of docs that hold less than that much of every test, decided row by row without a shuffle."""
-
-    def most(index: Broadcast):
-        @F.pandas_udf("double")
-        def share(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            seeds = pickle.loads(index.value)
-            for series in batches:
-                yield pd.Series([max((c for _, c, _ in seeds.matches(text)), default=0.0) for text in series], dtype="float64")
-
-        return share(F.col(text_col).cast("binary"))
-
-    for index in _blocks(benchmark, min_words, block_bytes):
-        docs = docs.where(most(index) < coverage)
-    return docs
+    return overlaps(docs, benchmark, min_words, coverage, id_col, text_col)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, min_words: int = 5, coverage: float = 0.8, text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold less than that much of every test, with all their columns; null and repeated ids don't matter."""
+    (row,) = unused(docs.columns, "row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "tiling-docs")
+    found = materialise(overlaps(rows, benchmark, min_words, coverage, row, text_col).select(F.col("doc_id").alias(row)).distinct(), "tiling-found")
+    found = F.broadcast(found) if found.count() <= SENT_ROWS else found
+    return rows.join(found, row, "left_anti").select(*docs.columns)
