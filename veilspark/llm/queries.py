@@ -65,7 +65,7 @@ def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = find_private(documents(spark, sf_dir))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    return spans.select("doc_id", number(0).alias("n_email"), number(1).alias("n_ip"), number(2).alias("n_card"), number(3).alias("n_phone"), F.sha2(span_text(F.col("spans"), 3), 256).alias("base_sha256"), span_text(F.col("spans"), 4).alias("spans"))
+    return spans.select("doc_id", number(0).alias("n_email"), number(1).alias("n_ip"), number(2).alias("n_card"), number(3).alias("n_phone"), F.sha2(span_text(F.col("spans"), 3), 256).alias("base_sha256"), span_text(F.col("spans"), 4).alias("spans"), number(4).alias("n_terms"), F.md5("sanitised").alias("sanitised_md5"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
