@@ -24,7 +24,7 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1)
     records = read_warc(spark, path, payloads=False).where("kind = 'record'")
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
-    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return records.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "gaps_before")
 
 
 OP1_SQL = """
@@ -32,7 +32,8 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coa
 r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN response IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN response IS NOT DISTINCT FROM page_id THEN NULL ELSE response END AS refers_to
+       CASE WHEN response IS NOT DISTINCT FROM page_id THEN NULL ELSE response END AS refers_to,
+       0::BIGINT AS gaps_before
 FROM r
 """
 

@@ -1,7 +1,7 @@
 """WARC archives: a writer that stores repeated payloads once, and a reader that salvages damaged files.
 
 Archives are written by Spark's own writer into a folder that the executors share and read with its binary-file reader, so
-any store that Spark reaches will do.  A compressed archive holds one gzip member for each record.
+any store that Spark reaches will do.  A compressed archive that is written here holds one gzip member for each record.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 
 RECORD_SCHEMA = (
-    "path string, offset long, length long, kind string, reason string, record_type string, record_id string, target_uri string,"
-    " refers_to string, payload_digest string, payload_bytes long, payload binary"
+    "path string, offset long, length long, inner_offset long, inner_length long, kind string, reason string, gaps_before long, record_type string, record_id string,"
+    " target_uri string, refers_to string, payload_digest string, payload_bytes long, checked boolean, payload binary"
 )
+#: Most bytes that a gzip member may inflate to; a longer one is quarantined.
+MOST_INFLATED = 1 << 30
 
 
 def dedup_plan(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", min_bytes: int = 1000) -> DataFrame:
@@ -31,6 +33,7 @@ def dedup_plan(pages: DataFrame, id_col: str = "page_id", text_col: str = "html"
 
     Of rows with equal payloads of min_bytes or more the one with the largest id is the response; rows that repeat
     this id are responses too, a null id is the smallest.  Smaller payloads are all responses.  A null payload is empty.
+    Other columns are not read, whatever their names.  An empty table gives an empty plan.
     """
     url = F.col("url") if "url" in pages.columns else F.lit("")
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
@@ -71,20 +74,26 @@ def gzip_member(record: bytes) -> bytes:
     return data
 
 
-def write_warc(plan: DataFrame, path: str, compress: bool = True, records_per_file: int = 4000) -> None:
-    """Write a plan of dedup_plan() as archives of at most records_per_file records each, in the plan's own partitions."""
+def write_warc(plan: DataFrame, path: str, compress: bool = True, file_bytes: int = 64_000_000) -> None:
+    """Write a plan of dedup_plan() as archives of about file_bytes each (one record at least), in the plan's own partitions.
+
+    Null and empty payloads are records of no bytes, very long ones records of their own length; rows that repeat are each written.
+    """
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = 0
         for pdf in batches:
-            out = []
+            out, file = [], []
             for i, uri, payload, digest, kind, refers in zip(pdf["id"], pdf["uri"], pdf["payload"], pdf["digest"], pdf["record_type"], pdf["refers_to"], strict=True):
                 record = record_bytes(kind, f"urn:page:{i}", uri, bytes(payload), digest, None if refers is None else f"urn:page:{refers}")
                 out.append(gzip_member(record)[:-1] if compress else record[:-4])
-            yield pd.DataFrame({"value": out})
+                file.append(held // file_bytes)
+                held += len(out[-1])
+            yield pd.DataFrame({"value": out, "file": file})
 
     cols = plan.select(F.coalesce(F.col("id").cast("string"), F.lit("null")).alias("id"), "uri", "payload", "digest", "record_type", F.col("refers_to").cast("string").alias("refers_to"))
-    records = cols.mapInPandas(build, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", "\x00" if compress else "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(path)
+    records = cols.mapInPandas(build, "value binary, file long").select(F.col("value").cast("string"), "file")
+    records.write.option("lineSep", "\x00" if compress else "\r\n\r\n").partitionBy("file").text(path)
 
 
 def _hex(digest: str | None) -> str | None:
@@ -132,73 +141,110 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     if fields.get("content-type", "").startswith("application/http"):
         http = _HEAD_END.search(block)
         payload = block[http.end() :] if http else b""
-    digest, kind = _hex(fields.get("warc-payload-digest")), fields.get("warc-type")
+    digest, kind, checked = _hex(fields.get("warc-payload-digest")), fields.get("warc-type"), want is not None
     if kind != "revisit":
         own = hashlib.sha1(payload).hexdigest()
         if digest and own != digest:
             return None, at, "payload digest differs"
-        digest = own
+        digest, checked = own, checked or digest is not None
     strip = lambda x: x[1:-1] if x and x[0] == "<" and x[-1] == ">" else x
     n = fields.get("x-payload-length", "")
     return {
         "record_type": kind, "record_id": strip(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "refers_to": strip(fields.get("warc-refers-to")),
-        "payload_digest": digest, "payload_bytes": (int(n) if n.isdigit() else None) if kind == "revisit" else len(payload), "payload": payload,
+        "payload_digest": digest, "payload_bytes": (int(n) if n.isdigit() else None) if kind == "revisit" else len(payload), "checked": checked, "payload": payload,
     }, close.end(), ""
 
 
-def _member(data: bytes, at: int) -> tuple[bytes | None, int]:
-    """The gzip member at this place, checked by its CRC, and its end."""
-    inflate = zlib.decompressobj(31)
+def _member(data: bytes, at: int, most: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at this place holds, as far as it can be read, its end if its CRC is right, and what is wrong with it."""
+    inflate, out, place = zlib.decompressobj(31), bytearray(), at
     try:
-        out = inflate.decompress(memoryview(data)[at:]) + inflate.flush()
+        while not inflate.eof:
+            part = data[place : place + 16384]
+            if not part:
+                return bytes(out), None, "member cut off"
+            out += inflate.decompress(part, most + 1 - len(out))
+            if len(out) > most:
+                return b"", None, "member inflates to too many bytes"
+            place += len(part) - len(inflate.unconsumed_tail)
     except zlib.error:
-        return None, at
-    return (out, len(data) - len(inflate.unused_data)) if inflate.eof else (None, at)
+        return bytes(out), None, "broken member"
+    return bytes(out), place - len(inflate.unused_data), ""
+
+
+def _inside(data: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
+    """Records of a member's bytes, and the gaps between them (no record): place, length, reason."""
+    gap, why, at = None, "", 0
+    while at < len(data):
+        found, end, reason = parse_record(data, at)
+        if found is None:
+            gap, why = (at, reason) if gap is None else (gap, why)
+            at = p if (p := data.find(b"WARC/1.", at + 1)) >= 0 else len(data)
+            continue
+        if gap is not None:
+            yield None, gap, at - gap, why
+            gap = None
+        yield found, at, end - at, ""
+        at = end
+    if gap is not None:
+        yield None, gap, len(data) - gap, why
 
 
-def salvage(data: bytes) -> Iterator[dict]:
+def salvage(data: bytes, most_inflated: int = MOST_INFLATED) -> Iterator[dict]:
     """Records of one archive, plain or gzip, and the byte gaps between them.
 
     After a failed check the search goes on from the next byte for a gzip member that holds a record, or for a version
-    line; what lies between is one gap, with the first failure as its reason.
+    line; what lies between is one gap, with the first failure as its reason.  A member may hold many records: what can't be read
+    within it is a gap with an inner place.  Of a broken member the records before the break are kept if a digest confirms them.
     """
-    gap, why, at = None, "", 0
+    gap, why, at, gaps = None, "", 0, 0
+
+    def lost(offset: int, length: int, reason: str, inner: tuple[int, int] | None = None) -> dict:
+        nonlocal gaps
+        gaps += 1
+        where = {"inner_offset": inner[0], "inner_length": inner[1]} if inner else {}
+        return {"kind": "gap", "offset": offset, "length": length, "reason": reason} | where
+
     while at < len(data):
-        found, end, reason = None, at, "neither a member nor a version line"
+        rows, end, reason = [], at, "neither a member nor a version line"
         if data[at : at + 3] == b"\x1f\x8b\x08":
-            member, end = _member(data, at)
-            if member == b"":
-                found = {}
-            elif member is not None:
-                found, used, reason = parse_record(member, 0)
-                if found and used != len(member):
-                    found, reason = None, "bytes behind the record in its member"
+            member, stop, reason = _member(data, at, most_inflated)
+            rows = list(_inside(member))
+            if stop is None:
+                rows, end = [r for r in rows if r[0] and r[0]["checked"]], None
+            elif not member or any(r[0] for r in rows):
+                end = stop
             else:
-                reason = "broken member"
+                rows, reason = [], rows[0][3]
         elif data[at : at + 5] == b"WARC/":
             found, end, reason = parse_record(data, at)
-        if found is None:
+            rows = [(found, None, None, "")] if found else []
+        if gap is not None and (rows or (end is not None and end > at)):
+            yield lost(gap, at - gap, why)
+            gap = None
+        for found, place, length, bad in rows:
+            if found:
+                yield {"kind": "record", "offset": at, "length": None if end is None else end - at, "inner_offset": place, "inner_length": length, "reason": None, "gaps_before": gaps} | found
+            else:
+                yield lost(at, end - at, bad, (place, length))
+        if end is None or end == at:
             gap, why = (at, reason) if gap is None else (gap, why)
             places = [p for p in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-            at = min(places, default=len(data))
-            continue
-        if gap is not None:
-            yield {"kind": "gap", "offset": gap, "length": at - gap, "reason": why}
-            gap = None
-        if found:
-            yield {"kind": "record", "offset": at, "length": end - at, "reason": None} | found
+            end = min(places, default=len(data))
         at = end
     if gap is not None:
-        yield {"kind": "gap", "offset": gap, "length": len(data) - gap, "reason": why}
+        yield lost(gap, len(data) - gap, why)
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Rows of kind 'record' and, for each quarantined stretch of bytes, 'gap' (path, offset, length, reason).
 
-    One file is one task's row, so archives should be of moderate size (write_warc() bounds its own by records); Spark
-    takes files up to 2 GB.  Damaged files never fail the job.
+    One file is one task's row, so archives should be of moderate size (write_warc() bounds its own by bytes); Spark
+    takes files up to 2 GB.  Damaged and empty files never fail the job; records that repeat are each a row.  gaps_before says how
+    many gaps stand before a record in its file, checked whether a digest confirms it.
     """
     columns = [c.split()[0] for c in RECORD_SCHEMA.split(",")]
+    numbers = dict.fromkeys(["offset", "length", "inner_offset", "inner_length", "gaps_before", "payload_bytes"], "Int64")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -208,9 +254,9 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     held += len(r.get("payload") or b"") if payloads else 200
                     rows.append(r | {"path": name} | ({} if payloads else {"payload": None}))
                     if held > 8_000_000:
-                        yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64"})
+                        yield pd.DataFrame(rows, columns=columns).astype(numbers)
                         rows, held = [], 0
-                yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64"})
+                yield pd.DataFrame(rows, columns=columns).astype(numbers)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
     return files.select("path", "content").mapInPandas(parse, RECORD_SCHEMA)
