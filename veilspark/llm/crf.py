@@ -1,9 +1,10 @@
 """Toxicity: a linear-chain conditional random field over words, learned from documents' labels.
 
 Words that stand in many contexts of toxic documents and seldom in others form a lexicon; in toxic documents its words are
-the labelled tokens.  A field of two tags (toxic or not) is trained on stretches of words around them.  To score a text,
-forward and backward messages run over all its words; stretches outside the lexicon have one transition matrix to the power
-of their length.  The marginals give spans, and together the text's score, which is calibrated on the labels.
+the labelled tokens.  A field of two tags (toxic or not) is trained on stretches of words: a word's emission is the sum of weights
+of its identity, beginning, ending and length and of its two neighbours, all hashed, so that words which the lexicon doesn't have
+are tagged too.  To score a text, forward and backward messages run over all its words.  The marginals give spans of
+offending words, and together the text's score, which is calibrated on labelled documents that the field didn't learn from.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, others
+from .common import materialise, others, unused
 
 #: A-Z to lower case; ASCII punctuation and control characters to a blank.
 _TABLE = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
 SEGMENT = 32
+#: Weights of hashed features (as many for words as for their beginnings, endings and lengths); features of a word.
+WEIGHTS, FEATURES = 1 << 16, 6
+PENALTY = np.full(2 * WEIGHTS + 4, 0.5)
+#: Texts are cut into blocks of so many words, each with so many more on either side, where messages have forgotten their start.
+BLOCK, MARGIN = 512, 64
 OWN = ["score", "predicted", "spans"]
 #: Raw scores are cut at this and 1 minus this before they are calibrated.
 LEAST = 1e-3
@@ -34,11 +40,11 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def learn_lexicon(sample: DataFrame, most: int = 5000, least_contexts: int = 3, ratio: float = 10.0) -> dict[bytes, int]:
-    """Words that mark toxic documents (columns text as binary, y): numbered from 1.
+def learn_lexicon(sample: DataFrame, least_contexts: int = 3, least_docs: int = 3, ratio: float = 10.0) -> set[bytes]:
+    """Words that mark toxic documents (columns text as binary, y); no more than the sample has.
 
-    Documents of either kind that hold a word are counted.  A word must also stand in several contexts (the word before) in
-    toxic documents, so that copies of one document don't make all its words suspicious.
+    Documents of either kind that hold a word are counted.  A word must stand in several toxic documents, and in several contexts
+    (the word before) in them, so that copies of one document don't make all its words suspicious.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,33 +67,64 @@ def learn_lexicon(sample: DataFrame, most: int = 5000, least_contexts: int = 3,
 
     totals = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     pairs = sample.select("text", "y").mapInArrow(count, "w binary, context long, toxic long, clean long").groupBy("w", "context").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    stats = pairs.groupBy("w").agg(F.count("context").alias("contexts"), F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where(F.col("contexts") >= least_contexts)
+    stats = pairs.groupBy("w").agg(F.count("context").alias("contexts"), F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where((F.col("contexts") >= least_contexts) & (F.col("a") >= least_docs))
     odds = F.log((F.col("a") + 0.5) / float(totals[0] + 1)) - F.log((F.col("b") + 0.5) / float(totals[1] + 1))
-    found = stats.withColumn("odds", odds).where(F.col("odds") >= math.log(ratio)).orderBy(F.desc(F.col("odds") * F.sqrt("a")), "w").limit(most).collect()
-    return {bytes(r["w"]): i for i, r in enumerate(found, 1)}
+    return {bytes(r["w"]) for r in stats.withColumn("odds", odds).where(F.col("odds") >= math.log(ratio)).select("w").collect()}
 
 
-def segments(sample: DataFrame, lexicon: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of SEGMENT words as lexicon numbers (0: others, -1: none), those with lexicon words and each text's first; tags; how often they occur."""
+class Words:
+    """Numbers words and holds their feature places: identity, beginning, ending, length; as a word before; as a word behind."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.places = np.zeros((1024, FEATURES), np.int32)
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        get, out = self.number.get, np.empty(len(words), np.int64)
+        for i, w in enumerate(words):
+            n = get(w)
+            if n is None:
+                n = self.number[w] = len(self.number)
+                if n == len(self.places):
+                    self.places = np.concatenate([self.places, np.zeros_like(self.places)])
+                own, digest = xxhash.xxh64_intdigest(w), xxhash.xxh32_intdigest
+                self.places[n] = [x % WEIGHTS for x in (own, digest(b"<" + w[:3]), digest(b">" + w[-3:]), digest(b"#%d" % min(12, len(w))), own >> 16, own >> 32)]
+                self.places[n, 1:4] += WEIGHTS
+            out[i] = n
+        return out
+
+
+def segments(sample: DataFrame, lexicon: set[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature places of stretches of SEGMENT words (rows, SEGMENT, FEATURES; -1: no word), tags, and how often they occur.
+
+    Those with lexicon words, each text's first and every fourth (by hash) of texts that aren't toxic; of different ones at most
+    ``most``, those with lexicon words first and then by hash: the driver holds no more.
+    """
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
         for batch in batches:
-            rows, tags = [], []
+            rows, marks = [], []
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = [get(w, 0) for w in words_of(text.as_py())]
-                for i in range(0, len(ids), SEGMENT):
-                    part = ids[i : i + SEGMENT]
-                    if i == 0 or any(part):
-                        rows.append(part + [-1] * (SEGMENT - len(part)))
-                        tags.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(tags, pa.int32())], names=["x", "y"])
-
-    # Equal stretches once, with their number.  Bounded by the sample.
-    pdf = sample.select("text", "y").mapInArrow(cut, "x array<int>, y int").groupBy("x", "y").agg(F.count("*").alias("n")).toPandas()
-    x = np.array(pdf["x"].to_list(), np.int32).reshape(-1, SEGMENT)
-    return x, (x > 0) & (pdf["y"].to_numpy() == 1)[:, None], pdf["n"].to_numpy(np.float64)
+                words = words_of(text.as_py())
+                toxic = [w in shared.value for w in words]
+                for i in range(0, len(words), SEGMENT):
+                    part = b" ".join(words[i : i + SEGMENT])
+                    if i == 0 or any(toxic[i : i + SEGMENT]) or (y == 0 and xxhash.xxh32_intdigest(part) % 4 == 0):
+                        rows.append(part)
+                        marks.append(sum(1 << k for k, t in enumerate(toxic[i : i + SEGMENT]) if t and y == 1))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(marks, pa.int64())], names=["x", "marks"])
+
+    found = sample.select("text", "y").mapInArrow(cut, "x binary, marks long").groupBy("x", "marks").agg(F.count("*").alias("n")).orderBy(F.col("marks") == 0, F.xxhash64("x", "marks"), "x").limit(most).toPandas()
+    known = Words()
+    ids = [known(bytes(x).split()) for x in found["x"]]
+    out = np.full((len(ids), SEGMENT, FEATURES), -1, np.int32)
+    for row, x in enumerate(ids):
+        out[row, : len(x), :4] = known.places[x, :4]
+        out[row, 1 : len(x), 4] = known.places[x[:-1], 4]
+        out[row, : max(0, len(x) - 1), 5] = known.places[x[1:], 5]
+    tags = (found["marks"].to_numpy(np.int64)[:, None] >> np.arange(SEGMENT)) & 1 == 1
+    return out, tags, found["n"].to_numpy(np.float64)
 
 
 def _forward_backward(emit: np.ndarray, trans: np.ndarray, valid: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,59 +147,37 @@ def _forward_backward(emit: np.ndarray, trans: np.ndarray, valid: np.ndarray, ti
     return p[:, :, 1], (pair * (valid[:, 1:] * times[:, None])[:, :, None, None]).sum(axis=(0, 1))
 
 
-def fit(x: np.ndarray, tags: np.ndarray, times: np.ndarray, words: int, rounds: int = 80, penalty: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    """Emission weights of lexicon numbers and transition scores, by gradient ascent with adaptive steps."""
-    emit, trans = np.zeros(words + 1), np.zeros((2, 2))
-    valid, ids = x >= 0, np.maximum(x, 0)
-    weight = valid * times[:, None]
-    seen = np.bincount(ids[tags], weights=weight[tags], minlength=words + 1)
+def fit(x: np.ndarray, tags: np.ndarray, times: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of features and transition scores, by gradient ascent with adaptive steps."""
+    valid, there, at = x[:, :, 0] >= 0, x >= 0, np.maximum(x, 0)
+    weight, places = valid * times[:, None], at[there]
+    count = lambda p: np.bincount(places, weights=np.broadcast_to((p * weight)[:, :, None], x.shape)[there], minlength=2 * WEIGHTS)
+    seen = count(tags)
     pairs = np.array([[(((tags[:, :-1] == i) & (tags[:, 1:] == j)) * weight[:, 1:]).sum() for j in (0, 1)] for i in (0, 1)], float)
-    params, m, v = np.concatenate([emit, trans.ravel()]), 0.0, 0.0
+    params, m, v = np.zeros(len(PENALTY)), 0.0, 0.0
     for r in range(1, rounds + 1):
-        emit, trans = params[: words + 1], params[words + 1 :].reshape(2, 2)
-        p, expected = _forward_backward(emit[ids], trans, valid, times)
-        grad = np.concatenate([seen - np.bincount(ids[valid], weights=(p * weight)[valid], minlength=words + 1), (pairs - expected).ravel()]) - penalty * params
+        weights, trans = params[:-4], params[-4:].reshape(2, 2)
+        p, expected = _forward_backward((weights[at] * there).sum(axis=2), trans, valid, times)
+        grad = np.concatenate([seen - count(p), (pairs - expected).ravel()]) - PENALTY * params
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
-        params = params + 0.3 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.98**r)) + 1e-6)
-    return params[: words + 1], params[words + 1 :].reshape(2, 2)
-
-
-class Power:
-    """Powers of the transition matrix of a word outside the lexicon, scaled."""
-
-    def __init__(self, emit: float, trans: np.ndarray):
-        m = np.exp(trans) * np.array([1.0, math.exp(emit)])
-        self.values, self.left = np.linalg.eig(m / np.abs(np.linalg.eigvals(m)).max())
-        self.right = np.linalg.inv(self.left)
-
-    def __call__(self, n: int) -> np.ndarray:
-        return np.real(self.left * self.values**n @ self.right)
-
-
-def marginals(events: list[tuple[int, int]], n: int, emit: np.ndarray, trans: np.ndarray, power: Power) -> np.ndarray:
-    """Probability of tag 1 at each event (place, lexicon number) of n words: the exact marginals of the whole chain."""
-    m, k = np.exp(trans), len(events)
-    gain = [np.array([1.0, math.exp(min(30.0, max(-30.0, emit[x])))]) for _, x in events]
-    # Messages into each event: over the words before it, then one transition to its own tag.
-    front, a, at = [], None, 0
-    for (place, _), g in zip(events, gain, strict=True):
-        run = place - at
-        if a is None:
-            a = np.ones(2) if run == 0 else (np.array([1.0, math.exp(emit[0])]) @ power(run - 1)) @ m
-        else:
-            a = (a @ power(run)) @ m
-        a = a * g
-        a = a / a.sum()
-        front.append(a)
-        at = place + 1
-    out, b, until = np.zeros(k), np.ones(2), n
-    for i in range(k - 1, -1, -1):
-        place = events[i][0]
-        b = power(until - place - 1) @ (m @ b if until < n else b)
-        b = b / b.sum()
-        p = front[i] * b
-        out[i] = p[1] / p.sum()
-        b, until = b * gain[i], place
+        params = params + 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.98**r)) + 1e-6)
+    return params[:-4], params[-4:].reshape(2, 2)
+
+
+def marginals(texts: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
+    """Probability of tag 1 for each word of texts given as emissions: blocks of all texts together, those of like length at a time."""
+    out = [np.zeros(len(x)) for x in texts]
+    blocks = [(t, i, max(0, i - MARGIN), min(len(x), i + BLOCK + MARGIN)) for t, x in enumerate(texts) for i in range(0, len(x), BLOCK)]
+    blocks.sort(key=lambda b: b[3] - b[2])
+    for k in range(0, len(blocks), 128):
+        part = blocks[k : k + 128]
+        emit, valid = np.zeros((len(part), part[-1][3] - part[-1][2])), np.zeros((len(part), part[-1][3] - part[-1][2]), bool)
+        for row, (t, _, a, b) in enumerate(part):
+            emit[row, : b - a], valid[row, : b - a] = texts[t][a:b], True
+        p, _ = _forward_backward(emit, trans, valid, np.ones(len(part)))
+        for row, (t, i, a, b) in enumerate(part):
+            own = min(i + BLOCK, b)
+            out[t][i:own] = p[row, i - a : own - a]
     return out
 
 
@@ -174,75 +189,94 @@ def spans_of(text: bytes, places: dict[int, float]) -> list[dict]:
     return [{"start": point(w.start()), "end": point(w.end()), "p": places[i]} for i, w in enumerate(words) if i in places]
 
 
-def toxicity_column(spark, model: dict, text: Column, with_spans: bool = False) -> Column:
-    """struct<raw, spans>: raw is 1 minus the probability that no word is toxic; spans those of marginal 0.5 or more."""
-    shared = spark.sparkContext.broadcast(model)
+def toxicity_column(spark, weights: np.ndarray, trans: np.ndarray, text: Column) -> Column:
+    """struct<most, many, spans>: the largest marginal of a text, the sum of those of 0.5 or more, and the spans of these."""
+    shared = spark.sparkContext.broadcast((weights, trans))
 
-    @F.pandas_udf("raw double, spans array<struct<start:int,end:int,p:double>>")
+    @F.pandas_udf("most double, many double, spans array<struct<start:int,end:int,p:double>>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        lexicon, emit, trans = m["lexicon"], m["emit"], m["trans"]
-        power = Power(emit[0], trans)
+        (weights, trans), known, done = shared.value, Words(), 0
+        own, before, behind = np.zeros((3, 0))
         for series in batches:
-            raw, spans = np.zeros(len(series)), [[] for _ in range(len(series))]
-            for row, text in enumerate(series):
-                words = words_of(text)
-                events = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
-                if not events:
-                    continue
-                p = marginals(events, len(words), emit, trans, power)
-                raw[row] = 1 - np.prod(1 - p)
-                if with_spans:
-                    spans[row] = spans_of(text, {i: float(q) for (i, _), q in zip(events, p, strict=True) if q >= 0.5})
-            yield pd.DataFrame({"raw": raw, "spans": spans})
+            most, many, spans = np.zeros(len(series)), np.zeros(len(series)), [[] for _ in range(len(series))]
+            at = 0
+            while at < len(series):
+                stop, size = at, 0
+                while stop < len(series) and (stop == at or size < 2_000_000):
+                    size += len(series.iloc[stop] or b"")
+                    stop += 1
+                if len(known.number) > 1_000_000:
+                    known, done, (own, before, behind) = Words(), 0, np.zeros((3, 0))
+                ids = [known(words_of(t)) for t in series.iloc[at:stop]]
+                if done < len(known.number):
+                    new = known.places[done : len(known.number)]
+                    own, before, behind = (np.concatenate([x, y]) for x, y in ((own, weights[new[:, :4]].sum(axis=1)), (before, weights[new[:, 4]]), (behind, weights[new[:, 5]])))
+                    done = len(known.number)
+                emit = []
+                for x in ids:
+                    e = own[x]
+                    e[1:] += before[x[:-1]]
+                    e[:-1] += behind[x[1:]]
+                    emit.append(e)
+                for row, p in enumerate(marginals(emit, trans), at):
+                    if len(p):
+                        hit = np.flatnonzero(p >= 0.5)
+                        most[row], many[row] = p.max(), p[hit].sum()
+                        if len(hit):
+                            spans[row] = spans_of(series.iloc[row], dict(zip(hit.tolist(), p[hit].tolist(), strict=True)))
+                at = stop
+            yield pd.DataFrame({"most": most, "many": many, "spans": spans})
 
     return score(text.cast("binary"))
 
 
-def _calibrate(raw: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression of the label on the log-odds of a text's raw score (cut at LEAST and 1 - LEAST)."""
-    cut = np.clip(raw, LEAST, 1 - LEAST)
-    x = np.stack([np.ones(len(raw)), np.log(cut / (1 - cut))], axis=1)
-    w = np.zeros(2)
+def _calibrate(most: np.ndarray, many: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression of the label on the log-odds of a text's largest marginal (cut at LEAST and 1 - LEAST) and on how many there are."""
+    cut = np.clip(most, LEAST, 1 - LEAST)
+    x = np.stack([np.ones(len(most)), np.log(cut / (1 - cut)), np.log1p(many)], axis=1)
+    w = np.zeros(3)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        w = w + np.linalg.solve(hessian, x.T @ (y - p) - 1e-2 * w)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-1 * np.eye(3)
+        w = w + np.linalg.solve(hessian, x.T @ (y - p) - 1e-1 * w)
     return w
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, rows: int, label_col: str = "toxic") -> DataFrame:
-    """At most so many usable labelled documents, chosen by hash of the id: text (binary), y.  An id with both labels counts as 1."""
+    """At most so many usable labelled documents, chosen by hash of the id: text (binary), y, part (0 to 4).  An id with both labels counts as 1."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & usable).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    ids = materialise(ids.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(rows), "crf-ids")
+    ids = materialise(ids.orderBy(F.xxhash64("doc_id", F.lit("toxicity")), "doc_id").limit(rows).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5))), "crf-ids")
     # At most `rows` ids.
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "y", "part")
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_000) -> dict | None:
-    """Lexicon, weights and calibration from at most ``sample`` labelled documents; None without toxic ones."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_000, stretches: int = 20_000) -> tuple | None:
+    """Weights, transitions and calibration from at most ``sample`` labelled documents, a fifth of them for the calibration; None without toxic ones."""
     own = materialise(labelled_sample(docs, labels, usable, sample), "crf-sample")
-    lexicon = learn_lexicon(own)
+    lexicon = learn_lexicon(own.where("part < 4"))
     if not lexicon:
         return None
-    emit, trans = fit(*segments(own, lexicon), len(lexicon))
-    model = {"lexicon": lexicon, "emit": emit, "trans": trans}
-    scored = own.select("y", toxicity_column(docs.sparkSession, model, F.col("text")).alias("s")).select("y", "s.raw").toPandas()
-    return model | {"calibration": _calibrate(scored["raw"].to_numpy(), scored["y"].to_numpy())}
+    weights, trans = fit(*segments(own.where("part < 4"), lexicon, stretches))
+    scored = own.select("y", "part", toxicity_column(docs.sparkSession, weights, trans, F.col("text")).alias("s")).select("y", "part", "s.most", "s.many").toPandas()
+    # Too few documents of either label were left apart: all are taken.
+    apart = scored[scored["part"] == 4]
+    use = apart if min((apart["y"] == 1).sum(), (apart["y"] == 0).sum()) >= 10 else scored
+    return weights, trans, _calibrate(use["most"].to_numpy(), use["many"].to_numpy(), use["y"].to_numpy())
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_000, threshold: float = 0.7, with_spans: bool = True) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_000, threshold: float = 0.7) -> DataFrame:
     """docs with score, predicted (1 from the threshold on) and spans (start, end in code points, p) of offending words, which replace columns of these names.
 
     ``usable`` says of a doc_id whether its labels may be learned from.  Null and empty texts have no spans and the score of a
-    text without offending words.  Without toxic labels all scores are 0.  Rows that repeat get the same score.
+    text without offending words; very long ones are read whole, in blocks.  Without toxic labels all scores are 0.  Rows that repeat
+    get the same score.  An empty table gives an empty result.
     """
     model = train(docs, labels, usable, sample)
     if model is None:
         return docs.select(*others(docs, OWN), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(None).cast("array<struct<start:int,end:int,p:double>>").alias("spans"))
-    w = [float(x) for x in model["calibration"]]
-    scored = docs.withColumn("_crf_scored", toxicity_column(docs.sparkSession, {k: v for k, v in model.items() if k != "calibration"}, F.col("text"), with_spans))
-    cut = F.greatest(F.lit(LEAST), F.least(F.lit(1 - LEAST), F.col("_crf_scored.raw")))
-    z = w[0] + w[1] * F.log(cut / (1 - cut))
-    score = 1 / (1 + F.exp(-z))
-    return scored.select(*others(docs, OWN), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.col("_crf_scored.spans").alias("spans"))
+    weights, trans, w = model
+    (name,) = unused(docs.columns, "scored")
+    scored = docs.withColumn(name, toxicity_column(docs.sparkSession, weights, trans, F.col("text")))
+    cut = F.greatest(F.lit(LEAST), F.least(F.lit(1 - LEAST), F.col(f"{name}.most")))
+    score = 1 / (1 + F.exp(-(float(w[0]) + float(w[1]) * F.log(cut / (1 - cut)) + float(w[2]) * F.log1p(F.col(f"{name}.many")))))
+    return scored.select(*others(docs, OWN), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), F.col(f"{name}.spans").alias("spans"))

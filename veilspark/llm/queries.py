@@ -55,7 +55,7 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     other = held_out(F.col("doc_id"), 3, 1)
-    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~other, with_spans=False).select("doc_id", other.alias("held_out"), "score", "predicted")
+    return toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~other).select("doc_id", other.alias("held_out"), "score", "predicted", "spans")
 
 
 def op6_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
