@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import materialise, unused
-from veilspark.llm.kneser_ney import quality
+from veilspark.llm.kneser_ney import kept_documents
 from veilspark.llm.pareto import copies_of, plan_mix, word_count
 from veilspark.llm.sharding import shard_documents
 from veilspark.llm.simhash import one_of_each_group
@@ -15,7 +15,7 @@ from veilspark.llm.tiling import clean_documents
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within their language's quantile of perplexity."""
-    return quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*docs.columns)
+    return kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,26 @@ def unused(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+#: A bitmap of hashes has so many bits (as a power of 2): 8 MB, however many hashes.
+MAP_BITS = 26
+
+
+def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size of the highest bits of 64-bit hashes: tells which hashes can't be among them."""
+    place = F.shiftrightunsigned(column, 64 - MAP_BITS)
+    bit = F.expr(f"shiftleft(1L, int(shiftrightunsigned({column}, {64 - MAP_BITS}) & 63))")
+    bits = hashes.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2 ** 20 rows
+    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_have(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the hashes may be among those of the bitmap."""
+    at = h >> np.uint64(64 - MAP_BITS)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -49,7 +49,7 @@ def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
-    return quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "lang", "words", "perplexity", "surprise", "threshold", "kept")
+    return quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_text=False).select("doc_id", "lang", "words", "perplexity", "surprise", "threshold", "kept")
 
 
 def op5_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,14 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, unused
+from .common import bitmap, materialise, may_have, unused
 
 #: A-Z to lower case; ASCII punctuation and control characters to a blank.
 _TABLE = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
-#: The bitmap of seeds has so many bits (as a power of 2): 8 MB, whatever the benchmark.
-MAP_BITS = 26
 #: Most numbers of rows that are broadcast to take the rows out (8 bytes each).
 SENT_ROWS = 1_000_000
 
@@ -142,22 +140,13 @@ def _item_seeds(items: DataFrame, min_words: int) -> DataFrame:
     return materialise(items.select("item", "w").mapInArrow(build, "item long, n int, h long"), "tiling-seeds")
 
 
-def _seed_map(seeds: DataFrame) -> np.ndarray:
-    """The bitmap of the seeds: 2 ** MAP_BITS bits."""
-    place = F.shiftrightunsigned("h", 64 - MAP_BITS)
-    bits = seeds.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - MAP_BITS}) & 63))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int, coverage: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, item_id, coverage, tiles of pairs that reach the coverage."""
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = _item_rows(benchmark)
     seeds = _item_seeds(items, min_words)
     lengths = sorted(r["n"] for r in seeds.select("n").distinct().collect())  # 1 to min_words
-    shared = docs.sparkSession.sparkContext.broadcast(_seed_map(seeds))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(seeds, "h"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -168,8 +157,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int, coverage: fl
                 covered, hits = np.zeros(len(ids) + 1, np.int64), []
                 for n in lengths:
                     h = rolling(ids, n)
-                    at = h >> np.uint64(64 - MAP_BITS)
-                    here = np.flatnonzero(shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                    here = np.flatnonzero(may_have(shared.value, h))
                     if len(here):
                         hits.append(h[here])
                         np.add.at(covered, here, 1)
