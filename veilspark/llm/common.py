@@ -41,6 +41,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what materialise() wrote for df, once nothing that is still to be computed reads it."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def others(df: DataFrame, own: list[str]) -> list[Column]:
     """df's columns but those with a name (in any case) that the operator's own columns take."""
     taken = {c.lower() for c in own}
