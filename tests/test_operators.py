@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.operators import corpus, evaluate, gate, pii, population, quasi
+from veilspark.operators import corpus, evaluate, frequency, gate, pii, population, quasi
+from veilspark.plans import queries
 from veilspark.streaming import incremental
 
 RANK = {"direct_identifier": 1, "strong_identifier": 2, "quasi_identifier": 3, "contextual": 4}
@@ -41,12 +42,145 @@ def test_detection(spark):
     docs = spark.createDataFrame([(1, "SSN 123-45-6789, mail A.b+c@Ex-1.org; call (555) 123-4567. I'm 45, a man; denies being married"), (2, None), (3, "")], "doc_id long, text string")
     found = {(r["entity_type"], r["start"], r["end"]) for r in pii.detect(docs).collect()}
     assert ("US_SSN", 4, 15) in found and any(t == "EMAIL_ADDRESS" for t, _, _ in found)
-    masked = {r["doc_id"]: r["masked"] for r in pii.mask(docs, pii.merge(pii.detect(docs))).collect()}
+    masked = {r["doc_id"]: r["m"] for r in docs.select("doc_id", pii.masked(F.col("text"), pii.merged(pii.evidence(F.col("text")))).alias("m")).collect()}
     assert "123-45-6789" not in masked[1] and masked[3] == "" and masked[2] is None
-    qi = {(r["qi_type"], r["value"]): r["assertion"] for r in quasi.assertion(quasi.dedup(quasi.detect(docs)), docs).collect()}
+    qi = {(q["qi_type"], q["value"]): q["assertion"] for r in quasi.identify(docs).collect() for q in r["qi"]}
     assert qi[("age", "45-49")] == "present" and qi[("sex", "male")] == "present" and qi[("marital_status", "married")] == "negated"
 
 
+TEXTS = [
+    "SSN 123-45-6789 mail a.b@ex.org MRN 12345678 at 10:30 AM on 01/02/2020 and 2020-01-02T10:30:00Z, call +1 (555) 123-4567",
+    "I'm 45 years old, sex: female; she is a registered nurse from Texas, not a citizen. Born on March 3, 2001 in Ohio", "no man, never married; my wife was in school. Aged 130, age 7; AGE 07", "", None, "   ",
+    "arkansas, TX and CA; arab and caucasian. A zoologist with cystic fibrosis, Marfan; b.s. and ba degree, at noon", "12:30 12:30 12:30pm 3 o'clock 01/02/2020 01/02/2020 3 May 1999 May 1999 Jan. 3, 1999",
+    "é" * 40 + " 7:15 é 555-123-4567 \u017fingle", "unemployed student, retired from the army; active duty; stay-at-home; as ma MS", "ABC123456789 123-45-6789", "MR 1234567 Patient ID: 1234567 x@y.zz",
+]
+
+
+def _finds(pattern, text, flags=re.I):
+    return [(m.start(), m.end(), m) for m in re.finditer(pattern, text, flags)]
+
+
+def _merged(text):
+    found = sorted(((a, b, k, i, t) for k, (t, p) in enumerate((t, p) for t, ps in fixed.PII.items() for p in ps) for i, (a, b, _) in enumerate(_finds(p, text))))
+    cat = lambda t: 1 if t in fixed.DIRECT_TYPES else 2 if t in fixed.STRONG_TYPES else 4 if t in fixed.CONTEXTUAL_TYPES else 3
+    out = []
+    for a, b, _, _, t in found:
+        if out and a < out[-1][1]:
+            last = out[-1]
+            out[-1] = (last[0], max(last[1], b), t if cat(t) < cat(last[2]) else last[2])
+        else:
+            out.append((a, b, t))
+    return out
+
+
+def _quasi(text):
+    """type, value, start, end of what is found, in order: a plain loop over the same fixed values."""
+    low, out = text.lower(), []
+    add = lambda t, v, a, b: out.append((t, v, a, b)) if v is not None else None
+    for p in fixed.AGE:
+        for a, b, m in _finds(p, text):
+            n = int(m[1])
+            add("age", f"{n // 5 * 5}-{n // 5 * 5 + 4}" if n <= 120 else None, a, b)
+    for p in fixed.SEX:
+        for a, b, m in _finds(p, text):
+            add("sex", fixed.SEX_VALUES.get(m[1].lower()), a, b)
+    for a, b, m in _finds(fixed.MARITAL, text):
+        add("marital_status", fixed.MARITAL_VALUES.get(m[1].lower()), a, b)
+    for a, b, _ in _finds(fixed.SPOUSE, text):
+        add("marital_status", "married", a, b)
+    for p, v in fixed.CITIZENSHIP:
+        for a, b, _ in _finds(p, text):
+            add("citizenship", v, a, b)
+    for a, b, m in _finds(fixed.RACE, text):
+        add("race", fixed.RACE_VALUES.get(m[1].lower(), m[1].lower().replace(" ", "_")), a, b)
+    for w, v in fixed.STATES.items():
+        if w in low:
+            add("state", v, low.index(w), low.index(w) + len(w))
+    for a, b, m in _finds(fixed.STATE_CODE, text, 0):
+        add("state", m[1] if m[1] in fixed.STATES.values() else None, a, b)
+    for w, v in fixed.OCCUPATIONS.items():
+        if w in low:
+            add("occupation", v, low.index(w), low.index(w) + len(w))
+            break
+    for kind, patterns in (("date", fixed.DATES), ("time", fixed.TIMES), ("datetime", fixed.STAMP_FORMS)):
+        for p in patterns:
+            for a, b, _ in _finds(p, text):
+                add(kind, text[a:b], a, b)
+    for kind, terms in (("occupation", fixed.RARE_OCCUPATIONS), ("condition", fixed.RARE_DISEASES)):
+        for w in terms:
+            if w in low:
+                add(kind, w.replace(" ", "_").replace("-", "_"), low.index(w), low.index(w) + len(w))
+    for kind, table in (("education", fixed.EDUCATION), ("employment", fixed.EMPLOYMENT)):
+        for p, v in table:
+            for a, b, _ in _finds(p, text)[:1]:
+                add(kind, v, a, b)
+    first, seen = [], set()
+    for x in out:
+        if x[:2] not in seen:
+            seen.add(x[:2])
+            at = low.find(x[1].lower().replace("_", " "))
+            negated = at > 0 and re.search(fixed.NEGATION, text[max(0, at - 50) : at].lower())
+            first.append((*x, "negated" if negated else "present"))
+    return first
+
+
+def test_rows_against_plain_python(spark):
+    rows = [(None if i % 3 == 0 else 7, i, t) for i, t in enumerate(TEXTS)]
+    docs = quasi.identify(spark.createDataFrame(rows, "doc_id long, i int, text string")).withColumn("pii", pii.merged(pii.evidence(F.col("text"))))
+    own = gate.features(docs).select("i", "text", "pii", "qi", "pii_count", "direct_count", "date_count", "qis_found", pii.masked(F.col("text"), F.col("pii")).alias("m"), pii.all_masked(F.col("text"), F.col("pii"), F.col("qi")).alias("all"), frequency.joint_key(quasi.key_parts(F.col("qi"))).alias("key"))
+    for r in own.collect():
+        text = TEXTS[r["i"]] or ""
+        spans, qi = _merged(text), _quasi(text)
+        assert [(x["start"], x["end"], x["entity_type"]) for x in r["pii"]] == spans, text
+        assert [(x["qi_type"], x["value"], x["start"], x["end"], x["assertion"]) for x in r["qi"]] == qi, text
+        if r["text"] is None:
+            assert r["m"] is None and r["pii_count"] == 0
+            continue
+        want = text
+        for a, b, t in reversed(spans):
+            want = want[:a] + f"[{t}]" + want[b:]
+        assert r["m"] == want and r["pii_count"] == len(spans) and r["direct_count"] == sum(t in fixed.DIRECT_TYPES for *_, t in spans)
+        islands = []
+        for a, b, _, label in sorted([(a, b, 0, t) for a, b, t in spans] + [(a, b, 1, t.upper()) for t, _, a, b, _ in qi]):
+            if islands and a < islands[-1][1]:
+                islands[-1][1] = max(islands[-1][1], b)
+            else:
+                islands.append([a, b, label])
+        want = text
+        for a, b, label in reversed(islands):
+            want = want[:a] + f"[{label}]" + want[b:]
+        assert r["all"] == want and r["qis_found"] == len(qi) and r["date_count"] == sum(t == "date" for t, *_ in qi)
+        last = {t: v for t, v, *_, state in qi if state == "present" and v}
+        assert r["key"] == "|".join(f"{t}={last[t]}" for t in sorted(last))
+
+
+def test_routing(spark):
+    texts = ["age 45, male"] * 9 + ["age 45, male; 01/02/2020 01/03/2020 01/04/2020 " + "plain words " * 60, "a zoologist, age 17", "nothing here", None]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    rows = queries.routing(docs).collect()
+    assert len(rows) == len(texts)
+    got = sorted((r["method"], r["gate_decision"], r["tier"], len(r["hard_stop_reasons"])) for r in rows)
+    assert got.count(("no_qis", "SAFE", 1, 0)) == 2 and sum(r["tier"] == 3 for r in rows) == len([r for r in rows if r["k_lower"] is not None and r["k_lower"] < 5 and r["method"] == "empirical_joint"])
+
+
+def test_keys_and_bounds(spark):
+    people = spark.createDataFrame([("a|b", "x=y"), ("a|b", None), ("c", "x=y"), ("a", "b")], "s string, t string")
+    keys = {r["key"]: r["count"] for r in frequency.frequency_table(people, ["s", "t"]).collect()}
+    assert keys == {r"s=a\|b": 2, "s=c": 1, "s=a": 1, r"t=x\=y": 2, "t=b": 1, r"t=\N": 1, r"s=a\|b|t=x\=y": 1, r"s=a\|b|t=\N": 1, r"s=c|t=x\=y": 1, "s=a|t=b": 1}
+    table = frequency.frequency_table(people, ["s", "t"])
+    got = frequency.estimates(spark.createDataFrame([(1, "a|b", "b"), (2, "z", "b")], "id int, s string, t string"), ["s", "t"], table).collect()
+    rows = {r["id"]: r for r in got}
+    low = lambda c: max(0, c / 4 - 1.96 * (c / 4 * (1 - c / 4) / c) ** 0.5)
+    assert rows[1]["method"] == "min_marginal_bound" and abs(rows[1]["frechet_upper"] - 4 * min(low(2), low(1))) < 1e-9 and rows[1]["frechet_lower"] == 0
+    assert rows[2]["frechet_upper"] is None and rows[2]["k_upper"] == 1
+
+
+def test_first_sentence(spark):
+    rows = [(0, "Ada Lee is a British composer. More"), (1, "The stone is a composer's. More"), (2, "ada Lee is a composer"), (3, "Red Stone was the town. A composer came"), (4, "Jo A. is a poet"), (5, None)]
+    got = {r["i"]: r["b"] for r in spark.createDataFrame(rows, "i int, text string").select("i", corpus.biographical(F.lit("T"), F.coalesce("text", F.lit(""))).alias("b")).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 5: False}
+
+
 def test_golden_metrics(spark):
     rows = spark.createDataFrame([(212, 43, 257, 88), (195, 96, 205, 132)], "tp long, fp long, tn long, fn long")
     got = [(round(r["precision"], 5), round(r["recall"], 5), round(r["f1"], 5)) for r in evaluate.metrics(rows).orderBy(F.desc("tp")).collect()]

@@ -15,6 +15,24 @@ def pattern_of(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + pattern
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often it stands there and wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def lowered(text: Column) -> Column:
+    """The text in lower case, with the long s, which matches s where case doesn't matter, as s: what hints are sought in."""
+    return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
+
+
+def hinted(low: Column, hints: list[str], found: Column) -> Column:
+    """found, but null where the lowered text has none of the literals that any match must hold: cheap tests before patterns."""
+    some = F.lit(False)
+    for h in hints:
+        some = some | F.contains(low, F.lit(h))
+    return F.when(some, found)
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value, group>> in code points (end exclusive), in order; empty without a match or for null.
 

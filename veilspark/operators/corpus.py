@@ -17,7 +17,11 @@ def _any(text: Column, patterns: list[str], ignore_case: bool = True) -> Column:
 
 
 def biographical(title: Column, text: Column) -> Column:
-    return _any(title, fixed.TITLES) | _any(F.substring(text, 1, 1200), fixed.BIOGRAPHY)
+    """A title of lists or years, a birth or a profession in the first 1200 characters, or a first sentence that says what somebody is."""
+    chunk = F.substring(text, 1, 1200)
+    sentence = F.substring_index(chunk, ".", 1)
+    says = F.rlike(sentence, F.lit(pattern_of(fixed.SENTENCE, False))) & F.rlike(sentence, F.lit(pattern_of(fixed.SENTENCE_WORDS)))
+    return _any(title, fixed.TITLES) | _any(chunk, fixed.BIOGRAPHY) | says
 
 
 def sensitive(text: Column) -> Column:

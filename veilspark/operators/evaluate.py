@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,10 +31,10 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def correlations(results: DataFrame, features: list[str]) -> DataFrame:
-    """feature, correlation with expected (0 where one of the two doesn't vary or there are fewer than 2 rows), by size."""
+    """feature, correlation with expected (0 where one of the two doesn't vary or there are fewer than 2 rows), largest absolute value first."""
     y = F.col("expected").cast("double")
     one = lambda f: F.when(F.count("*") < 2, 0.0).otherwise(ratio(F.covar_pop(F.col(f).cast("double"), y), F.stddev_pop(F.col(f).cast("double")) * F.stddev_pop(y)))
-    return results.agg(*(one(f).alias(f) for f in features)).unpivot([], features, "feature", "correlation")
+    return results.agg(*(one(f).alias(f) for f in features)).unpivot([], features, "feature", "correlation").orderBy(F.desc(F.abs("correlation")), "feature")
 
 
 def normalise(results: DataFrame, least: float = 1.0) -> DataFrame:
@@ -42,7 +44,7 @@ def normalise(results: DataFrame, least: float = 1.0) -> DataFrame:
 
 
 def frange(start: float, stop: float, step: float) -> list[float]:
-    return [round(start + i * step, 10) for i in range(int(round((stop - start) / step)) + 1)]
+    return [round(start + i * step, 10) for i in range(int((stop - start) / step + 1e-9) + 1)]
 
 
 def grid(spark: SparkSession, sweeps: dict[str, list[dict]]) -> DataFrame:
@@ -51,15 +53,50 @@ def grid(spark: SparkSession, sweeps: dict[str, list[dict]]) -> DataFrame:
     return spark.createDataFrame(rows, "sweep string, point int, " + ", ".join(f"{k} double" for k in BASELINE))
 
 
+def _one(name: str, values: list) -> list[dict]:
+    return [{name: v} for v in values]
+
+
 def default_sweeps() -> dict[str, list[dict]]:
-    one = lambda k, values: [{k: v} for v in values]
+    """Of simulator a: one parameter at a time, the grid of weights, and that of both thresholds."""
+    review, block = frange(0.01, 0.49, 0.02), frange(0.50, 0.95, 0.05)
     return {
-        "tau_review": one("tau_review", [x for x in frange(0.01, 0.80, 0.02) if x < BASELINE["tau_block"]]), "tau_block": one("tau_block", [x for x in frange(0.20, 0.95, 0.05) if x > BASELINE["tau_review"]]),
-        "k_min": one("k_min", list(range(2, 21))), "w_direct": one("w_direct", frange(0.1, 1.0, 0.1)), "w_quasi": one("w_quasi", frange(0.1, 1.0, 0.1)),
+        "tau_review": _one("tau_review", [x for x in frange(0.01, 0.80, 0.02) if x < BASELINE["tau_block"]]), "tau_block": _one("tau_block", [x for x in frange(0.20, 0.95, 0.05) if x > BASELINE["tau_review"]]),
+        "k_min": _one("k_min", list(range(2, 21))), "w_direct": _one("w_direct", frange(0.1, 1.0, 0.1)), "w_quasi": _one("w_quasi", frange(0.1, 1.0, 0.1)),
         "weights": [{"w_direct": a, "w_quasi": b} for a in frange(0.1, 1.0, 0.1) for b in frange(0.1, 1.0, 0.1)],
+        "thresholds": [{"tau_review": a, "tau_block": b} for a in review for b in block if a < b],
+    }
+
+
+def threshold_sweeps() -> dict[str, list[dict]]:
+    """Of simulator b: one parameter at a time, and the grids of weights, of direct, quasi and global thresholds, and of all together."""
+    review, block, safe = frange(0.05, 0.53, 0.02), frange(0.50, 0.95, 0.05), [5, 10, 15, 20, 30, 50, 75, 100, 150, 200, 1000, 10000]
+    dr, db, qr, qb, weights = frange(0.05, 0.45, 0.05), frange(0.40, 0.90, 0.05), frange(0.10, 0.50, 0.05), frange(0.50, 0.90, 0.05), frange(0.1, 1.0, 0.1)
+    names = ["tau_direct_review", "tau_direct_block", "tau_quasi_review", "tau_quasi_block", "k_safe"]
+    every = product([0.10, 0.20, 0.30, 0.40], [0.50, 0.60, 0.70, 0.80], [0.20, 0.30, 0.40], [0.60, 0.70, 0.80], [10, 20, 50, 100])
+    return {
+        "tau_review": _one("tau_review", review), "tau_block": _one("tau_block", block), "k_min": _one("k_min", list(range(2, 21))), "k_safe": _one("k_safe", safe),
+        "tau_direct_review": _one(names[0], dr), "tau_direct_block": _one(names[1], db), "tau_quasi_review": _one(names[2], qr), "tau_quasi_block": _one(names[3], qb),
+        "weights": [{"w_direct": a, "w_quasi": b} for a in weights for b in weights],
+        "direct_thresholds": [{names[0]: a, names[1]: b} for a in dr[::2] for b in db[::2] if a < b], "quasi_thresholds": [{names[2]: a, names[3]: b} for a in qr[::2] for b in qb[::2] if a < b],
+        "thresholds": [{"tau_review": a, "tau_block": b, "k_safe": k} for a in review[::3] for b in block[::2] for k in safe[::2] if a < b],
+        "combined": [dict(zip(names, x, strict=True)) for x in every if x[0] < x[1] and x[2] < x[3]],
     }
 
 
+def strict_sweeps() -> dict[str, list[dict]]:
+    """Of simulator c: one parameter at a time; the block threshold with small weights, the minimum k with the lower threshold beside it."""
+    taus, ks = frange(0.02, 0.95, 0.05), [5, 10, 15, 20, 30, 50, 75, 100, 150, 200]
+    return {
+        "tau_review": _one("tau_review", [x for x in taus if x < BASELINE["tau_block"]]), "tau_block": [{"tau_block": x, "w_direct": 0.2, "w_quasi": 0.2} for x in taus if x > BASELINE["tau_review"]],
+        "k_min_strict": [{"k_min": k, "k_safe": k} for k in ks], "k_lower_threshold": _one("k_safe", [k for k in ks if k >= BASELINE["k_min"]]),
+        "w_direct": _one("w_direct", frange(0.1, 1.0, 0.1)), "w_quasi": _one("w_quasi", frange(0.1, 1.0, 0.1)),
+    }
+
+
+SWEEPS = {"a": default_sweeps, "b": threshold_sweeps, "c": strict_sweeps}
+
+
 def outcome(simulator: str) -> Column:
     """block, review or pass of a row under its setting: simulators a, b, c (c also takes use_pii and use_qi)."""
     risk, k = F.col("joint_risk"), F.col("k_lower")
@@ -76,12 +113,23 @@ def outcome(simulator: str) -> Column:
 
 
 def confusion(results: DataFrame, settings: DataFrame, simulator: str) -> DataFrame:
-    """Counts and metrics of every setting: the settings, a table of fixed size, are broadcast and summed map-side."""
+    """Counts and metrics of every setting.  Rows that no setting can tell apart are counted first; the settings, a table of fixed size, are broadcast.
+
+    ``results`` may have a boolean wiki: texts that should pass; without it there are none.
+    """
     key = ["sweep", "point", *BASELINE]
-    marked = results.crossJoin(F.broadcast(settings)).withColumn("_o", outcome(simulator))
+    own = results if "wiki" in results.columns else results.withColumn("wiki", F.lit(False))
+    own = own.groupBy("expected", "wiki", "joint_risk", "k_lower", "direct_norm", "quasi_norm").agg(F.count("*").alias("_n"))
+    marked = own.crossJoin(F.broadcast(settings)).withColumn("_o", outcome(simulator))
     y, m = F.col("expected"), F.col("_o") != "pass"
-    counts = marked.groupBy(*key).agg(F.count_if(y & m).alias("tp"), F.count_if(~y & m).alias("fp"), F.count_if(~y & ~m).alias("tn"), F.count_if(y & ~m).alias("fn"), F.count_if(F.col("_o") == "review").alias("reviews"), F.count_if(F.col("_o") == "block").alias("blocks"))
-    return metrics(counts)
+    count = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("_n"))), F.lit(0))
+    counts = marked.groupBy(*key).agg(
+        count(y & m).alias("tp"), count(~y & m).alias("fp"), count(~y & ~m).alias("tn"), count(y & ~m).alias("fn"), count(F.col("_o") == "review").alias("reviews"), count(F.col("_o") == "block").alias("blocks"),
+        count(F.col("wiki") & m).alias("wiki_marked"), count(F.col("wiki")).alias("wiki_total"),
+    )
+    n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    rates = {"review_rate": ratio(F.col("reviews"), n), "block_rate": ratio(F.col("blocks"), n), "pass_rate": ratio(F.col("tn") + F.col("fn"), n), "wiki_fpr": ratio(F.col("wiki_marked"), F.col("wiki_total"))}
+    return metrics(counts).withColumns(rates)
 
 
 def metrics(counts: DataFrame) -> DataFrame:
@@ -113,9 +161,11 @@ def pareto(points: DataFrame) -> DataFrame:
 
 def choose(points: DataFrame) -> DataFrame:
     """One point for each aim; the earliest of equal ones."""
+    sure, fpr, recall, fnr, wiki = F.lit(True), F.col("fpr"), F.col("recall"), F.col("fnr"), F.col("wiki_fpr")
     aims = {
-        "best_f1": (F.lit(True), -F.col("f1")), "best_balanced_accuracy": (F.lit(True), -F.col("balanced_accuracy")), "high_recall_fpr_le_15": (F.col("fpr") <= 0.15, -F.col("recall")),
-        "high_recall_fpr_le_10": (F.col("fpr") <= 0.10, -F.col("recall")), "low_fnr_fpr_le_15": (F.col("fpr") <= 0.15, F.col("fnr")),
+        "best_f1": (sure, -F.col("f1")), "best_balanced_accuracy": (sure, -F.col("balanced_accuracy")), "high_recall_fpr_le_15": (fpr <= 0.15, -recall), "high_recall_fpr_le_10": (fpr <= 0.10, -recall),
+        "high_recall_wiki_fpr_le_10": (wiki <= 0.10, -recall), "low_fnr_fpr_le_15": (fpr <= 0.15, fnr), "low_fnr_wiki_fpr_le_10": (wiki <= 0.10, fnr),
+        "low_wiki_fpr_recall_ge_90": (recall >= 0.90, wiki), "low_wiki_fpr_recall_ge_95": (recall >= 0.95, wiki), "lowest_wiki_fpr": (sure, wiki),
     }
     rows = points.select("*", F.explode(F.filter(F.array(*(F.when(ok, F.struct(F.lit(a).alias("aim"), by.alias("by"))) for a, (ok, by) in aims.items())), lambda x: x.isNotNull())).alias("x"))
     n = F.row_number().over(W.partitionBy("x.aim").orderBy("x.by", "sweep", "point"))

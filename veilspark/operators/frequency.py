@@ -22,18 +22,39 @@ def wilson(p: Column, n: Column) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), center - spread), F.least(F.lit(1.0), center + spread)
 
 
+def joint_key(pairs: Column) -> Column:
+    """The one form of a key: type=value of array<struct<t, v>> in order of the types, joined by |; these signs are escaped in values, null is \\N."""
+    plain = lambda v: F.coalesce(F.regexp_replace(v, r"([\\|=])", r"\\$1"), F.lit("\\N"))
+    return F.array_join(F.transform(pairs, lambda x: F.concat(x["t"], F.lit("="), plain(x["v"]))), "|")
+
+
+def subset_table(rows: DataFrame, pairs: str = "pairs", most: int = 3) -> DataFrame:
+    """types, key, count, total, frequency of all combinations of up to ``most`` values that occur in rows (array<struct<t, v>>, by type).
+
+    For many sparse types: each row gives its own subsets, as many as its few values allow.
+    """
+    own = F.col(pairs)
+    one = F.transform(own, lambda x: F.array(x))
+    more = lambda sets: F.flatten(F.transform(sets, lambda s: F.transform(F.filter(own, lambda x: x["t"] > F.element_at(s, -1)["t"]), lambda x: F.array_append(s, x))))
+    levels = [one]
+    for _ in range(most - 1):
+        levels.append(more(levels[-1]))
+    sets = rows.select(F.explode(F.concat(*levels)).alias("s"))
+    counts = sets.groupBy(F.transform("s", lambda x: x["t"]).alias("types"), joint_key(F.col("s")).alias("key")).agg(F.count("*").alias("count"))
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).withColumn("frequency", F.col("count") / F.col("total"))
+
+
 def frequency_table(facts: DataFrame, types: list[str], most: int = 3) -> DataFrame:
     """types, key, count, total, frequency for all combinations of up to ``most`` columns, in one pass of grouping sets.
 
-    key is the JSON of the sorted types' values.  Rows with a null in a combination count in its null value's row.
+    key is joint_key() of the sorted types' values; a null is a value of its own.
     """
     sets = [c for k in range(1, most + 1) for c in combinations(sorted(types), k)]
-    facts.createOrReplaceTempView("_veil_facts")
-    sql = f"SELECT {', '.join(types)}, {', '.join(f'grouping({t}) AS g_{t}' for t in types)}, count(*) AS count FROM _veil_facts GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(s) + ')' for s in sets)})"
-    rows = facts.sparkSession.sql(sql)
+    rows = facts.groupingSets([[F.col(t) for t in c] for c in sets], *(F.col(t) for t in types)).agg(F.count("*").alias("count"), *(F.grouping(t).alias(f"g_{t}") for t in types))
     pairs = F.filter(F.array(*(F.when(F.col(f"g_{t}") == 0, F.struct(F.lit(t).alias("t"), F.col(t).cast("string").alias("v"))) for t in sorted(types))), lambda x: x.isNotNull())
     total = facts.agg(F.count("*").alias("total"))  # one row
-    return rows.withColumn("_p", pairs).select(F.transform("_p", lambda x: x["t"]).alias("types"), F.array_join(F.transform("_p", lambda x: F.concat_ws("=", x["t"], F.coalesce(x["v"], F.lit("")))), "|").alias("key"), "count").crossJoin(F.broadcast(total)).withColumn("frequency", F.col("count") / F.col("total"))
+    return rows.withColumn("_p", pairs).select(F.transform("_p", lambda x: x["t"]).alias("types"), joint_key(F.col("_p")).alias("key"), "count").crossJoin(F.broadcast(total)).withColumn("frequency", F.col("count") / F.col("total"))
 
 
 def first_by_ordinal(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
@@ -46,27 +67,39 @@ def derive_population(rows: DataFrame, population: int, base: int) -> DataFrame:
     return rows.withColumn("count", (F.col("count") * float(population) / base).cast("int")).withColumn("source", F.concat("source", F.lit("_derived")))
 
 
+def values_of(types: list[str]) -> Column:
+    """array<struct<t, v>> of the columns named, by type, without nulls."""
+    return F.filter(F.array(*(F.when(F.col(t).isNotNull(), F.struct(F.lit(t).alias("t"), F.col(t).cast("string").alias("v"))) for t in sorted(types))), lambda x: x.isNotNull())
+
+
 def estimates(people: DataFrame, types: list[str], table: DataFrame, id_col: str = "id") -> DataFrame:
-    """id, method and k (point, lower, upper) of the values in ``types``: exact joint, else best pair, else least marginal.
+    """id, method and k (point, lower, upper) of the values in the columns ``types``: see estimate_pairs().  A null value is no value."""
+    return estimate_pairs(people.select(F.col(id_col).alias("id"), values_of(types).alias("pairs")), table)
+
+
+def estimate_pairs(people: DataFrame, table: DataFrame) -> DataFrame:
+    """id, qis, method, k_point, k_lower, k_upper, confidence, Fréchet bounds of people (id, pairs: array<struct<t, v>>, by type):
+    exact joint, else best pair, else least marginal.
 
-    ``table`` is a frequency_table() of a population; its total is the population's size.  A null value is no value.
+    ``table`` is a frequency_table() or subset_table() of a population; its total is the population's size.  It is read several times,
+    so it should be a written or cached one.  Fréchet bounds take the lower bounds of the marginals and need all of them.
     """
-    values = F.filter(F.array(*(F.when(F.col(t).isNotNull(), F.struct(F.lit(t).alias("t"), F.col(t).cast("string").alias("v"))) for t in sorted(types))), lambda x: x.isNotNull())
-    own = people.select(F.col(id_col).alias("id"), values.alias("q"))
-    key = lambda q: F.array_join(F.transform(q, lambda x: F.concat_ws("=", x["t"], x["v"])), "|")
+    own = people.select("id", F.col("pairs").alias("q"))
     lookup = table.select(F.col("key").alias("_key"), "count", "frequency", "total")
-    joint = own.select("id", key(F.col("q")).alias("_key")).join(lookup.where("count > 0"), "_key", "left")
+    joint = own.where(F.size("q") > 0).select("id", joint_key(F.col("q")).alias("_key")).join(lookup.where("count > 0"), "_key")
     low, high = wald(F.col("frequency"), F.col("total"))
     joint = joint.select("id", F.col("count").alias("joint"), (low * F.col("total")).alias("joint_low"), (high * F.col("total")).alias("joint_high"))
-    one = own.select("id", F.explode("q").alias("x")).select("id", F.col("x.t").alias("t"), F.concat_ws("=", "x.t", "x.v").alias("_key"))
-    # Pairs of one document's values: at most as many as its types allow.
-    two = one.alias("a").join(one.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.t") < F.col("b.t"))).select("a.id", F.concat_ws("|", "a._key", "b._key").alias("_key"))
+    one = own.select("id", F.explode("q").alias("x")).select("id", joint_key(F.array("x")).alias("_key"))
+    # Pairs of one row's values: at most as many as its types allow.
+    pair = F.flatten(F.transform("q", lambda a: F.transform(F.filter("q", lambda b: b["t"] > a["t"]), lambda b: joint_key(F.array(a, b)))))
+    two = own.select("id", F.explode(pair).alias("_key"))
     pairs = two.join(lookup, "_key").groupBy("id").agg(F.min(F.col("frequency") * F.col("total")).alias("pair"))
     size = table.select("total").limit(1)
-    n = F.col("total")
+    n, f = F.col("total"), F.col("frequency")
+    lower = wald(f, F.greatest("count", F.lit(1)))[0]
     marginals = one.join(lookup.drop("total"), "_key", "left").crossJoin(F.broadcast(size)).groupBy("id").agg(
-        F.min(F.when(F.col("frequency") > 0, F.col("frequency") * n)).alias("least"), F.count_if(F.col("frequency") > 0).alias("found"), F.count_if(F.col("frequency").isNull()).alias("missing"),
-        F.greatest(F.lit(0.0), F.sum(F.coalesce("frequency", F.lit(0.0))) - (F.count("*") - 1)).alias("_frechet"), F.min("frequency").alias("_least"), F.first("total").alias("n"),
+        F.min(F.when(f > 0, f * n)).alias("least"), F.count_if(f > 0).alias("found"), F.count_if(f.isNull()).alias("missing"),
+        F.greatest(F.lit(0.0), F.sum(F.coalesce(lower, F.lit(0.0))) - (F.count("*") - 1)).alias("_frechet"), F.min(lower).alias("_least"), F.first("total").alias("n"),
     )
     share = F.col("found") / (F.col("found") + F.col("missing"))
     rows = own.select("id", F.size("q").alias("qis")).join(joint, "id", "left").join(pairs, "id", "left").join(marginals, "id", "left")
@@ -76,6 +109,6 @@ def estimates(people: DataFrame, types: list[str], table: DataFrame, id_col: str
     return rows.withColumn("method", method).select(
         "id", "qis", "method", by(infinite, F.col("joint").cast("double"), F.col("pair"), F.col("least")).alias("k_point"),
         by(infinite, F.col("joint_low"), F.greatest(F.lit(1.0), F.col("pair") * 0.05), F.greatest(F.lit(1.0), F.col("least") * 0.01 * share)).alias("k_lower"),
-        by(infinite, F.col("joint_high"), F.col("pair"), F.col("least")).alias("k_upper"),
+        by(infinite, F.col("joint_high"), F.col("pair"), F.col("least")).alias("k_upper"), by(F.lit(1.0), F.lit(0.9), F.lit(0.6), F.lit(0.4)).alias("confidence"),
         F.when(F.col("missing") == 0, F.col("_frechet") * F.col("n")).alias("frechet_lower"), F.when(F.col("missing") == 0, F.col("_least") * F.col("n")).alias("frechet_upper"),
     )

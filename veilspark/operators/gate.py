@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: As they stand in the published rules; values of conditions are joined by underscores, so the first never meets one.
+RARE_CONDITIONS = ["ehlers-danlos", "huntington", "marfan"]
+RARE_OCCUPATIONS = ["zoologist", "astronomer", "epidemiologist"]
+#: What a masked identifier is taken to be long.
+MASK_LENGTH = 15
 BOUNDS = ["conservative_bound", "pairwise_min_bound", "min_marginal_bound"]
 
 
@@ -13,14 +18,36 @@ def text_features(text: Column) -> list[Column]:
     return [F.length(text).alias("text_length"), words.alias("word_count"), F.length(F.regexp_replace(text, "[^.!?]", "")).alias("sentence_count")]
 
 
+def features(docs: DataFrame) -> DataFrame:
+    """docs (text, pii: merged spans, qi: quasi-identifiers) with the gate's features: counts by category, dates, rare values, masking."""
+    number = lambda c: F.size(F.filter("pii", lambda e: e["category"] == c))
+    of_type = lambda t, ok: F.exists("qi", lambda q: (q["qi_type"] == t) & ok(q["value"]))
+    rare = lambda v: F.exists(F.array(*map(F.lit, RARE_CONDITIONS)), lambda t: F.contains(F.lower(v), t))
+    own = docs.select("*", *text_features(F.col("text"))).withColumns({
+        "pii_count": F.size("pii"), "direct_count": number("direct_identifier"), "strong_count": number("strong_identifier"), "contextual_count": number("contextual"),
+        "qi_count": number("quasi_identifier") + F.size("qi"), "qis_found": F.size("qi"), "date_count": F.size(F.filter("qi", lambda q: q["qi_type"] == "date")),
+        "rare_disease": of_type("condition", rare), "rare_occupation": of_type("occupation", lambda v: F.lower(v).isin(RARE_OCCUPATIONS)), "has_unseen": F.exists("qi", lambda q: q["unseen"] & (q["assertion"] == "present")),
+        "disagreement": F.lit(False),
+    })
+    own = own.withColumn("mask_count", F.col("direct_count") + F.col("strong_count")).withColumn("rare", F.col("rare_disease") | F.col("rare_occupation"))
+    return own.withColumn("mask_ratio", F.when(F.col("text_length") > 0, F.least(F.lit(1.0), F.col("mask_count") * float(MASK_LENGTH) / F.col("text_length"))).otherwise(0.0))
+
+
+def uncertainty_flags() -> Column:
+    """What a decision rests on that isn't sure; none if a hard stop was made."""
+    flag = lambda ok, name: F.when(F.coalesce(ok, F.lit(False)), name)
+    flags = F.array_compact(F.array(flag(F.col("k_lower").isNull(), "k_estimate_unavailable"), flag(F.col("has_unseen"), "unseen_qi_values"), flag(F.col("llm_invoked") & F.col("model_flag").isNull(), "llm_abstained")))
+    return F.when(F.size("hard_stop_reasons") > 0, F.array().cast("array<string>")).otherwise(flags)
+
+
 def gate(k_min: int = 5, k_safe: int = 20, require_joint: bool = True) -> Column:
-    """SAFE, UNSAFE or UNCERTAIN from k_lower (null: no estimate), date_count, qi_count, contextual_count, word_count, rare."""
+    """SAFE, UNSAFE or UNCERTAIN from k_lower (null: no estimate), date_count, qi_count, contextual_count, word_count, disagreement, rare."""
     k, uncertain = F.col("k_lower"), F.lit("UNCERTAIN")
     chain = F.when(k < k_min, "UNSAFE")
     if require_joint:
         chain = chain.when(k.isNull(), "UNSAFE")
     density = (F.col("qi_count") + F.col("contextual_count")) / F.greatest(F.col("word_count"), F.lit(1))
-    return chain.when(F.col("date_count") >= 3, uncertain).when((F.col("qi_count") >= 5) & k.isNull(), uncertain).when(density > 0.1, uncertain).when(k >= k_safe, "SAFE").when((F.col("qi_count") <= 2) & ~F.col("rare"), "SAFE").otherwise(uncertain)
+    return chain.when(F.col("date_count") >= 3, uncertain).when((F.col("qi_count") >= 5) & k.isNull(), uncertain).when(density > 0.1, uncertain).when(F.col("disagreement"), uncertain).when(k >= k_safe, "SAFE").when((F.col("qi_count") <= 2) & ~F.col("rare"), "SAFE").otherwise(uncertain)
 
 
 def hard_stops(k_min: int = 5, require_joint: bool = True) -> Column:

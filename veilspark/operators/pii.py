@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import matches, pattern_of, replace_spans
+from ..functions.spans import let, matches, pattern_of, replace_spans
 
 
 def category(entity: Column) -> Column:
@@ -18,19 +18,80 @@ def priority(cat: Column) -> Column:
     return F.array_position(F.array(*(F.lit(c) for c in fixed.CATEGORIES)), cat)
 
 
+#: Literals of which a text must hold one to have a match; others need a digit.
+_HINTS = {"EMAIL_ADDRESS": ["@"]}
+_EVIDENCE = "struct<start:int,end:int,ord:struct<pattern:int,match:int>,entity_type:string,category:string,score:double,detector:string>"
+_MERGED = "struct<start:int,end:int,entity_type:string,category:string,detector:string,score:double,n:int,confirmed_by:array<string>>"
+
+
+def evidence(text: Column, types: list[str] | None = None) -> Column:
+    """array<struct<start, end, ord, entity_type, category, score, detector>> of every match of every pattern, by place, then by order of the patterns."""
+    order = {entity: sum(len(fixed.PII[e]) for e in (types or list(fixed.PII))[:k]) for k, entity in enumerate(types or list(fixed.PII))}
+    empty = F.array().cast(f"array<{_EVIDENCE}>")
+
+    def every(digit: Column) -> Column:
+        parts = []
+        for entity, first in order.items():
+            for i, p in enumerate(fixed.PII[entity]):
+                some = F.contains(text, F.lit(_HINTS[entity][0])) if entity in _HINTS else digit
+                parts.append(F.coalesce(F.when(some, _typed(entity, first + i, matches(text, pattern_of(p)))), empty))
+        return F.array_sort(F.concat(*parts))
+
+    return let(F.rlike(text, F.lit(r"\p{Nd}")), every)
+
+
 def detect(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
     """doc_id, entity_type, category, start, end, score, ord: every match of every pattern; the text isn't shuffled."""
-    parts, ord_ = [], 0
-    for entity in types or list(fixed.PII):
-        for p in fixed.PII[entity]:
-            parts.append(_typed(entity, ord_, matches(F.col("text"), pattern_of(p))))
-            ord_ += 1
-    rows = docs.select("doc_id", F.explode(F.concat(*parts)).alias("s")).select("doc_id", "s.*")
-    return rows.withColumn("category", category(F.col("entity_type"))).withColumn("score", F.lit(fixed.PII_SCORE)).withColumn("detector", F.lit("custom_regex"))
+    rows = docs.select("doc_id", F.explode_outer(evidence(F.col("text"), types)).alias("s")).where("s is not null")
+    return rows.select("doc_id", "s.entity_type", "s.start", "s.end", "s.ord", "s.category", "s.score", "s.detector")
 
 
 def _typed(entity: str, ord_: int, spans: Column) -> Column:
-    return F.transform(spans, lambda s, i: F.struct(F.lit(entity).alias("entity_type"), s["start"].alias("start"), s["end"].alias("end"), F.struct(F.lit(ord_).alias("pattern"), i.alias("match")).alias("ord")))
+    own = [F.lit(entity).alias("entity_type"), category(F.lit(entity)).alias("category"), F.lit(fixed.PII_SCORE).alias("score"), F.lit("custom_regex").alias("detector")]
+    return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.struct(F.lit(ord_).alias("pattern"), i.alias("match")).alias("ord"), *own).cast(_EVIDENCE))
+
+
+def _fold(items: Column, element: str, fresh, join) -> Column:
+    """array<element>: items in order, where one that starts before the last element's end is joined into it."""
+    state = lambda out, cur: F.struct(out.alias("out"), cur.alias("cur"))
+
+    def step(acc: Column, x: Column) -> Column:
+        cur = acc["cur"]
+        out = F.when(cur.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], cur))
+        return F.when(cur.isNotNull() & (x["start"] < cur["end"]), state(acc["out"], join(cur, x).cast(element))).otherwise(state(out, fresh(x).cast(element)))
+
+    none = state(F.array().cast(f"array<{element}>"), F.lit(None).cast(element))
+    return F.aggregate(items, none, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])))
+
+
+def merged(found: Column) -> Column:
+    """The spans of evidence() with overlapping ones as one, within the row: see merge()."""
+    none = F.array().cast("array<string>")
+    names = ["start", "end", "entity_type", "category", "detector", "score", "n", "confirmed_by"]
+    row = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, names, strict=True)))
+
+    def join(cur: Column, x: Column) -> Column:
+        end, n = F.greatest(cur["end"], x["end"]), cur["n"] + 1
+        won = row(cur["start"], end, x["entity_type"], x["category"], x["detector"], F.greatest(cur["score"], x["score"]), n, F.when(cur["detector"] != x["detector"], F.array(cur["detector"])).otherwise(none))
+        kept = row(cur["start"], end, cur["entity_type"], cur["category"], cur["detector"], cur["score"], n, F.array_append(cur["confirmed_by"], x["detector"]))
+        return F.when(priority(x["category"]) < priority(cur["category"]), won.cast(_MERGED)).otherwise(kept.cast(_MERGED))
+
+    return _fold(found, _MERGED, lambda x: row(x["start"], x["end"], x["entity_type"], x["category"], x["detector"], x["score"], F.lit(1), none), join)
+
+
+def masked(text: Column, spans: Column, categories: list[str] | None = None) -> Column:
+    """The text with merged() spans of the categories (default: all) as [TYPE]."""
+    chosen = F.filter(spans, lambda s: s["category"].isin(categories)) if categories else spans
+    return replace_spans(text, F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["entity_type"]), F.lit("]")).alias("label"))))
+
+
+def all_masked(text: Column, spans: Column, qi: Column) -> Column:
+    """The text with merged() spans and quasi-identifiers masked together; the first label of an overlap stays."""
+    label = "struct<start:int,end:int,o:int,label:string>"
+    one = lambda s, o, name: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(o).alias("o"), F.upper(s[name]).alias("label")).cast(label)
+    both = F.array_sort(F.concat(F.transform(spans, lambda s: one(s, 0, "entity_type")), F.transform(F.filter(qi, lambda s: s["start"].isNotNull()), lambda s: one(s, 1, "qi_type"))))
+    islands = _fold(both, label, lambda x: x, lambda cur, x: F.struct(cur["start"].alias("start"), F.greatest(cur["end"], x["end"]).alias("end"), cur["o"].alias("o"), cur["label"].alias("label")))
+    return replace_spans(text, F.transform(islands, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["label"], F.lit("]")).alias("label"))))
 
 
 def merge(evidence: DataFrame) -> DataFrame:
@@ -55,20 +116,3 @@ def merge(evidence: DataFrame) -> DataFrame:
     behind = F.transform(F.filter("all", lambda x: x["_n"] > winner["_n"]), lambda x: x["detector"])
     first = F.when(replaced.isNotNull() & (replaced != F.col("detector")), F.array(replaced)).otherwise(F.array().cast("array<string>"))
     return out.withColumn("confirmed_by", F.concat(first, behind)).drop("all", "_island")
-
-
-def mask(docs: DataFrame, merged: DataFrame, categories: list[str] | None = None) -> DataFrame:
-    """docs with masked: spans of the categories (default: all) as [TYPE]."""
-    chosen = merged.where(F.col("category").isin(categories)) if categories else merged
-    spans = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.concat(F.lit("["), F.upper("entity_type"), F.lit("]")).alias("label")))).alias("_spans"))
-    return docs.join(spans, "doc_id", "left").withColumn("masked", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replace_spans(F.col("text"), F.col("_spans")))).drop("_spans")
-
-
-def mask_everything(docs: DataFrame, pii: DataFrame, qi: DataFrame) -> DataFrame:
-    """docs with masked: identifier and quasi-identifier spans merged; the first label of an overlap stays."""
-    both = pii.select("doc_id", "start", "end", F.upper("entity_type").alias("label"), F.lit(0).alias("o")).unionByName(qi.where("start is not null").select("doc_id", "start", "end", F.upper("qi_type").alias("label"), F.lit(1).alias("o")))
-    order = W.partitionBy("doc_id").orderBy("start", "end", "o", "label")
-    e = both.withColumn("_new", (F.col("start") >= F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))).cast("int")).withColumn("_island", F.sum(F.coalesce("_new", F.lit(1))).over(order))
-    spans = e.groupBy("doc_id", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("label", F.struct("start", "end", "o", "label")).alias("label"))
-    spans = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.concat(F.lit("["), "label", F.lit("]")).alias("label")))).alias("_spans"))
-    return docs.join(spans, "doc_id", "left").withColumn("masked", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(replace_spans(F.col("text"), F.col("_spans")))).drop("_spans")

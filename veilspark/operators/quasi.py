@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import matches, pattern_of
+from ..functions.spans import hinted, let, lowered, matches, pattern_of
 
 
 def _literal_map(values: dict[str, str]) -> Column:
@@ -44,59 +45,123 @@ def _first_of(text: Column, values: dict[str, str]) -> Column:
     return F.slice(_places(text, values), 1, 1)
 
 
-def detect(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """doc_id, qi_type, value, start, end, confidence, granularity, unseen, detector, ord for every quasi-identifier found (of these types only)."""
-    text = F.col("text")
+_FOUND = "struct<qi_type:string,value:string,start:int,end:int,confidence:double,granularity:string,unseen:boolean,detector:string,ord:struct<pattern:int,match:int>>"
+#: Literals of which a lowered text must hold one to have a match.
+_AGE, _SEX, _MARITAL, _SPOUSE, _CITIZEN = ["age", "year", "yo", "y/o", "i'm", "iam"], ["male", "man", "boy", "girl"], ["married", "single", "divorced", "widowed", "separated"], ["spouse", "wife", "husband"], ["citizen", "born", "foreign"]
+_RACE = [
+    "laotian", "hmong", "cambodian", "vietnamese", "filipin", "chinese", "korean", "japanese", "asian", "pacific", "hawaiian", "samoan", "tongan", "white", "caucasian", "black", "african", "indian",
+    "alaska", "native", "indigenous", "hispanic", "latin", "mexican", "rican", "cuban", "eastern", "arab", "races", "multiracial", "mixed",
+]
+_EDUCATION = [["high school", "hs"], ["ged", "g.e.d."], ["college"], ["associate", "aa", "as"], ["bachelor", "ba", "bs", "b.a.", "b.s."], ["master", "ma", "ms", "m.a.", "m.s."], ["doctor", "ph"], ["md", "m.d.", "medical", "medicine"], ["jd", "j.d.", "law", "juris"], ["drop"], ["education"]]
+_EMPLOYMENT = [["employed", "work"], ["employed", "work", "jobless", "looking"], ["retired", "not"], ["military", "armed", "army", "navy", "air", "marine", "coast"], ["serving", "enlisted", "active"], ["stay", "home", "house"], ["student", "school", "attending"], ["disab"]]
+_MONTHS = [m.lower() for m in fixed.SHORT_MONTHS.split("|")]
+_DAY_HINTS = [["/", "-"], _MONTHS, _MONTHS, _MONTHS, ["/", "-"], _MONTHS]
+_TIME_HINTS = [[":"], ["am", "pm", "a.m.", "p.m."], [":"], ["noon", "midnight"], ["clock"]]
+
+
+@lru_cache(maxsize=16)
+def _found_in(session: int, name: str, types: tuple[str, ...] | None) -> Column:
+    # The expression is large: it is put together once for a column's name and a session.
+    text = F.col(name)
+    hints = F.struct(lowered(text).alias("low"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digit"))
+    return let(hints, lambda h: _found_with(text, h["low"], h["digit"], types))
+
+
+def found(name: str = "text", types: list[str] | None = None) -> Column:
+    """array of every quasi-identifier found in the column named (of these types only), in order of detection: qi_type, value, start, end, confidence,
+    granularity, unseen, detector, ord; null for a null text."""
+    return _found_in(id(SparkSession.getActiveSession()), name, None if types is None else tuple(types))
+
+
+def _found_with(text: Column, low: Column, digit: Column, types: tuple[str, ...] | None) -> Column:
     parts: list[tuple[str, Column]] = []
-    add = lambda *a, **k: parts.append((a[0], _rows(a[0], len(parts), *a[1:], **k)))
+    empty = F.array().cast(f"array<{_FOUND}>")
+
+    def add(kind: str, hints: list[str] | None, spans, *rest, only: Column | None = None, **named) -> None:
+        if types is not None and kind not in types:
+            parts.append((kind, empty))
+            return
+        rows = _rows(kind, len(parts), spans(), *rest, **named).cast(f"array<{_FOUND}>")
+        rows = hinted(low, hints, rows) if hints else rows
+        parts.append((kind, F.coalesce(rows if only is None else F.when(only, rows), empty)))
+
     bucket = lambda s: F.when(s["group"].cast("int") <= 120, F.concat((F.floor(s["group"].cast("int") / 5) * 5).cast("string"), F.lit("-"), (F.floor(s["group"].cast("int") / 5) * 5 + 4).cast("string")))
     lower = lambda s: F.lower(s["group"])
     for p in fixed.AGE:
-        add("age", matches(text, pattern_of(p), 1), bucket, 0.9, "5yr_bucket")
+        add("age", _AGE, lambda: matches(text, pattern_of(p), 1), bucket, 0.9, "5yr_bucket", only=digit)
     for p in fixed.SEX:
-        add("sex", matches(text, pattern_of(p), 1), lambda s: _literal_map(fixed.SEX_VALUES)[lower(s)], 0.85)
-    add("marital_status", matches(text, pattern_of(fixed.MARITAL), 1), lambda s: _literal_map(fixed.MARITAL_VALUES)[lower(s)], 0.82)
-    add("marital_status", matches(text, pattern_of(fixed.SPOUSE)), _fixed_value("married"), 0.8)
+        add("sex", _SEX, lambda: matches(text, pattern_of(p), 1), lambda s: _literal_map(fixed.SEX_VALUES)[lower(s)], 0.85)
+    add("marital_status", _MARITAL, lambda: matches(text, pattern_of(fixed.MARITAL), 1), lambda s: _literal_map(fixed.MARITAL_VALUES)[lower(s)], 0.82)
+    add("marital_status", _SPOUSE, lambda: matches(text, pattern_of(fixed.SPOUSE)), _fixed_value("married"), 0.8)
     for p, value in fixed.CITIZENSHIP:
-        add("citizenship", matches(text, pattern_of(p)), _fixed_value(value), 0.85)
+        add("citizenship", _CITIZEN, lambda: matches(text, pattern_of(p)), _fixed_value(value), 0.85)
     race = lambda s: F.coalesce(_literal_map(fixed.RACE_VALUES)[lower(s)], F.replace(lower(s), F.lit(" "), F.lit("_")))
-    add("race", matches(text, pattern_of(fixed.RACE), 1), race, 0.78, unseen=lambda s: lower(s).isin(fixed.RACE_UNSEEN))
-    add("state", _places(text, fixed.STATES), lambda s: s["group"], 0.88, "state", detector="gazetteer")
-    add("state", matches(text, pattern_of(fixed.STATE_CODE, False), 1), lambda s: F.when(s["group"].isin(sorted(set(fixed.STATES.values()))), s["group"]), 0.75, "state")
-    add("occupation", _first_of(text, fixed.OCCUPATIONS), lambda s: s["group"], 0.8, "occupation_broad", detector="keyword")
-    for kind, patterns, confidence, grain in (("date", fixed.DATES, 0.85, "full_date"), ("time", fixed.TIMES, 0.8, "time"), ("datetime", fixed.STAMP_FORMS, 0.9, "datetime")):
-        for p in patterns:
-            add(kind, matches(text, pattern_of(p)), lambda s: s["value"], confidence, grain)
+    add("race", _RACE, lambda: matches(text, pattern_of(fixed.RACE), 1), race, 0.78, unseen=lambda s: lower(s).isin(fixed.RACE_UNSEEN))
+    add("state", list(fixed.STATES), lambda: _places(text, fixed.STATES), lambda s: s["group"], 0.88, "state", detector="gazetteer")
+    add("state", None, lambda: matches(text, pattern_of(fixed.STATE_CODE, False), 1), lambda s: F.when(s["group"].isin(sorted(set(fixed.STATES.values()))), s["group"]), 0.75, "state", only=F.rlike(text, F.lit("[A-Z][A-Z]")))
+    add("occupation", list(fixed.OCCUPATIONS), lambda: _first_of(text, fixed.OCCUPATIONS), lambda s: s["group"], 0.8, "occupation_broad", detector="keyword")
+    for p, hints in zip(fixed.DATES, _DAY_HINTS, strict=True):
+        add("date", hints, lambda: matches(text, pattern_of(p)), lambda s: s["value"], 0.85, "full_date", only=digit)
+    for p, hints in zip(fixed.TIMES, _TIME_HINTS, strict=True):
+        add("time", hints, lambda: matches(text, pattern_of(p)), lambda s: s["value"], 0.8, "time", only=None if hints[0] == "noon" else digit)
+    for p in fixed.STAMP_FORMS:
+        add("datetime", [":"], lambda: matches(text, pattern_of(p)), lambda s: s["value"], 0.9, "datetime", only=digit)
     for term in fixed.RARE_OCCUPATIONS:
-        add("occupation", _place(text, term), _fixed_value(term), 0.85, "specific", detector="gazetteer")
+        add("occupation", [term], lambda: _place(text, term), _fixed_value(term), 0.85, "specific", detector="gazetteer")
     for term in fixed.RARE_DISEASES:
-        add("condition", _place(text, term), _fixed_value(term.replace(" ", "_").replace("-", "_")), 0.85, detector="gazetteer")
-    for p, value in fixed.EDUCATION:
-        add("education", F.slice(matches(text, pattern_of(p)), 1, 1), _fixed_value(value), 0.8)
-    for p, value in fixed.EMPLOYMENT:
-        add("employment", F.slice(matches(text, pattern_of(p)), 1, 1), _fixed_value(value), 0.82)
-    return docs.select("doc_id", F.explode(F.concat(*(part for kind, part in parts if types is None or kind in types))).alias("q")).select("doc_id", "q.*")
-
-
-def dedup(found: DataFrame) -> DataFrame:
-    """The first row of each document, type and value; the largest confidence; other detectors that agree."""
-    key = W.partitionBy("doc_id", "qi_type", "value")
-    every = key.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = found.withColumn("_n", F.row_number().over(key.orderBy("ord"))).withColumn("_best", F.max("confidence").over(every)).withColumn("_all", F.collect_set("detector").over(every))
-    return rows.where("_n = 1").withColumn("confidence", F.col("_best")).withColumn("agreement", F.array_sort(F.array_except("_all", F.array("detector")))).drop("_n", "_best", "_all")
-
-
-def assertion(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """found with assertion: negated if a negation stands in the 50 characters before the value's first place in the text."""
-    low = F.lower("text")
-    at = F.instr(low, F.replace(F.lower("value"), F.lit("_"), F.lit(" ")))
-    before = F.substring(low, F.greatest(F.lit(1), at - 50), F.least(F.lit(50), at - 1))
-    status = F.when((at > 1) & F.rlike(before, F.lit(pattern_of(fixed.NEGATION))), "negated").otherwise("present")
-    return found.join(docs.select("doc_id", "text"), "doc_id").withColumn("assertion", status).drop("text")
-
-
-def joint_key(found: DataFrame) -> DataFrame:
-    """doc_id, qi (map of type to value, the last value of a type), types (sorted) and key of what is asserted."""
-    last = found.where("assertion = 'present' and value <> ''").groupBy("doc_id", "qi_type").agg(F.max_by("value", "ord").alias("value"), F.bool_or("unseen").alias("unseen"))
-    entries = F.array_sort(F.collect_list(F.struct("qi_type", "value")))
-    return last.groupBy("doc_id").agg(F.map_from_entries(entries).alias("qi"), F.bool_or("unseen").alias("has_unseen")).withColumn("types", F.array_sort(F.map_keys("qi"))).withColumn("key", F.to_json("qi"))
+        add("condition", [term], lambda: _place(text, term), _fixed_value(term.replace(" ", "_").replace("-", "_")), 0.85, detector="gazetteer")
+    for (p, value), hints in zip(fixed.EDUCATION, _EDUCATION, strict=True):
+        add("education", hints, lambda: F.slice(matches(text, pattern_of(p)), 1, 1), _fixed_value(value), 0.8)
+    for (p, value), hints in zip(fixed.EMPLOYMENT, _EMPLOYMENT, strict=True):
+        add("employment", hints, lambda: F.slice(matches(text, pattern_of(p)), 1, 1), _fixed_value(value), 0.82)
+    return F.concat(*(part for kind, part in parts if types is None or kind in types))
+
+
+def detect(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """doc_id, qi_type, value, start, end, confidence, granularity, unseen, detector, ord for every quasi-identifier found (of these types only)."""
+    rows = docs.select("doc_id", F.explode_outer(found("text", types)).alias("q")).select("doc_id", "q.*")
+    return rows.where("qi_type is not null")
+
+
+def deduplicated(rows: Column) -> Column:
+    """The first of each type and value of found(), within the row; the largest confidence; the detectors that agree (sorted)."""
+    names = ["qi_type", "value", "start", "end", "granularity", "unseen", "detector"]
+
+    def one(keys: Column) -> Column:
+        def entry(x: Column, i: Column) -> Column:
+            same = F.filter(rows, lambda y: (y["qi_type"] == x["qi_type"]) & (y["value"] == x["value"]))
+            agree = F.array_sort(F.array_except(F.transform(same, lambda y: y["detector"]), F.array(x["detector"])))
+            made = F.struct(*(x[n].alias(n) for n in names), F.array_max(F.transform(same, lambda y: y["confidence"])).alias("confidence"), agree.alias("agreement"))
+            return F.when(F.array_position(keys, F.get(keys, i)) == i + 1, made)
+
+        return F.filter(F.transform(rows, entry), lambda x: x.isNotNull())
+
+    keys = F.transform(rows, lambda x: F.struct(x["qi_type"].alias("t"), x["value"].alias("v")))
+    return let(keys, one)
+
+
+def asserted(rows: Column, text: Column) -> Column:
+    """rows with assertion: negated if a negation stands in the 50 characters before the value's first place in the text."""
+
+    def one(x: Column) -> Column:
+        at = F.instr(F.lower(text), F.replace(F.lower(x["value"]), F.lit("_"), F.lit(" ")))
+        before = F.substring(F.lower(text), F.greatest(F.lit(1), at - 50), F.least(F.lit(50), at - 1))
+        return x.withField("assertion", F.when((at > 1) & F.rlike(before, F.lit(pattern_of(fixed.NEGATION))), "negated").otherwise("present"))
+
+    return F.transform(rows, one)
+
+
+def identify(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """docs with qi: an array of what was found, without repeats and with assertions.  Null and repeated ids don't matter: each row is worked off by itself."""
+    text, none = F.col("text"), F.array().cast(f"array<{_FOUND}>")
+    return docs.withColumn("qi", let(F.coalesce(found("text", types), none), lambda rows: asserted(deduplicated(rows), text)))
+
+
+def key_parts(qi: Column) -> Column:
+    """array<struct<t, v>> of what is asserted, by type: the last value of each type, but empty ones."""
+
+    def parts(own: Column) -> Column:
+        types = F.array_sort(F.array_distinct(F.transform(own, lambda x: x["qi_type"])))
+        return F.transform(types, lambda t: F.struct(t.alias("t"), F.element_at(F.filter(own, lambda x: x["qi_type"] == t), -1)["value"].alias("v")))
+
+    return let(F.filter(qi, lambda x: (x["assertion"] == "present") & (x["value"] != "")), parts)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import pattern_of
+from ..functions.spans import let, pattern_of
 from ..operators import corpus, evaluate, frequency, gate, pii, population, quasi
+from ..operators.scratch import written
 from ..streaming.incremental import run_windowed_counts
 
 _FACTS = ["balance", "nation", "segment"]
@@ -26,7 +27,7 @@ def _count(text, pattern: str):
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents as routed texts: id, expected, direct, quasi, k_lower, joint_risk, tier, llm_used, text_length."""
+    """Labelled documents as routed texts: id, expected, direct, quasi, k_lower, joint_risk, tier, llm_used, text_length; wiki: those of another language."""
     docs = table(spark, sf_dir, "documents")
     groups = docs.groupBy("lang", "source").agg(F.count("*").alias("k"))
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("expected"))
@@ -34,7 +35,7 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     rows = rows.select(
         F.col("doc_id").alias("id"), "expected", sum((_count(text, fixed.PII[t][0]) for t in ("EMAIL_ADDRESS", "PHONE_NUMBER")), F.lit(0)).alias("direct"), _count(text, fixed.PRONOUNS).alias("quasi"),
-        F.when(F.col("k") >= 30, float("inf")).otherwise(F.col("k").cast("double")).alias("k_lower"), F.length(text).alias("text_length"),
+        F.when(F.col("k") >= 30, float("inf")).otherwise(F.col("k").cast("double")).alias("k_lower"), F.length(text).alias("text_length"), gate.text_features(text)[1], _count(text, fixed.DAY_FORMS[0]).alias("date_count"), (F.col("lang") != "en").alias("wiki"),
     )
     tier = F.when(F.col("k_lower") < 5, 3).when(F.col("direct") > 0, 2).otherwise(1)
     # Counted once, before rows meet many settings: an exchange of narrow rows ends the stage that reads texts.
@@ -48,7 +49,8 @@ def _sql_count(pattern: str) -> str:
 _R = f"""
 g AS (SELECT lang, source, count(*) AS k FROM documents GROUP BY ALL),
 r0 AS (SELECT doc_id AS id, toxic = 1 AS expected, {_sql_count(fixed.PII["EMAIL_ADDRESS"][0])} + {_sql_count(fixed.PII["PHONE_NUMBER"][0])} AS direct, {_sql_count(fixed.PRONOUNS)} AS quasi,
-              CASE WHEN k >= 30 THEN 'inf'::DOUBLE ELSE k::DOUBLE END AS k_lower, length(text) AS text_length
+              CASE WHEN k >= 30 THEN 'inf'::DOUBLE ELSE k::DOUBLE END AS k_lower, length(text) AS text_length, lang <> 'en' AS wiki,
+              len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word_count, {_sql_count(fixed.DAY_FORMS[0])} AS date_count
        FROM documents JOIN labels USING (doc_id) JOIN g USING (lang, source)),
 r AS (SELECT *, CASE WHEN k_lower = 0 OR k_lower = 'inf'::DOUBLE THEN 0.0 ELSE least(1.0, 1 / k_lower) END AS joint_risk, CASE WHEN k_lower < 5 THEN 3 WHEN direct > 0 THEN 2 ELSE 1 END AS tier, quasi >= 3 AS llm_used FROM r0),
 n AS (SELECT *, direct / greatest(1.0, max(direct) OVER ()) AS d, quasi / greatest(1.0, max(quasi) OVER ()) AS q FROM r)"""
@@ -81,38 +83,44 @@ def pii_counts(spark, sf_dir):
     return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
 
 
+def _identified(spark, sf_dir, pii_too: bool = True) -> DataFrame:
+    """Documents with merged identifier spans and quasi-identifiers, found within the row."""
+    docs = quasi.identify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.withColumn("pii", pii.merged(pii.evidence(F.col("text")))) if pii_too else docs
+
+
 @register()
 def pii_merged(spark, sf_dir):
-    return pii.merge(pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode_outer(pii.merged(pii.evidence(F.col("text")))).alias("s")).where("s is not null").select("doc_id", "s.*")
 
 
 @register()
 def pii_masked(spark, sf_dir):
     """Both masked views: strong and direct identifiers only, and all."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    merged = pii.merge(pii.detect(docs))
-    strong = pii.mask(docs, merged, fixed.CATEGORIES[:2]).select("doc_id", F.col("masked").alias("masked_text"))
-    full = pii.mask(docs, merged).select("doc_id", F.col("masked").alias("pii_masked_text"), F.length("text").alias("n"))
-    return full.join(strong, "doc_id").select("doc_id", F.md5("masked_text").alias("masked_md5"), F.md5("pii_masked_text").alias("pii_masked_md5"), ((F.col("n") - F.length("masked_text")) / F.greatest("n", F.lit(1))).alias("masking_ratio"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", pii.merged(pii.evidence(F.col("text"))))
+    both = docs.select("doc_id", F.length("text").alias("n"), pii.masked(F.col("text"), F.col("spans"), fixed.CATEGORIES[:2]).alias("masked"), pii.masked(F.col("text"), F.col("spans")).alias("full"))
+    return both.select("doc_id", F.md5("masked").alias("masked_md5"), F.md5("full").alias("pii_masked_md5"), ((F.col("n") - F.length("masked")) / F.greatest("n", F.lit(1))).alias("masking_ratio"))
 
 
 @register()
 def everything_masked(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = quasi.dedup(quasi.detect(docs))
-    return pii.mask_everything(docs, pii.merge(pii.detect(docs)), found).select("doc_id", F.md5("masked").alias("masked_md5"))
+    return _identified(spark, sf_dir).select("doc_id", F.md5(pii.all_masked(F.col("text"), F.col("pii"), F.col("qi"))).alias("masked_md5"))
 
 
 @register()
 def quasi_identifiers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quasi.assertion(quasi.dedup(quasi.detect(docs)), docs).select("doc_id", "qi_type", "value", "start", "end", "confidence", "granularity", "unseen", "agreement", "assertion")
+    # An outer explode and a test behind it: a test before it would find everything twice.
+    rows = _identified(spark, sf_dir, False).select("doc_id", F.explode_outer("qi").alias("q")).where("q is not null")
+    return rows.select("doc_id", *(f"q.{c}" for c in ("qi_type", "value", "start", "end", "confidence", "granularity", "unseen", "agreement", "assertion")))
 
 
 @register()
 def quasi_joint_keys(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quasi.joint_key(quasi.assertion(quasi.dedup(quasi.detect(docs)), docs)).select("doc_id", F.array_join("types", ",").alias("types"), "key", "has_unseen")
+    unseen = lambda qi: F.exists(qi, lambda q: q["unseen"] & (q["assertion"] == "present"))
+    made = let(F.col("qi"), lambda qi: F.struct(quasi.key_parts(qi).alias("pairs"), unseen(qi).alias("has_unseen")))
+    rows = _identified(spark, sf_dir, False).select("doc_id", F.explode_outer(F.array(made)).alias("x")).where(F.size("x.pairs") > 0)
+    return rows.select("doc_id", F.array_join(F.transform("x.pairs", lambda x: x["t"]), ",").alias("types"), frequency.joint_key(F.col("x.pairs")).alias("key"), "x.has_unseen")
 
 
 @register("SELECT doc_id, length(text) AS text_length, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS word_count, length(regexp_replace(text, '[^.!?]', '', 'g')) AS sentence_count FROM documents")
@@ -154,24 +162,26 @@ def marginal_bounds(spark, sf_dir):
 
 
 @register(f"""
-WITH {_F}, pop AS (SELECT * FROM f WHERE id % 3 = 0),
+WITH {_F}, pop AS (SELECT * FROM f), people AS (SELECT * FROM f UNION ALL SELECT -s_suppkey, floor(s_acctbal / 2000)::BIGINT::VARCHAR, n_name, NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 t AS (SELECT {_KEYS} AS key, count(*)::DOUBLE AS c, (SELECT count(*)::DOUBLE FROM pop) AS n, count(*) / (SELECT count(*) FROM pop) AS p FROM pop GROUP BY {_SETS}),
-one AS (SELECT id, unnest(['balance=' || balance, 'nation=' || nation, 'segment=' || segment]) AS key FROM f),
-two AS (SELECT id, unnest(['balance=' || balance || '|nation=' || nation, 'balance=' || balance || '|segment=' || segment, 'nation=' || nation || '|segment=' || segment]) AS key FROM f),
-j AS (SELECT f.id, c, p, n FROM f JOIN t ON key = 'balance=' || balance || '|nation=' || nation || '|segment=' || segment),
+one AS (SELECT id, unnest(list_filter(['balance=' || balance, 'nation=' || nation, 'segment=' || segment], lambda x: x IS NOT NULL)) AS key FROM people),
+two AS (SELECT id, unnest(list_filter(['balance=' || balance || '|nation=' || nation, 'balance=' || balance || '|segment=' || segment, 'nation=' || nation || '|segment=' || segment], lambda x: x IS NOT NULL)) AS key FROM people),
+j AS (SELECT people.id, c, p, n FROM people JOIN t ON key = concat_ws('|', 'balance=' || balance, 'nation=' || nation, 'segment=' || segment)),
 pw AS (SELECT id, min(p * n) AS pair FROM two JOIN t USING (key) GROUP BY id),
-m AS (SELECT id, min(p * (SELECT count(*) FROM pop)) AS least, count(p) AS found, count(*) - count(p) AS missing, (SELECT count(*) FROM pop) AS n, greatest(0, sum(coalesce(p, 0)) - (count(*) - 1)) AS fl, min(p) AS pl FROM one LEFT JOIN t USING (key) GROUP BY id),
-x AS (SELECT f.id, CASE WHEN j.c IS NOT NULL THEN 'empirical_joint' WHEN pair IS NOT NULL THEN 'pairwise_min_bound' WHEN least IS NOT NULL THEN 'min_marginal_bound' ELSE 'unavailable' END AS method,
-      j.c, j.p, j.n, pair, least, found, missing, m.n AS mn, fl, pl FROM f LEFT JOIN j USING (id) LEFT JOIN pw USING (id) LEFT JOIN m USING (id))
-SELECT id, 3 AS qis, method, round(CASE method WHEN 'empirical_joint' THEN c WHEN 'pairwise_min_bound' THEN pair WHEN 'min_marginal_bound' THEN least END, 6) AS k_point,
+m AS (SELECT id, min(p * (SELECT count(*) FROM pop)) AS least, count(p) AS found, count(*) - count(p) AS missing, (SELECT count(*) FROM pop) AS n, greatest(0, sum(coalesce(greatest(0, p - 1.96 * sqrt(p * (1 - p) / greatest(c, 1))), 0)) - (count(*) - 1)) AS fl, min(greatest(0, p - 1.96 * sqrt(p * (1 - p) / greatest(c, 1)))) AS pl FROM one LEFT JOIN t USING (key) GROUP BY id),
+x AS (SELECT people.id, 2 + (segment IS NOT NULL)::INT AS qis, CASE WHEN j.c IS NOT NULL THEN 'empirical_joint' WHEN pair IS NOT NULL THEN 'pairwise_min_bound' WHEN least IS NOT NULL THEN 'min_marginal_bound' ELSE 'unavailable' END AS method,
+      j.c, j.p, j.n, pair, least, found, missing, m.n AS mn, fl, pl FROM people LEFT JOIN j USING (id) LEFT JOIN pw USING (id) LEFT JOIN m USING (id))
+SELECT id, qis, method, CASE method WHEN 'empirical_joint' THEN 0.9::DOUBLE WHEN 'pairwise_min_bound' THEN 0.6::DOUBLE WHEN 'min_marginal_bound' THEN 0.4::DOUBLE END AS confidence, round(CASE method WHEN 'empirical_joint' THEN c WHEN 'pairwise_min_bound' THEN pair WHEN 'min_marginal_bound' THEN least END, 6) AS k_point,
  round(CASE method WHEN 'empirical_joint' THEN greatest(0, p - 1.96 * sqrt(p * (1 - p) / n)) * n WHEN 'pairwise_min_bound' THEN greatest(1, pair * 0.05) WHEN 'min_marginal_bound' THEN greatest(1, least * 0.01 * (found / (found + missing))) END, 6) AS k_lower,
  round(CASE method WHEN 'empirical_joint' THEN least(1, p + 1.96 * sqrt(p * (1 - p) / n)) * n WHEN 'pairwise_min_bound' THEN pair WHEN 'min_marginal_bound' THEN least END, 6) AS k_upper,
  round(CASE WHEN missing = 0 THEN fl * mn END, 6) AS frechet_lower, round(CASE WHEN missing = 0 THEN pl * mn END, 6) AS frechet_upper FROM x
 """)
 def tiered_k(spark, sf_dir):
-    """Customers' joint k against a population of a third of them: exact, pairwise and marginal estimates."""
+    """Joint k of customers, and of suppliers (who have no segment), against the population of all customers: exact, pairwise and marginal estimates."""
     facts = _facts(spark, sf_dir)
-    return rounded(frequency.estimates(facts, _FACTS, frequency.frequency_table(facts.where("id % 3 = 0"), _FACTS)))
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    others = s.join(n, s.s_nationkey == n.n_nationkey).select((-F.col("s_suppkey")).alias("id"), F.floor(F.col("s_acctbal") / 2000).cast("string").alias("balance"), F.col("n_name").alias("nation"), F.lit(None).cast("string").alias("segment"))
+    return rounded(frequency.estimates(facts.unionByName(others), _FACTS, written(frequency.frequency_table(facts, _FACTS), "frequencies")))
 
 
 @register(f"WITH {_R} SELECT id, unnest([{', '.join(map(str, fixed.K_LIST))}]) AS k, CASE WHEN k_lower < k THEN 3 WHEN direct > 0 THEN 2 ELSE 1 END AS tier FROM r")
@@ -179,18 +189,52 @@ def tier_by_k(spark, sf_dir):
     return evaluate.per_k(results(spark, sf_dir), fixed.K_LIST)
 
 
+def routing(docs: DataFrame, k_min: int = 5, k_safe: int = 20) -> DataFrame:
+    """docs (doc_id, text) from detection to the tier: the gate's features, k against the documents' own values, gate, hard stops, tier, flags.
+
+    Everything about a text is found within its row; only the narrow rows of features, written once, are joined and counted.
+    """
+    found = quasi.identify(docs).withColumn("pii", pii.merged(pii.evidence(F.col("text"))))
+    rows = gate.features(found).select("doc_id", quasi.key_parts(F.col("qi")).alias("pairs"), *GATE_FEATURES, F.substring(F.sha2("text", 256), 1, 32).alias("input_hash"))
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "features")
+    subsets = written(frequency.subset_table(rows), "subsets")
+    k = frequency.estimate_pairs(rows.select(F.col("row").alias("id"), "pairs"), subsets).select(F.col("id").alias("row"), "method", "k_point", "k_lower", "k_upper")
+    return gate.route(rows.join(k, "row"), k_min, k_safe).withColumn("uncertainty_flags", gate.uncertainty_flags())
+
+
+GATE_FEATURES = [
+    "text_length", "word_count", "sentence_count", "pii_count", "direct_count", "strong_count", "contextual_count", "qi_count", "qis_found", "date_count", "rare_disease", "rare_occupation", "rare",
+    "has_unseen", "disagreement", "mask_count", "mask_ratio",
+]
+
+
+@register()
+def gate_features(spark, sf_dir):
+    """Features of the gate for every document."""
+    return rounded(gate.features(_identified(spark, sf_dir)).select("doc_id", *GATE_FEATURES))
+
+
+@register()
+def routed(spark, sf_dir):
+    """Every document from detection to its tier."""
+    rows = routing(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rounded(rows.select("doc_id", "input_hash", "method", "k_lower", "gate_decision", F.array_join("hard_stop_reasons", "; ").alias("hard_stops"), F.array_join("uncertainty_flags", ",").alias("flags"), "direct_count", "qis_found", "tier"))
+
+
 def _gate_features(spark, sf_dir):
     r = results(spark, sf_dir)
     method = F.when(F.col("quasi") > 4, "pairwise_min_bound").otherwise("empirical_joint")
-    return r.select("id", F.when(F.col("quasi") == 7, None).otherwise(F.col("k_lower")).alias("k_lower"), method.alias("method"), F.lit(0).alias("date_count"), F.col("quasi").alias("qi_count"), F.lit(0).alias("contextual_count"), F.col("text_length").alias("word_count"), F.lit(False).alias("rare"), F.col("direct").alias("pii_count"))
+    k = F.when(F.col("quasi") == 7, None).otherwise(F.col("k_lower"))
+    return r.select("id", k.alias("k_lower"), method.alias("method"), "date_count", F.col("quasi").alias("qi_count"), F.lit(0).alias("contextual_count"), "word_count", F.lit(False).alias("disagreement"), F.lit(False).alias("rare"), F.col("direct").alias("pii_count"))
 
 
-@register(f"""WITH {_R}, x AS (SELECT id, CASE WHEN quasi = 7 THEN NULL ELSE k_lower END AS k, CASE WHEN quasi > 4 THEN 'pairwise_min_bound' ELSE 'empirical_joint' END AS method, quasi AS qi, text_length AS w, direct AS p FROM r),
-g2 AS (SELECT *, CASE WHEN k < 5 THEN 'UNSAFE' WHEN k IS NULL THEN 'UNSAFE' WHEN qi >= 5 AND k IS NULL THEN 'UNCERTAIN' WHEN qi / greatest(w, 1) > 0.1 THEN 'UNCERTAIN' WHEN k >= 20 THEN 'SAFE' WHEN qi <= 2 THEN 'SAFE' ELSE 'UNCERTAIN' END AS g,
+@register(f"""WITH {_R}, x AS (SELECT id, CASE WHEN quasi = 7 THEN NULL ELSE k_lower END AS k, CASE WHEN quasi > 4 THEN 'pairwise_min_bound' ELSE 'empirical_joint' END AS method, date_count AS dates, quasi AS qi, word_count AS w, direct AS p FROM r),
+g2 AS (SELECT *, CASE WHEN k < 5 THEN 'UNSAFE' WHEN k IS NULL THEN 'UNSAFE' WHEN dates >= 3 THEN 'UNCERTAIN' WHEN qi / greatest(w, 1) > 0.1 THEN 'UNCERTAIN' WHEN k >= 20 THEN 'SAFE' WHEN qi <= 2 THEN 'SAFE' ELSE 'UNCERTAIN' END AS g,
    (k < 5 AND method = 'empirical_joint') IS TRUE OR k IS NULL AS hard FROM x),
 g3 AS (SELECT *, CASE WHEN g = 'UNSAFE' AND method = 'pairwise_min_bound' AND k < 5 THEN 'UNCERTAIN' ELSE g END AS gate_decision FROM g2)
 SELECT id, gate_decision, hard::INT AS hard_stops, CASE WHEN hard THEN 3 WHEN gate_decision = 'SAFE' THEN CASE WHEN p > 0 THEN 2 ELSE 1 END WHEN gate_decision = 'UNSAFE' THEN 3 ELSE 2 END AS tier FROM g3""")
-def routed(spark, sf_dir):
+def gate_rules(spark, sf_dir):
+    """The rules of gate and tier over labelled documents, with pronouns as quasi-identifiers and groups of language and source as k."""
     return gate.route(_gate_features(spark, sf_dir)).select("id", "gate_decision", F.size("hard_stop_reasons").alias("hard_stops"), "tier")
 
 
@@ -212,14 +256,16 @@ def correlations(spark, sf_dir):
     return rounded(evaluate.correlations(results(spark, sf_dir), _FEATURES))
 
 
-def _metrics_sql(counts: str, keys: str) -> str:
+def _metrics_sql(counts: str, keys: str, rates: bool = False) -> str:
     d = lambda a, b: f"coalesce(({a}) / nullif({b}, 0), 0)"
+    n = "(tp + fp + tn + fn)"
+    more = f", round({d('reviews', n)}, 6) AS review_rate, round({d('blocks', n)}, 6) AS block_rate, round({d('tn + fn', n)}, 6) AS pass_rate, round({d('wm', 'wt')}, 6) AS wiki_fpr" if rates else ""
     p, r, s = d("tp", "tp + fp"), d("tp", "tp + fn"), d("tn", "tn + fp")
-    return f"SELECT {keys}, tp, fp, tn, fn, round({p}, 6) AS precision, round({r}, 6) AS recall, round({d('fp', 'fp + tn')}, 6) AS fpr, round({d(f'2 * {p} * {r}', f'({p} + {r})')}, 6) AS f1, round(({r} + {s}) / 2, 6) AS balanced_accuracy FROM {counts}"
+    return f"SELECT {keys}, tp, fp, tn, fn, round({p}, 6) AS precision, round({r}, 6) AS recall, round({d('fp', 'fp + tn')}, 6) AS fpr, round({d(f'2 * {p} * {r}', f'({p} + {r})')}, 6) AS f1, round(({r} + {s}) / 2, 6) AS balanced_accuracy{more} FROM {counts}"
 
 
-def _grid_sql() -> str:
-    rows = [f"('{n}', {i}, {', '.join(str(float((fixed.BASELINE | p)[k])) + '::DOUBLE' for k in fixed.BASELINE)})" for n, ps in evaluate.default_sweeps().items() for i, p in enumerate(ps)]
+def _grid_sql(sim: str) -> str:
+    rows = [f"('{n}', {i}, {', '.join(str(float((fixed.BASELINE | p)[k])) + '::DOUBLE' for k in fixed.BASELINE)})" for n, ps in evaluate.SWEEPS[sim]().items() for i, p in enumerate(ps)]
     return f"s(sweep, point, {', '.join(fixed.BASELINE)}) AS (VALUES {', '.join(rows)})"
 
 
@@ -229,39 +275,40 @@ _SIM = {
     "b": "CASE WHEN k_lower < k_min OR d >= tau_direct_block OR q >= tau_quasi_block OR (joint_risk + w_direct * d + w_quasi * q) / (1 + w_direct + w_quasi) >= tau_block THEN 2 WHEN d >= tau_direct_review OR q >= tau_quasi_review OR (joint_risk + w_direct * d + w_quasi * q) / (1 + w_direct + w_quasi) >= tau_review OR k_lower < k_safe THEN 1 ELSE 0 END",
     "c": f"CASE WHEN k_lower < k_min OR {_MIX} >= tau_block THEN 2 WHEN {_MIX} >= tau_review OR k_lower < k_safe THEN 1 ELSE 0 END",
 }
-_COUNTS = "count(*) FILTER (expected AND o > 0) AS tp, count(*) FILTER (NOT expected AND o > 0) AS fp, count(*) FILTER (NOT expected AND o = 0) AS tn, count(*) FILTER (expected AND o = 0) AS fn"
+_COUNTS = "count(*) FILTER (expected AND o > 0) AS tp, count(*) FILTER (NOT expected AND o > 0) AS fp, count(*) FILTER (NOT expected AND o = 0) AS tn, count(*) FILTER (expected AND o = 0) AS fn, count(*) FILTER (wiki AND o > 0) AS wm, count(*) FILTER (wiki) AS wt, count(*) FILTER (o = 1) AS reviews, count(*) FILTER (o = 2) AS blocks"
 
 
 def _points_sql(sim: str) -> str:
-    return f"WITH {_R}, {_grid_sql()}, m AS (SELECT *, {_SIM[sim]} AS o FROM n CROSS JOIN s), c AS (SELECT sweep, point, {_COUNTS} FROM m GROUP BY sweep, point), pts AS ({_metrics_sql('c', 'sweep, point')})"
+    return f"WITH {_R}, {_grid_sql(sim)}, m AS (SELECT *, {_SIM[sim]} AS o FROM n CROSS JOIN s), c AS (SELECT sweep, point, {_COUNTS} FROM m GROUP BY sweep, point), pts AS ({_metrics_sql('c', 'sweep, point', True)})"
 
 
 def _points(spark, sf_dir, sim: str) -> DataFrame:
     r = evaluate.normalise(results(spark, sf_dir))
-    return evaluate.confusion(r, evaluate.grid(spark, evaluate.default_sweeps()), sim)
+    return evaluate.confusion(r, evaluate.grid(spark, evaluate.SWEEPS[sim]()), sim)
 
 
 _POINT = ["sweep", "point", "tp", "fp", "tn", "fn", "precision", "recall", "fpr", "f1", "balanced_accuracy"]
+_RATES = ["review_rate", "block_rate", "pass_rate", "wiki_fpr"]
 
 
 @register(_points_sql("a") + " SELECT * FROM pts")
 def sweep_a(spark, sf_dir):
-    return rounded(_points(spark, sf_dir, "a").select(*_POINT))
+    return rounded(_points(spark, sf_dir, "a").select(*_POINT, *_RATES))
 
 
 @register(_points_sql("b") + " SELECT * FROM pts")
 def sweep_b(spark, sf_dir):
-    return rounded(_points(spark, sf_dir, "b").select(*_POINT))
+    return rounded(_points(spark, sf_dir, "b").select(*_POINT, *_RATES))
 
 
 @register(_points_sql("c") + " SELECT * FROM pts")
 def sweep_c(spark, sf_dir):
-    return rounded(_points(spark, sf_dir, "c").select(*_POINT))
+    return rounded(_points(spark, sf_dir, "c").select(*_POINT, *_RATES))
 
 
 @register(_points_sql("b") + ", e AS (SELECT sweep, point, fpr, 1 - recall AS fnr FROM pts) SELECT sweep, point, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr FROM e WHERE NOT EXISTS (SELECT 1 FROM e o WHERE o.fpr <= e.fpr AND o.fnr <= e.fnr AND (o.fpr < e.fpr OR o.fnr < e.fnr))")
 def pareto_points(spark, sf_dir):
-    points = rounded(_points(spark, sf_dir, "b").select(*_POINT)).withColumn("fnr", F.round(1 - F.col("recall"), 6))
+    points = rounded(_points(spark, sf_dir, "b").select(*_POINT, *_RATES)).withColumn("fnr", F.round(1 - F.col("recall"), 6))
     return evaluate.pareto(points).select("sweep", "point", "fpr", "fnr")
 
 
@@ -270,11 +317,16 @@ def top_points(spark, sf_dir):
     return rounded(_points(spark, sf_dir, "a").select("sweep", "point", "f1")).orderBy(F.desc("f1"), "sweep", "point").limit(10)
 
 
-@register(_points_sql("b") + """, a AS (SELECT *, 'best_f1' AS aim, -f1 AS o FROM pts UNION ALL SELECT *, 'best_balanced_accuracy', -balanced_accuracy FROM pts UNION ALL SELECT *, 'high_recall_fpr_le_15', -recall FROM pts WHERE fpr <= 0.15
- UNION ALL SELECT *, 'high_recall_fpr_le_10', -recall FROM pts WHERE fpr <= 0.1 UNION ALL SELECT *, 'low_fnr_fpr_le_15', round(1 - recall, 6) FROM pts WHERE fpr <= 0.15)
-SELECT aim, sweep, point FROM a QUALIFY row_number() OVER (PARTITION BY aim ORDER BY o, sweep, point) = 1""")
+_AIMS = {
+    "best_f1": ("true", "-f1"), "best_balanced_accuracy": ("true", "-balanced_accuracy"), "high_recall_fpr_le_15": ("fpr <= 0.15", "-recall"), "high_recall_fpr_le_10": ("fpr <= 0.1", "-recall"),
+    "high_recall_wiki_fpr_le_10": ("wiki_fpr <= 0.1", "-recall"), "low_fnr_fpr_le_15": ("fpr <= 0.15", "round(1 - recall, 6)"), "low_fnr_wiki_fpr_le_10": ("wiki_fpr <= 0.1", "round(1 - recall, 6)"),
+    "low_wiki_fpr_recall_ge_90": ("recall >= 0.9", "wiki_fpr"), "low_wiki_fpr_recall_ge_95": ("recall >= 0.95", "wiki_fpr"), "lowest_wiki_fpr": ("true", "wiki_fpr"),
+}
+
+
+@register(_points_sql("b") + ", a AS (" + " UNION ALL ".join(f"SELECT *, '{a}' AS aim, {by} AS o FROM pts WHERE {ok}" for a, (ok, by) in _AIMS.items()) + ") SELECT aim, sweep, point FROM a QUALIFY row_number() OVER (PARTITION BY aim ORDER BY o, sweep, point) = 1")
 def chosen_points(spark, sf_dir):
-    points = rounded(_points(spark, sf_dir, "b").select(*_POINT)).withColumn("fnr", F.round(1 - F.col("recall"), 6))
+    points = rounded(_points(spark, sf_dir, "b").select(*_POINT, *_RATES)).withColumn("fnr", F.round(1 - F.col("recall"), 6))
     return evaluate.choose(points).select("aim", "sweep", "point")
 
 
@@ -284,7 +336,7 @@ def _ablated(spark, sf_dir):
 
 
 _ABLATION = f"""WITH {_R}, s AS (SELECT * FROM (VALUES {', '.join(f"('{c}', {p}, {q})" for c, p, q in (('full', 1, 1), ('no_pii', 0, 1), ('no_qi', 1, 0), ('no_detectors', 0, 0)))}) t(condition, up, uq)),
-m0 AS (SELECT expected, condition, d * up AS d, q * uq AS q, CASE WHEN up + uq = 0 THEN 0 ELSE joint_risk END AS joint_risk, CASE WHEN up + uq = 0 THEN 'inf'::DOUBLE ELSE k_lower END AS k_lower,
+m0 AS (SELECT expected, wiki, condition, d * up AS d, q * uq AS q, CASE WHEN up + uq = 0 THEN 0 ELSE joint_risk END AS joint_risk, CASE WHEN up + uq = 0 THEN 'inf'::DOUBLE ELSE k_lower END AS k_lower,
    {', '.join(f'{float(v)}::DOUBLE AS {k}' for k, v in fixed.BASELINE.items())} FROM n CROSS JOIN s),
 m AS (SELECT *, {_SIM['c']} AS o FROM m0), c AS (SELECT condition, {_COUNTS} FROM m GROUP BY condition) {_metrics_sql('c', 'condition')}"""
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scratch import shared_folder
+
 
 def run_incremental(spark: SparkSession, source: str, schema, process: Callable[[DataFrame], DataFrame], out: str, state: str) -> None:
     """Process files new in ``source`` and append results to ``out``; ``state`` is the stream's checkpoint.
@@ -27,18 +27,12 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def stream_folder(spark: SparkSession) -> str:
-    """A new folder under the one that the cluster shares; a local one only where spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-veil-")
-    return f"{base}/veil-stream-{uuid.uuid4().hex}"
-
-
 def run_windowed_counts(spark: SparkSession, source: str, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """window, event_type, n, total of the event files in ``source``, streamed.
 
     Each batch writes the windows that it changed to its own folder; the newest row of a window is its count.
     """
-    folder = stream_folder(spark)
+    folder = shared_folder(spark, "stream")
     # Watermarks need a time with a zone: times without one are taken in the session's.
     events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -47,5 +41,8 @@ def run_windowed_counts(spark: SparkSession, source: str, late: str = "10 minute
 
     query = windowed_counts(events, late, size).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    changes = spark.read.parquet(f"{folder}/out")
+    # Without a file no batch has run, and nothing is written.
+    schema = "window struct<start:timestamp,end:timestamp>, event_type string, n long, total double, batch int"
+    rows = [] if query.lastProgress is None or not any(p["numInputRows"] for p in query.recentProgress) else None
+    changes = spark.createDataFrame(rows, schema) if rows is not None else spark.read.parquet(f"{folder}/out")
     return changes.groupBy("window", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
