@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -11,7 +12,7 @@ from veilspark.llm import crf, ctw, kneser_ney, sharding, simhash, tiling, warc
 from veilspark.llm.common import held_out
 from veilspark.llm.decision_list import quality_rules
 from veilspark.llm.pareto import pareto_mix
-from veilspark.llm.sanitise import find_private, sanitise_text, span_text
+from veilspark.llm.sanitise import base_spans, disclosure, find_private, sanitise_text, span_text
 
 SCHEMA = "doc_id long, text string, lang string, source string, _row string, SIZE string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -79,13 +80,29 @@ def test_mixing(spark, docs):
     assert pareto_mix(empty(spark, sized)).count() == 0
 
 
+def test_mixing_prefers_long_texts(spark):
+    rng = random.Random(9)
+    rows = [(i, f"s{i % 3}", rng.choice([3, 40, 500]), "x", "y") for i in range(900)] + [(i, "s1", 7, None, None) for i in range(50)] + [(None, None, None, None, None)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long, _plan string, _source string")
+    got = pareto_mix(sized).collect()
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1000 and all(r["taken"] <= 3 * r["size"] for r in own)
+        mean = [np.mean([r["copies"] for r in own if r["size"] == n]) for n in (3, 40, 500)]
+        assert mean[0] <= mean[1] <= mean[2] and (own[0]["target"] == 3 * own[0]["source_size"] or mean[0] < mean[2])
+        # Within the documents of one size the lowest ranks are taken.
+        for n in (3, 40, 500):
+            ranked = sorted((r["pareto_rank"], r["copies"]) for r in own if r["size"] == n and r["pareto_rank"] is not None)
+            assert [c for _, c in ranked] == sorted((c for _, c in ranked), reverse=True)
+
+
 def test_simhash_against_all_pairs(spark):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(40)]
     prints = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for b in base for _ in range(30)} | {0, 1})
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     for tile in (4096, 8):
-        edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 3, tile)
+        edges = simhash.links(spark.createDataFrame([(x, x) for x in signed], "id long, f0 long"), 3, 1, tile)
         roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
         label = {x: x for x in signed}
         changed = True
@@ -105,7 +122,26 @@ def test_near_duplicates(spark, docs):
     assert {r["component_id"] for r in rows if r["doc_id"] in (100, 101, 102)} == {100}
     assert all(r["component_id"] == 5 for r in rows if r["doc_id"] is not None and 200 <= r["doc_id"] < 210)
     assert simhash.near_duplicates(empty(spark, docs)).count() == 0
-    assert simhash.fingerprint(simhash.words_of(b"A b")) == simhash.fingerprint([b"a", b"b"])
+    assert simhash.fingerprint(simhash.words_of(b"A b")).tolist() == simhash.fingerprint([b"a", b"b"]).tolist()
+
+
+def test_wide_fingerprints(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows, base = [], [[rng.choice(vocabulary) for _ in range(300)] for _ in range(60)]
+    for i, words in enumerate(base):
+        rows.append((i, " ".join(words), "a", 1))
+        near = list(words)
+        for _ in range(4):  # 4 edits of 300 words: a similarity of about 0.87
+            near[rng.randrange(300)] = "edited"
+        rows.append((1000 + i, " ".join(near), "b", None))
+    d = spark.createDataFrame(rows, "doc_id long, text string, _row string, _best int")
+    for tile in (4096, 16):
+        prints = simhash.fingerprints(d, size=5, lanes=4).withColumnRenamed("doc_id", "id")
+        pairs = {(r["a"], r["b"]) for r in simhash.links(prints, 44, 4, tile).collect()}
+        assert all(b - a == 1000 for a, b in pairs) and len(pairs) >= 57
+    kept = simhash.one_of_each_group(d)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} >= set(range(60)) and kept.count() <= 63
 
 
 def test_tiling(spark, docs):
@@ -114,10 +150,37 @@ def test_tiling(spark, docs):
     bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "")], "item_id long, text string")
     d = spark.createDataFrame(texts, "doc_id long, text string")
     assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in tiling.contaminated(d, bench).collect()) == [(1, 7, 1.0), (2, 7, 1.0)]
-    assert sorted(r["doc_id"] for r in tiling.clean_documents(d, bench, block_bytes=10).collect()) == [3, 4, 5]
+    assert sorted(r["doc_id"] for r in tiling.clean_documents(d.withColumn("_row", F.lit(1)), bench).collect()) == [3, 4, 5]
     assert tiling.contaminated(docs, empty(spark, bench)).count() == 0 and tiling.contaminated(empty(spark, d), bench).count() == 0
 
 
+def test_tiles_of_repeats(spark):
+    rng, known = random.Random(1), {}
+    for _ in range(200):
+        a, b = ([bytes([97 + rng.randrange(3)]) for _ in range(rng.randrange(3, n))] for n in (30, 40))
+        used_a, used_b, want = set(), set(), []
+        while True:
+            found = []
+            for i in range(len(a)):
+                for d in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and d + n < len(b) and a[i + n] == b[d + n] and i + n not in used_a and d + n not in used_b:
+                        n += 1
+                    if n >= 3:
+                        found.append((-n, i, d))
+            if not found:
+                break
+            n, i, d = min(found)
+            used_a.update(range(i, i - n))
+            used_b.update(range(d, d - n))
+            want.append((i, d, -n))
+        assert tiling.tiles(tiling.word_ids(a, known), tiling.word_ids(b, known), np.arange(len(b)), 3) == want
+    repeats = "ha " * 40_000
+    bench = spark.createDataFrame([(1, "ha " * 4000), (2, "one")], "item_id long, text string")
+    d = spark.createDataFrame([(1, repeats, "x"), (1, repeats, "x"), (None, "one two", "y"), (3, None, None)], "doc_id long, text string, _doc string")
+    assert sorted((str(r["doc_id"]), r["item_id"]) for r in tiling.contaminated(d, bench).collect()) == [("1", 1), ("1", 1), ("None", 2)]
+
+
 def test_warc_salvage(spark, tmp_path):
     page = "<p>" + "x" * 2000
     pages = spark.createDataFrame([(1, "http://a b", page), (2, None, page), (3, "u", None), (4, "u", "é"), (None, "u", page)], "page_id long, url string, html string")
@@ -138,6 +201,85 @@ def test_warc_salvage(spark, tmp_path):
         gaps = [(x["offset"], x["length"]) for x in found if x["kind"] == "gap"]
         assert gaps == [(0, 4), (4 + len(parts[0]), len(parts[1]))]
     assert warc.dedup_plan(empty(spark, pages)).count() == 0
+    # A member of three records, the second damaged; the whole broken off; a member that inflates too far.
+    inside = records[0] + records[1][:60] + b"#" + records[1][61:] + records[2]
+    got = list(warc.salvage(warc.gzip_member(inside)))
+    assert [x.get("record_id") for x in got if x["kind"] == "record"] == ["r0", "r2"] and [(x["inner_offset"], x["inner_length"]) for x in got if x["kind"] == "gap"] == [(len(records[0]), len(records[1]))]
+    assert [x["gaps_before"] for x in got if x["kind"] == "record"] == [0, 1]
+    noise = warc.record_bytes("response", "n", "u", random.Random(1).randbytes(60_000), hashlib.sha1(random.Random(1).randbytes(60_000)).hexdigest(), None)
+    cut = warc.gzip_member(records[0] + noise)[:-20_000] + warc.gzip_member(records[3])
+    got = list(warc.salvage(cut))
+    assert [x.get("record_id") for x in got if x["kind"] == "record"] == ["r0", "r3"] and [x["reason"] for x in got if x["kind"] == "gap"]
+    assert [x["kind"] for x in warc.salvage(warc.gzip_member(noise), most_inflated=1000)] == ["gap"]
+
+
+def test_warc_tables(spark, tmp_path):
+    long = "<p>" + "y" * 3_000_000
+    rows = [(1, "u", long, "a"), (1, "u", long, "b"), (2, "u", long, None), (3, "u", None, None), (3, "u", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
+    for p, n in ((pages, 5), (empty(spark, pages), 0)):
+        warc.write_warc(warc.dedup_plan(p), f"{tmp_path}/{n}", file_bytes=100)
+        got = warc.read_warc(spark, f"{tmp_path}/{n}", payloads=False).collect()
+        assert sorted((r["record_id"], r["record_type"], r["payload_bytes"]) for r in got) == sorted((f"urn:page:{i}", "revisit" if i == 1 else "response", 0 if t is None else len(t)) for i, _, t, _ in rows[:n])
+
+
+def _tree_bits(cells, context, byte):
+    """Eight binary choices of a byte after its context, in the weighted tree of cells: plain recursion over all nodes."""
+
+    def counts(suffix, node):
+        return [sum(n for (c, b), n in cells.items() if c[len(c) - len(suffix) :] == suffix and (256 + b) >> (8 - node.bit_length() + 1) == node and (b >> (8 - node.bit_length()) & 1) == bit) for bit in (0, 1)]
+
+    def log_kt(n0, n1):
+        return math.lgamma(n0 + 0.5) + math.lgamma(n1 + 0.5) - math.lgamma(n0 + n1 + 1) - math.log(math.pi)
+
+    def weighted(suffix, node):
+        n0, n1 = counts(suffix, node)
+        own = log_kt(n0, n1)
+        if len(suffix) == ctw.DEPTH:
+            return own, 1.0
+        children = {c[len(c) - len(suffix) - 1 :] for c, _ in cells if c[len(c) - len(suffix) :] == suffix}
+        below = sum(weighted(c, node)[0] for c in children)
+        total = max(own, below) + math.log1p(math.exp(-abs(own - below))) - math.log(2)
+        return total, math.exp(own - math.log(2) - total)
+
+    out = 0.0
+    for j in range(8):
+        node, bit, share, rest, end = (1 << j) | byte >> (8 - j), byte >> (7 - j) & 1, 0.0, 1.0, 0.5
+        for d in range(ctw.DEPTH + 1):
+            n0, n1 = counts(context[len(context) - d :], node)
+            if d and n0 + n1 == 0:
+                break
+            kt, beta = (n1 + 0.5) / (n0 + n1 + 1), weighted(context[len(context) - d :], node)[1]
+            end = share + rest * kt
+            share, rest = share + rest * beta * kt, rest * (1 - beta)
+        out += math.log10(end if bit else 1 - end)
+    return out
+
+
+def test_tree_against_recursion(spark):
+    words = [("en", b"aba", 5), ("en", b"ab", 3), ("en", b"b", 1), ("de", b"aba", 2), ("de", b"caa", 0), ("", "é".encode(), 1)]
+    table = spark.createDataFrame(words, "lang string, w binary, n long").withColumn("k", F.monotonically_increasing_id())
+    cells = Counter()
+    coded = {}
+    for g, w, n in words:
+        row = ctw.before_word(g) + w + ctw.MARK
+        coded[g, w] = [(row[i - ctw.DEPTH : i], row[i]) for i in range(ctw.DEPTH, len(row))]
+        for c in coded[g, w]:
+            cells[c] += n
+    read = ctw.weigh(ctw.count_cells(table))
+    for most in (1 << 20, 0):
+        got = {(r["lang"], bytes(r["w"])): r["lp"] for r in table.join(ctw.score_words(table, read, most), "k").collect()}
+        for g, w, _ in words:
+            want = sum(_tree_bits(cells, c, b) for c, b in coded[g, w])
+            assert abs(got[g, w] - want) < 1e-8 * abs(want)
+
+
+def test_scores_stand_alone(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the", "tree", "of", "stone"]) for _ in range(rng.randrange(400))) + "\n\n  x" * (i % 3), "en" if i % 2 else None) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole, parts = ({r["doc_id"]: r["score"] for r in ctw.score_texts(x, F.col("doc_id") % 7 == 2, frequent=n, most_sent=m).collect()} for x, n, m in ((d.coalesce(1), 1 << 19, 1 << 22), (d.repartition(5, "doc_id"), 2, 0)))
+    assert all(abs(whole[i] - parts[i]) <= 1e-9 * abs(whole[i]) for i in whole)
 
 
 def test_context_tree(spark, docs):
@@ -159,9 +301,11 @@ def test_kneser_ney(spark, docs, labels):
     assert len(rows) == docs.count()
     assert kneser_ney.quality(docs, empty(spark, labels)).where("kept").count() == docs.count()
     assert kneser_ney.quality(empty(spark, docs), labels).count() == 0
-    model = kneser_ney.train(docs.where("doc_id < 40").select(F.col("text").cast("binary").alias("text")))
+    model, _ = kneser_ney.train(docs.where("doc_id < 40").select(F.col("text").cast("binary").alias("text")))
     a, b = (kneser_ney.surprise(model, [t])[0][0] for t in (b"the tree of the river", b"zzz qqq xxx yyy vvv"))
     assert a < b
+    clash = docs.withColumnsRenamed({"_row": "_scored", "SIZE": "Bits"})
+    assert kneser_ney.kept_documents(clash, labels).columns == clash.columns
 
 
 def test_thresholds_cover_all_trusted(spark):
@@ -191,17 +335,21 @@ def test_toxicity(spark, docs, labels):
     assert all(rows[i]["predicted"] == int(i % 7 == 0) for i in range(80))
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert all(text[7][s["start"] : s["end"]] == "idiot" for s in rows[7]["spans"]) and rows[7]["spans"]
-    assert crf.toxicity(docs, empty(spark, labels), F.lit(True)).where("score > 0").count() == 0
+    assert crf.toxicity(docs.withColumn("_scored", F.lit(1)), empty(spark, labels), F.lit(True)).where("score > 0").count() == 0
     assert crf.toxicity(empty(spark, docs), labels, F.lit(True)).count() == 0
 
 
 def test_marginals_of_long_chains():
     rng = np.random.default_rng(0)
-    emit, trans = np.array([-2.0, 3.0, 0.5]), rng.normal(size=(2, 2))
-    ids = rng.choice(3, size=60, p=[0.8, 0.1, 0.1])
-    exact, _ = crf._forward_backward(emit[ids][None], trans, np.ones((1, 60), bool), np.ones(1))
-    events = [(i, x) for i, x in enumerate(ids.tolist()) if x]
-    assert np.allclose(crf.marginals(events, 60, emit, trans, crf.Power(emit[0], trans)), [exact[0, i] for i, _ in events])
+    trans, texts = rng.normal(size=(2, 2)), [rng.normal(size=n) for n in (1, 30, 0, 1500, 513)]
+    for emit, p in zip(texts, crf.marginals(texts, trans), strict=True):
+        a, b, n = np.zeros((len(emit), 2)), np.zeros((len(emit), 2)), len(emit)
+        for t in range(n):
+            a[t] = np.array([0, emit[t]]) + (0 if t == 0 else np.logaddexp(a[t - 1][0] + trans[0], a[t - 1][1] + trans[1]))
+        for t in range(n - 2, -1, -1):
+            b[t] = np.logaddexp(trans[:, 0] + b[t + 1][0], trans[:, 1] + emit[t + 1] + b[t + 1][1])
+        want = 1 / (1 + np.exp((a + b)[:, 0] - (a + b)[:, 1]))
+        assert len(p) == n and np.allclose(p, want, atol=1e-9)
 
 
 def test_quality_rules(spark, docs, labels):
@@ -232,6 +380,31 @@ def test_sanitise(spark, docs):
     assert find_private(empty(spark, d)).count() == 0
 
 
+def test_disclosure_against_counting(spark):
+    rng = random.Random(4)
+    names, rows = ["zorro", "batman", "dana"], []
+    for i in range(120):
+        n = rng.randrange(5)
+        words = [rng.choice(["plain", "things", "home", "went"]) for _ in range(12)]
+        if n < 3:
+            words += [names[n]] * (rng.random() < 0.8) + [f"{n}.{n}.1.1"] + ["extra"] * (rng.random() < 0.2)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [rows[0]] * 30  # copies of one text reveal nothing of themselves
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    found = d.select(F.monotonically_increasing_id().alias("_row"), F.col("text").alias("_t"), base_spans(F.col("text")).alias("spans"))
+    got = {(r["value"], r["term"]): (r["docs_with"], r["docs_of"], r["docs_entity"], round(r["disclosure"], 9)) for r in disclosure(found, 5).collect()}
+    entity = lambda t: {w for w in t.split() if w[0].isdigit()} | ({None} if any(w[0].isdigit() for w in t.split()) else set())
+    want = {}
+    for v in {e for _, t in rows for e in entity(t)}:
+        for term in {w for _, t in rows for w in t.split() if not w[0].isdigit()}:
+            both = [t for _, t in rows if v in entity(t) and term in t.split()]
+            of, ent = sum(term in t.split() for _, t in rows), sum(v in entity(t) for _, t in rows)
+            if len(set(both)) >= 5 and (x := math.log2(len(both) / of / (ent / len(rows))) / -math.log2(ent / len(rows))) >= 0:
+                want[v, term] = (len(both), of, ent, round(x, 9))
+    assert want and got == want
+
+
 def test_sanitise_whole_texts(spark):
     rows = [(i, "Zorro\n" + "plain things and went home " * 4 + f"x{i}@mail.org") for i in range(12)] + [(50 + i, "plain things and went home") for i in range(60)] + [(200, "home of Zorro and zorro")]
     d = spark.createDataFrame(rows, "doc_id long, text string")

@@ -114,11 +114,27 @@ def brute_quality(docs, labels):
 
 
 def brute_fingerprint(text):
+    """256 bits over runs of five words; the first 64 are those of XXH64."""
     w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
     if not w:
         return 0
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    whole = (1 << 64) - 1
+
+    def lane(h, k):
+        if not k:
+            return h
+        x = (h + k * 0x9E3779B97F4A7C15) & whole
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & whole
+        return x ^ x >> 31
+
+    h = Counter(xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4)))
+    total, out = sum(h.values()), 0
+    for k in range(4):
+        own = {lane(x, k): n for x, n in h.items()}
+        for b in range(63, -1, -1):
+            out = out << 1 | (2 * sum(n for x, n in own.items() if x >> b & 1) > total)
+    return out
 
 
 def brute_near_duplicates(docs):
@@ -127,7 +143,7 @@ def brute_near_duplicates(docs):
     root = {x: x for x in distinct}
     for i, a in enumerate(distinct):
         for b in distinct[i + 1 :]:
-            if (a ^ b).bit_count() <= 3 and root[a] != root[b]:
+            if (a ^ b).bit_count() <= 44 and root[a] != root[b]:
                 old, new = root[b], root[a]
                 root = {x: new if r == old else r for x, r in root.items()}
     groups = defaultdict(list)
@@ -170,19 +186,38 @@ def brute_mix(docs):
         target |= {s: 3.0 * total[s] for s in stopped} | ({} if stopped else {s: weight[s] * level for s in free})
         left -= sum(target[s] for s in stopped)
         free = free - stopped if stopped else set()
-    out = []
+    digits, out = lambda r: max(1, size(r).bit_length()), []
     for s in names:
-        whole = math.floor(target[s] / total[s]) if total[s] else 0
-        rest, draws = target[s] - whole * total[s], defaultdict(list)
+        words = Counter()
         for r in docs:
             if r[3] == s:
-                draws[int(hashlib.md5(("mix" + ("null" if r[0] is None else str(r[0]))).encode()).hexdigest()[:13], 16)].append(r)
-        upto = 0
-        for u in sorted(draws):
-            own = sum(map(size, draws[u]))
+                words[digits(r)] += size(r)
+        # How often a document of each class is wanted: in proportion to its class, three times at most.
+        open_, rest, wanted = set(words), target[s], {}
+        while open_:
+            scale = sum(c * words[c] for c in open_)
+            level = rest / scale if scale else 3.0
+            over = {c for c in open_ if level * c > 3} if scale else set(open_)
+            wanted |= {c: 3.0 for c in over} | ({} if over else {c: level * c for c in open_})
+            rest -= sum(3 * words[c] for c in over)
+            open_ = open_ - over if over else set()
+        if not total[s]:
+            continue
+        ranks = defaultdict(list)
+        for r in docs:
+            if r[3] == s and (p := wanted[digits(r)] - math.floor(wanted[digits(r)])) > 0:
+                u = (int(hashlib.md5(("mix" + ("null" if r[0] is None else str(r[0]))).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                q = (u / (1 - u)) / (p / (1 - p))
+                ranks[math.floor(q / (1 + q) * 2**52)].append(r)
+        left, upto, more = sum((wanted[c] - math.floor(wanted[c])) * n for c, n in words.items()), 0, Counter()
+        for v in sorted(ranks):
+            own = sum(map(size, ranks[v]))
             upto += own
-            more = total[s] > 0 and target[s] / total[s] > whole and 2 * rest >= 2 * upto - own
-            out += [r for r in draws[u] for _ in range(whole + more)]
+            if 2 * left >= 2 * upto - own:
+                more.update(ranks[v])
+        for r in set(r for r in docs if r[3] == s):
+            n = sum(x == r for x in docs)
+            out += [r] * (n * math.floor(wanted[digits(r)]) + more[r])
     return out
 
 
@@ -249,7 +284,7 @@ def test_stages_and_run(spark, tables):
     brute = {
         "quality": lambda rows: state,
         "near_duplicates": brute_near_duplicates,
-        "decontamination": lambda rows: [r for r in rows if r[1] and len(r[1]) > 20_000 or max(brute_coverage(r[1], t) for _, t in items) < 0.8],
+        "decontamination": lambda rows: [r for r in rows if max(brute_coverage(r[1] if r[1] is None or len(r[1]) < 20_000 else r[1][:2000], t) for _, t in items) < 0.8],
         "mixing": brute_mix,
         "sharding": lambda rows: brute_shards(rows, 8),
     }
