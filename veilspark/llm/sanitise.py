@@ -25,6 +25,8 @@ PATTERNS = {
 }
 #: A text without a match of these has no span of the kind.
 _GUARDS = {"email": "[@]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
+#: Most terms that are broadcast; more of them are joined by shuffle.
+SENT_TERMS = 200_000
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -150,6 +152,7 @@ def disclosure(found: DataFrame, least_docs: int, least: float = 0.0) -> DataFra
     # A term is no more often with a value than with its kind: what can't reach ``least`` with the rarest entity goes.
     bound = (least_docs / max(1, n)) ** (1 - least)
     terms = materialise(counts.where((most >= least_docs) & (most >= bound * (1 - 1e-9) * F.col("docs_of"))).select("term", "docs_of"), "private-counts")
+    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
     private = found.where(F.size("spans") > 0)
     value = lambda s: F.lower(F.substring(F.col("_t"), s["start"] + 1, s["end"] - s["start"]))
     both = lambda s: F.array(F.struct(s["kind"].alias("kind"), value(s).alias("value")), F.struct(s["kind"].alias("kind"), F.lit(None).cast("string").alias("value")))
@@ -175,6 +178,7 @@ def find_private(docs: DataFrame, generalise: float = 0.6, remove: float = 0.9,
     found = materialise(texts.select("*", base_spans(F.col("_t")).alias("spans")), "private-spans")
     action = F.when(F.max("disclosure") >= remove, "remove").otherwise("generalise")
     strong = materialise(disclosure(found, least_docs, generalise).groupBy("term").agg(action.alias("action")), "private-terms")
+    strong = F.broadcast(strong) if strong.count() <= SENT_TERMS else strong
     own = found.select("_row", F.explode(distinct_terms(F.col("_t"), F.col("spans"))).alias("term")).join(strong, "term")
     # A document's own strong terms: at most its distinct words.
     own = own.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("strong"))
