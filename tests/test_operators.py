@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.operators import corpus, evaluate, frequency, gate, pii, population, quasi
+from veilspark.operators import census, corpus, evaluate, frequency, gate, pii, population, quasi
 from veilspark.plans import queries
+from veilspark.sources import records
 from veilspark.streaming import incremental
 
 RANK = {"direct_identifier": 1, "strong_identifier": 2, "quasi_identifier": 3, "contextual": 4}
@@ -243,3 +244,45 @@ def test_streamed_counts(spark, tmp_path):
     got = {(str(r["window"]["start"]), r["event_type"]): (r["n"], r["total"]) for r in incremental.run_windowed_counts(spark, f"{tmp_path}/events").collect()}
     want = {(str(r["h"]), r["event_type"]): (r["n"], r["t"]) for r in rows.groupBy(F.date_trunc("hour", "ts").alias("h"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("t")).collect()}
     assert got == want
+
+
+def test_census_sums_universes_and_independence(spark):
+    rows = [("total", 1000), ("m_single", 100), ("f_single", 150), ("m_widowed", 0), ("f_widowed", None), ("other", 7)]
+    frame = spark.createDataFrame(rows, "variable string, count long")
+    names = {"m_single": "single", "f_single": "single", "m_widowed": "widowed", "f_widowed": "widowed"}
+    got = {r["qi_value"]: (r["count"], r["frequency"]) for r in census.universe_marginals(frame, names, "total", "marital", "x").collect()}
+    assert got == {"single": (250, 0.25), "widowed": (0, 0.0)}
+    assert [r["qi_value"] for r in census.universe_marginals(frame, names, "total", "marital", "x", positive=True).collect()] == ["single"]
+    assert census.universe_marginals(frame.where("variable <> 'total'"), names, "total", "marital", "x").count() == 0
+    areas = spark.createDataFrame([("01", 30), ("02", 10), ("99", 60)], "code string, count long")
+    known = spark.createDataFrame([("01", "AL"), ("02", "AK")], "code string, qi_value string")
+    assert {r["qi_value"]: r["frequency"] for r in census.area_marginals(areas, known, "state", "x").collect()} == {"AL": 0.3, "AK": 0.1}
+    rates = spark.createDataFrame([("AL", "asthma", 12.5), ("AK", "asthma", None)], "area string, condition string, percent double")
+    assert {r["area"]: r["count"] for r in census.prevalence_by_area(rates, 6_000_000, "x").collect()} == {"AL": 750_000, "AK": None}
+    side = lambda *f: spark.createDataFrame([(chr(97 + i), x) for i, x in enumerate(f)], "qi_value string, frequency double")
+    joints = {"x": side(0.5, 0.001), "y": side(0.5, 0.25)}
+    assert sorted(map(tuple, census.independent_joints(joints, 1000).collect())) == [("a", "a", 250), ("a", "b", 125), ("b", "a", 1), ("b", "b", 1)]
+    assert sorted(map(tuple, census.independent_joints(joints, 1000, least=125).collect())) == [("a", "a", 250)]
+    assert [r["qi_value"] for r in census.most_frequent(side(0.2, 0.5, 0.5), 2).collect()] == ["b", "c"]
+
+
+def test_sample_files(spark, tmp_path):
+    (tmp_path / "rat.json").write_text('[{"id": "7", "text": "A b.", "difficulty": 2, "profile": {"age": "40"}}, {"text": ""}, {"text": null}, {"text": "c"}]')
+    read = records.read_samples(spark, str(tmp_path / "rat.json")).coalesce(1).withColumn("ord", F.monotonically_increasing_id())
+    got = [(r["id"], r["text"], r["difficulty"], r["scenario"], r["profile"], r["expected_critical"]) for r in records.samples(read).orderBy("ord").collect()]
+    assert got == [("7", "A b.", 2, "unknown", {"age": "40"}, True), ("3", "c", 0, "unknown", {}, True)]
+    assert [r["id"] for r in records.samples(read, [0]).collect()] == ["3"] and [r["id"] for r in records.samples(read, most=1).collect()] == ["7"]
+    taken = spark.createDataFrame([("wiki_0",), (None,)], "id string")
+    assert [r["id"] for r in records.numbered(read, taken, quota=3).orderBy("ord").collect()] == ["wiki_1", "wiki_2"]
+    texts = spark.createDataFrame([("t", "a", "b"), ("", "a", "b"), (None, "", "b"), (None, "a", None), (None, None, None)], "text string, title string, article string")
+    assert [r[0] for r in texts.select(records.record_text(F.col("text"), F.col("title"), F.col("article"))).collect()] == ["t", "# a\n\nb", "b", "", ""]
+    rows = spark.createDataFrame([("one", True, "first\ntext"), ("two", None, "second")], "name string, expected boolean, text string")
+    records.write_blocks(rows.coalesce(1), str(tmp_path / "blocks"))
+    back = [(r["name"], r["expected"], r["text"]) for r in corpus.read_blocks(spark, str(tmp_path / "blocks")).orderBy("ord").collect()]
+    assert back == [("one", True, "first\ntext"), ("two", False, "second")]
+    records.write_json(rows, str(tmp_path / "json"))
+    assert sorted(r["name"] for r in spark.read.json(str(tmp_path / "json")).collect()) == ["one", "two"]
+    routed = spark.createDataFrame([(1, 3, True), (2, 3, None), (3, 1, True)], "id long, tier int, llm boolean")
+    decided = routed.withColumn("gate_decision", records.decision_of_tier(F.col("tier"), F.col("llm")))
+    assert {r["id"]: r["gate_decision"] for r in decided.collect()} == {1: "UNCERTAIN_NEED_LLM", 2: "UNSAFE", 3: "SAFE"}
+    assert [r["id"] for r in records.undecided(decided, ["id"]).collect()] == [1]

@@ -172,10 +172,10 @@ def choose(points: DataFrame) -> DataFrame:
     return rows.withColumn("_n", n).where("_n = 1").select(F.col("x.aim").alias("aim"), "sweep", "point", "f1", "recall", "fpr", "fnr")
 
 
-def per_k(results: DataFrame, ks: list[int]) -> DataFrame:
-    """id, k, tier for each minimum k: local below it, else as the text's identifiers say."""
+def per_k(results: DataFrame, ks: list[int], keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, k, tier, and the columns to keep, for each minimum k: local below it, else as the text's identifiers say."""
     rows = results.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks))))
-    return rows.select("id", "k", F.when(F.col("k_lower").isNull() | (F.col("k_lower") < F.col("k")), 3).when(F.col("direct") > 0, 2).otherwise(1).alias("tier"))
+    return rows.select("id", "k", *keep, F.when(F.col("k_lower").isNull() | (F.col("k_lower") < F.col("k")), 3).when(F.col("direct") > 0, 2).otherwise(1).alias("tier"))
 
 
 def contributions(ablated: DataFrame, metric: str = "f1") -> DataFrame:

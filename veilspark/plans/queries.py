@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.spans import let, pattern_of
-from ..operators import corpus, evaluate, frequency, gate, pii, population, quasi
+from ..operators import census, corpus, evaluate, frequency, gate, pii, population, quasi
 from ..operators.scratch import written
+from ..sources import records
 from ..streaming.incremental import run_windowed_counts
 
 _FACTS = ["balance", "nation", "segment"]
@@ -415,3 +416,94 @@ def occupations(spark, sf_dir):
     """The occupation that each text speaks of first by the table's order."""
     found = quasi.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), ["occupation"]).where("detector = 'keyword'")
     return found.select("doc_id", F.col("value").alias("occupation"))
+
+
+def _wilson_sql(count: str, total: str) -> str:
+    p, n = f"({count} / {total})", f"({total})::DOUBLE"
+    m, s = f"(({p} + 3.8416 / (2 * {n})) / (1 + 3.8416 / {n}))", f"(1.96 * sqrt(({p} * (1 - {p}) + 3.8416 / (4 * {n})) / {n}) / (1 + 3.8416 / {n}))"
+    return f"round({p}, 6) AS frequency, round(greatest(0, {m} - {s}), 6) AS lower_bound, round(least(1, {m} + {s}), 6) AS upper_bound"
+
+
+_MARGINAL = ["qi_value", "count", "frequency", "lower_bound", "upper_bound"]
+_PRIORITIES = {"1-URGENT": "soon", "2-HIGH": "soon", "3-MEDIUM": "later", "4-NOT SPECIFIED": "unknown"}
+
+
+@register("WITH o AS (SELECT CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PRIORITIES.items()) + f""" END AS qi_value, (SELECT count(*) FROM orders) AS t FROM orders)
+SELECT qi_value, count, {_wilson_sql('count', 't')} FROM (SELECT qi_value, t, count(*) AS count FROM o WHERE qi_value IS NOT NULL GROUP BY ALL)""")
+def universe_marginals(spark, sf_dir):
+    """Values summed from several counted variables, over the count of a universe that holds others too."""
+    variables = table(spark, sf_dir, "orders").select(F.explode(F.array("o_orderpriority", F.lit("all"))).alias("variable")).groupBy("variable").agg(F.count("*").alias("count"))
+    return rounded(census.universe_marginals(variables, _PRIORITIES, "all", "priority", "orders").select(*_MARGINAL))
+
+
+@register(f"""WITH a AS (SELECT c_nationkey, count(*) AS count, (SELECT count(*) FROM customer) AS t FROM customer GROUP BY 1)
+SELECT n_name AS qi_value, count, {_wilson_sql('count', 't')} FROM a JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3""")
+def area_marginals(spark, sf_dir):
+    """Shares of the areas that have a name, of the sum over all areas."""
+    areas = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("code")).agg(F.count("*").alias("count"))
+    names = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("qi_value"))
+    return rounded(census.area_marginals(areas, names, "nation", "customer").select(*_MARGINAL))
+
+
+@register("""WITH g AS (SELECT n_name AS area, c_mktsegment AS condition, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+r AS (SELECT area, condition, 6000000 * (round(100 * n / sum(n) OVER (PARTITION BY area), 1) / 100) AS x FROM g),
+c AS (SELECT area, condition, trunc(x)::BIGINT AS count, trunc(x) / 6000000 AS p FROM r)
+SELECT area, condition, count, round(p, 6) AS frequency, round(greatest(0, p - 1.96 * sqrt(p * (1 - p) / 6000000)), 6) AS lower_bound, round(least(1, p + 1.96 * sqrt(p * (1 - p) / 6000000)), 6) AS upper_bound FROM c""")
+def prevalence_by_area(spark, sf_dir):
+    """Joints of area and group from published per cents, with Wald's bounds."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    counts = c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("area"), F.col("c_mktsegment").alias("condition")).agg(F.count("*").alias("n"))
+    percent = F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy("area")), 1)
+    rates = counts.withColumn("percent", percent)
+    return rounded(census.prevalence_by_area(rates, 6_000_000, "customer").select("area", "condition", "count", "frequency", "lower_bound", "upper_bound"))
+
+
+def _share_sql(column: str, source: str) -> str:
+    return f"SELECT {column} AS v, count(*) / sum(count(*)) OVER ()::DOUBLE AS f FROM {source} GROUP BY 1"
+
+
+def _shares(rows: DataFrame, column: str) -> DataFrame:
+    return population.from_counts(rows.groupBy(F.col(column).alias("qi_value")).agg(F.count("*").alias("count")), column, "counted")
+
+
+@register(f"""WITH s AS ({_share_sql('c_mktsegment', 'customer')}), p AS ({_share_sql('o_orderpriority', 'orders')}), t AS ({_share_sql('o_orderstatus', 'orders')})
+SELECT s.v AS segment, p.v AS priority, t.v AS status, greatest(1, trunc(s.f * p.f * t.f * 150000)::BIGINT) AS count FROM s, p, t""")
+def cross_tabulation(spark, sf_dir):
+    """Every combination of three marginals with the count that independence gives, 1 at least."""
+    orders = table(spark, sf_dir, "orders")
+    marginals = {"segment": _shares(table(spark, sf_dir, "customer"), "c_mktsegment"), "priority": _shares(orders, "o_orderpriority"), "status": _shares(orders, "o_orderstatus")}
+    return census.independent_joints(marginals, 150_000)
+
+
+@register(f"""WITH n AS (SELECT n_name AS v, f FROM ({_share_sql('c_nationkey', 'customer')}) JOIN nation ON v = n_nationkey ORDER BY f DESC, n_name LIMIT 10), s AS ({_share_sql('c_mktsegment', 'customer')}), p AS ({_share_sql('o_orderstatus', 'orders')})
+SELECT s.v AS segment, p.v AS status, n.v AS nation, trunc(s.f * p.f * n.f * 150000)::BIGINT AS count FROM s, p, n WHERE trunc(s.f * p.f * n.f * 150000) > 100""")
+def frequent_joints(spark, sf_dir):
+    """Combinations of two marginals and the ten most frequent nations that independence makes more than 100."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    nations = _shares(c.join(n, c.c_nationkey == n.n_nationkey), "n_name")
+    marginals = {"segment": _shares(c, "c_mktsegment"), "status": _shares(table(spark, sf_dir, "orders"), "o_orderstatus"), "nation": census.most_frequent(nations, 10)}
+    return census.independent_joints(marginals, 150_000, least=100)
+
+
+@register("""SELECT page_id, md5(CASE WHEN text <> '' THEN text WHEN html IS NULL THEN '' WHEN url <> '' THEN concat('# ', url, chr(10), chr(10), html) ELSE html END) AS text_md5
+FROM pages LEFT JOIN documents ON doc_id = page_id""")
+def record_texts(spark, sf_dir):
+    """Each page's record text: the document's of its number, else the page under its address."""
+    docs, pages = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "pages")
+    both = pages.join(docs, pages.page_id == docs.doc_id, "left")
+    return both.select("page_id", F.md5(records.record_text(F.col("text"), F.col("url"), F.col("html"))).alias("text_md5"))
+
+
+@register("SELECT 'wiki_' || page_id AS id, md5(html) AS text_md5 FROM pages WHERE html <> '' AND page_id NOT IN (SELECT doc_id FROM labels)")
+def numbered_samples(spark, sf_dir):
+    """Pages as samples under ids that no labelled document has."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("html").alias("text"))
+    taken = table(spark, sf_dir, "labels").select(F.concat(F.lit("wiki_"), F.col("doc_id").cast("string")).alias("id"))
+    return records.numbered(records.samples(pages).drop("id"), taken).select("id", F.md5("text").alias("text_md5"))
+
+
+@register(f"WITH {_R} SELECT id, k, quasi FROM (SELECT id, quasi, unnest([{', '.join(map(str, fixed.K_LIST))}]) AS k, k_lower FROM r WHERE llm_used) WHERE k_lower < k")
+def uncertain_results(spark, sf_dir):
+    """Results kept local, by minimum k, that a model was asked about, as the export of undecided ones has them."""
+    rows = evaluate.per_k(results(spark, sf_dir), fixed.K_LIST, keep=("quasi", "llm_used"))
+    return records.undecided(rows.withColumn("gate_decision", records.decision_of_tier(F.col("tier"), F.col("llm_used"))), ["id", "k", "quasi"])
