@@ -437,11 +437,11 @@ def universe_marginals(spark, sf_dir):
 
 
 @register(f"""WITH a AS (SELECT c_nationkey, count(*) AS count, (SELECT count(*) FROM customer) AS t FROM customer GROUP BY 1)
-SELECT n_name AS qi_value, count, {_wilson_sql('count', 't')} FROM a JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 3""")
+SELECT n_name AS qi_value, count, {_wilson_sql('count', 't')} FROM a JOIN nation ON c_nationkey = n_nationkey""")
 def area_marginals(spark, sf_dir):
     """Shares of the areas that have a name, of the sum over all areas."""
     areas = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("code")).agg(F.count("*").alias("count"))
-    names = table(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("qi_value"))
+    names = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("qi_value"))
     return rounded(census.area_marginals(areas, names, "nation", "customer").select(*_MARGINAL))
 
 
