@@ -103,36 +103,38 @@ def _lost(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.where(n > 0, d[np.minimum(n, 3) - 1], 0.0)
 
 
-class Pairs:
+def pack_pairs(key: np.ndarray, n: np.ndarray, total: np.ndarray, lost: np.ndarray, once: float) -> dict[str, np.ndarray | float]:
     """Pairs of words by hash: how many different words stand before (n), how often the pair is a context (total), what its counts lose (lost).
 
     Most pairs are there once and so have the same numbers: of these only 48 bits of the hash are kept, sent as 32 and a table of
-    where each 16 higher bits begin.  Numbers of a pair that isn't there are 0.
+    where each 16 higher bits begin.  Plain arrays, so that workers can read a broadcast of them without this module.
     """
+    order = np.argsort(key)
+    key, n, total, lost = (x[order] for x in (key, n, total, lost))
+    single = (n == 1) & (total == 1)
+    rest = key[single] >> np.uint64(16)
+    begin = np.searchsorted(rest, np.arange((1 << 16) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int64)
+    return {
+        "once": once, "low": (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32), "begin": begin,
+        "key": key[~single], "n": n[~single].astype(np.int32), "total": total[~single].astype(np.int32), "lost": lost[~single],
+    }
+
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, total: np.ndarray, lost: np.ndarray, once: float):
-        order = np.argsort(key)
-        key, n, total, lost = (x[order] for x in (key, n, total, lost))
-        single = (n == 1) & (total == 1)
-        rest = key[single] >> np.uint64(16)
-        self.once, self.low = once, (rest & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.begin = np.searchsorted(rest, np.arange((1 << 16) + 1, dtype=np.uint64) << np.uint64(32)).astype(np.int64)
-        self.key, self.n, self.total, self.lost = key[~single], n[~single].astype(np.int32), total[~single].astype(np.int32), lost[~single]
-        self.single = None
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.single is None:
-            self.single = np.repeat(np.arange(1 << 16, dtype=np.uint64) << np.uint64(32), np.diff(self.begin)) | self.low
-        n, total, lost = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key))
-        if len(self.single):
-            short = key >> np.uint64(16)
-            hit = self.single[np.minimum(np.searchsorted(self.single, short), len(self.single) - 1)] == short
-            n[hit], total[hit], lost[hit] = 1, 1, self.once
-        if len(self.key):
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = self.key[at] == key
-            n[hit], total[hit], lost[hit] = self.n[at[hit]], self.total[at[hit]], self.lost[at[hit]]
-        return n, total, lost
+def find_pairs(pairs: dict, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, total and lost of pairs by hash: 0 for a pair that isn't there."""
+    if "single" not in pairs:
+        pairs["single"] = np.repeat(np.arange(1 << 16, dtype=np.uint64) << np.uint64(32), np.diff(pairs["begin"])) | pairs["low"]
+    single, known = pairs["single"], pairs["key"]
+    n, total, lost = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key))
+    if len(single):
+        short = key >> np.uint64(16)
+        hit = single[np.minimum(np.searchsorted(single, short), len(single) - 1)] == short
+        n[hit], total[hit], lost[hit] = 1, 1, pairs["once"]
+    if len(known):
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        hit = known[at] == key
+        n[hit], total[hit], lost[hit] = pairs["n"][at[hit]], pairs["total"][at[hit]], pairs["lost"][at[hit]]
+    return n, total, lost
 
 
 def train(texts: DataFrame) -> tuple[dict, DataFrame]:
@@ -170,7 +172,7 @@ def train(texts: DataFrame) -> tuple[dict, DataFrame]:
     del k2
     at = np.searchsorted(key, k3)
     total3[at], lost3[at] = total, lost
-    table = Pairs(key, n, total3, lost3, float(d3[0]))
+    table = pack_pairs(key, n, total3, lost3, float(d3[0]))
     del k3, at, total, lost, key, n, total3, lost3
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +200,7 @@ def surprise(lower: dict, texts: list[bytes | None]) -> tuple[np.ndarray, np.nda
     p1 = np.where(there, lower["p1"][spot], lower["unknown"])[seq[at]]
     total2, gamma2 = (np.where(there, lower[x][spot], 0.0)[seq[at - 1]] for x in ("total2", "gamma2"))
     # The pair of a place and the one behind it: what precedes a word is the pair one place before.
-    n, total, lost = lower["pairs"].find(_mix(own[seq[:-1]], own[seq[1:]]))
+    n, total, lost = find_pairs(lower["pairs"], _mix(own[seq[:-1]], own[seq[1:]]))
     n, total, lost = n[at - 1], total[at - 2], lost[at - 2]
     p = np.where(total2 > 0, (n - _lost(n, lower["d2"])) / np.maximum(total2, 1) + gamma2 * p1, p1)
     p = np.where(total > 0, p * lost / np.maximum(total, 1), p)
