@@ -15,6 +15,7 @@ from .sanitise import find_private, span_text
 from .sharding import shard_documents
 from .simhash import near_duplicates
 from .tiling import contaminated
+from .trie import conversation_trie
 from .warc import dedup_plan, read_warc, write_warc
 
 
@@ -106,5 +107,25 @@ def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "item_id", "coverage", F.lit(True).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op6_decision_list, op7_sanitise, op8_simhash, op9_pareto_mix, op10_greedy_tiling)}
-ORACLES = {"op1_warc_salvage": OP1_SQL, "op9_pareto_mix": OP9_SQL}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: crc32 of a number's decimal digits, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"
+OP13_SQL = rf"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(concat(length(role), ':', role, text))) AS l FROM t GROUP BY c),
+h AS (SELECT c, l, ({_CRC} % 4)::INT AS h FROM own),
+p AS (SELECT h.c, CASE WHEN b.l IS NULL THEN h.l[h + 1:] ELSE list_concat(b.l[1:h], h.l[h + 1:]) END AS p FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
+x AS (SELECT c, len(p) AS size, unnest(range(len(p) + 1)) AS d, p FROM p),
+n AS (SELECT p[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '')) AS ends_sha256,
+             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].text, '[^ 	-]+')) END AS words FROM x GROUP BY k, d),
+m AS (SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM n b WHERE b.d = n.d + 1 AND b.k[1:n.d] = n.k) AS n_children FROM n LEFT JOIN n up ON up.d = n.d - 1 AND up.k = n.k[1:n.d - 1]),
+s AS (SELECT k[1:u] AS k, u AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS u FROM m) GROUP BY 1, 2)
+SELECT conv_id, m.d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM m JOIN s ON m.d = s.d AND m.k = s.k
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op6_decision_list, op7_sanitise, op8_simhash, op9_pareto_mix, op10_greedy_tiling, op13_prefix_trie)}
+ORACLES = {"op1_warc_salvage": OP1_SQL, "op9_pareto_mix": OP9_SQL, "op13_prefix_trie": OP13_SQL}
