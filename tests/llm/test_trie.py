@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -20,7 +21,7 @@ def brute(turns):
     paths = {}
     for c, x in own.items():
         h = zlib.crc32(str(c).encode()) % 4
-        paths[c] = tuple(own.get(c - c % 20, [])[:h] + x[h:])
+        paths[c] = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + x[h:])
     members = defaultdict(list)
     for c, p in paths.items():
         for d in range(len(p) + 1):

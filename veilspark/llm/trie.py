@@ -31,7 +31,7 @@ _NOBODY = hashlib.sha256(b"").hexdigest()
 
 
 def turn_digest(role: Column, text: Column) -> Column:
-    """WIDTH characters that tell turns apart by role and text."""
+    """15 bytes (WIDTH characters in base 64) that tell turns apart by role and text."""
     return F.to_binary(F.substring(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256), 1, 30), F.lit("hex"))
 
 
@@ -42,8 +42,8 @@ def rebuilt(turns: DataFrame, stride: int = 20, most: int = 4) -> DataFrame:
     and text are empty.  Turns without a conv_id belong to no conversation.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("id"), F.struct(F.col("turn").isNotNull().alias("there"), "turn", F.base64(turn_digest(role, text)).alias("key"), F.regexp_count(text, F.lit(WORD)).alias("words")).alias("t"))
-    lists = F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["key"].alias("key"), t["words"].alias("words")))
+    own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("id"), F.struct(F.col("turn").isNotNull().alias("there"), "turn", turn_digest(role, text).alias("key"), F.regexp_count(text, F.lit(WORD)).alias("words")).alias("t"))
+    lists = F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(F.base64(t["key"]).alias("key"), t["words"].alias("words")))
     own = materialise(own.groupBy("id").agg(lists.alias("own")), "trie-turns")
     base = own.where(F.col("id") % stride == 0).select(F.col("id").alias("base"), F.slice("own", 1, most - 1).alias("head"))
     h = (F.crc32(F.col("id").cast("string").cast("binary")) % most).cast("int")
