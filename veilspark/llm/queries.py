@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collisions import near_vectors
 from .common import documents, held_out, scratch_path
 from .crf import toxicity
 from .ctw import score_texts
@@ -107,6 +108,19 @@ def op10_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "item_id", "coverage", F.lit(True).alias("contaminated"))
 
 
+def op11_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP11_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)) AS fine FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS size FROM v WHERE len(e) > 0 AND list_bool_and(fine) AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, min(b) AS component_id, min(b) = vec_id AS kept FROM embeddings JOIN r ON r.a = vec_id GROUP BY vec_id
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -120,12 +134,13 @@ h AS (SELECT c, l, ({_CRC} % 4)::INT AS h FROM own),
 p AS (SELECT h.c, CASE WHEN b.l IS NULL THEN h.l[h + 1:] ELSE list_concat(b.l[1:h], h.l[h + 1:]) END AS p FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
 x AS (SELECT c, len(p) AS size, unnest(range(len(p) + 1)) AS d, p FROM p),
 n AS (SELECT p[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (size = d), '')) AS ends_sha256,
-             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].text, '[^ 	-]+')) END AS words FROM x GROUP BY k, d),
+             CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(k[d].text, '[^ 	-
+]+')) END AS words FROM x GROUP BY k, d),
 m AS (SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM n b WHERE b.d = n.d + 1 AND b.k[1:n.d] = n.k) AS n_children FROM n LEFT JOIN n up ON up.d = n.d - 1 AND up.k = n.k[1:n.d - 1]),
 s AS (SELECT k[1:u] AS k, u AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT *, unnest(range(d + 1)) AS u FROM m) GROUP BY 1, 2)
 SELECT conv_id, m.d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256 FROM m JOIN s ON m.d = s.d AND m.k = s.k
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op6_decision_list, op7_sanitise, op8_simhash, op9_pareto_mix, op10_greedy_tiling, op13_prefix_trie)}
-ORACLES = {"op1_warc_salvage": OP1_SQL, "op9_pareto_mix": OP9_SQL, "op13_prefix_trie": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op6_decision_list, op7_sanitise, op8_simhash, op9_pareto_mix, op10_greedy_tiling, op11_collision_counting, op13_prefix_trie)}
+ORACLES = {"op1_warc_salvage": OP1_SQL, "op9_pareto_mix": OP9_SQL, "op11_collision_counting": OP11_SQL, "op13_prefix_trie": OP13_SQL}
