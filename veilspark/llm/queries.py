@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_documents
 from .collisions import near_vectors
 from .common import documents, held_out, scratch_path
 from .crf import toxicity
@@ -121,6 +122,10 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links, min(b) AS c
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -142,5 +147,5 @@ SELECT conv_id, m.d::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_lea
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op6_decision_list, op7_sanitise, op8_simhash, op9_pareto_mix, op10_greedy_tiling, op11_collision_counting, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_warc_salvage, op2_minimax_shards, op3_context_tree, op4_kneser_ney, op5_crf_toxicity, op6_decision_list, op7_sanitise, op8_simhash, op9_pareto_mix, op10_greedy_tiling, op11_collision_counting, op12_token_alignment, op13_prefix_trie)}
 ORACLES = {"op1_warc_salvage": OP1_SQL, "op9_pareto_mix": OP9_SQL, "op11_collision_counting": OP11_SQL, "op13_prefix_trie": OP13_SQL}
