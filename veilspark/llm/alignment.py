@@ -11,9 +11,11 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Pairs with the highest counts that are broadcast, 17 bytes each; the counts of all others are joined.
 FREQUENT = 1 << 20
 #: Characters of texts worked off at a time (at least one text), and those of the stretches that a task remembers.
-SLICE, REMEMBERED = 1_000_000, 2_000_000
+SLICE, REMEMBERED = 500_000, 3_000_000
+#: A space between two visible characters, and one that isn't.
+_PARTING, _OTHER_SPACE = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])"), re.compile(r"(?<![!-~\w]) | (?![!-~\w])")
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -47,6 +51,7 @@ class Aligner:
         self.a_bytes = [bytes(to_byte.get(c, 0) for c in self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(x) for x in table]) for table in (self.a_bytes, self.b_bytes))
         #: A pair's key: A's id above so many bits of B's.
         self.shift = max(1, (len(self.b_bytes) - 1).bit_length())
         # Whether a space between visible characters parts tokens for sure.
@@ -58,42 +63,76 @@ class Aligner:
         self.index: dict[str, int] = {}
         self.known = 0  # characters
         self.numbers = np.zeros((0, 5), np.int64)  # tokens of A, of B, groups, links, whether both give the bytes back
-        self.groups: list[bytes] = []
+        self.groups: list[str] = []
         self.first, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def stretches(self, text: str) -> list[str]:
-        """The text in stretches, each without the space before it."""
-        parts = text.split(" ")
+        """The text in stretches, each without the space before it: it is parted at spaces between visible characters."""
         if not self.parted:
             return [text]
-        if all(p and _visible(p[0]) and _visible(p[-1]) for p in parts):
-            return parts
-        out, held = [], [parts[0]]
-        for p in parts[1:]:
-            if p and held[-1] and _visible(held[-1][-1]) and _visible(p[0]):
-                out.append(" ".join(held))
-                held = [p]
-            else:
-                held.append(p)
-        return [*out, " ".join(held)]
+        return text.split(" ") if _OTHER_SPACE.search(text) is None else _PARTING.split(text)
 
     def learn(self, new: list[str]) -> None:
-        """Tokenise and align stretches, each with a space before it."""
-        numbers, pairs, first = [], [], []
-        for text, a, b in zip(new, self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True):
-            a, want = a.ids, b" " + text.encode()
-            fine = b"".join([self.a_bytes[i] for i in a]) == want == b"".join([self.b_bytes[i] for i in b])
-            groups, links = aligned(a, b, self.a_bytes, self.b_bytes, self.shift) if fine else ([], [])
-            numbers.append((len(a), len(b), len(groups), len(links), fine))
-            self.groups.append(";".join(groups).encode())
-            pairs.append(np.array(links, np.int64))
-            first.append(len(links))
-        for text in new:
-            self.index[text] = len(self.index)
-            self.known += len(text)
-        self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64).reshape(-1, 5)])
-        self.pairs = np.concatenate([self.pairs, *pairs])
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.array(first, np.int64))])
+        """Tokenise and align stretches, each with a space before it, all at once: where one ends tokens of both end."""
+        want = [b" " + x.encode() for x in new]
+        sides = [[e.ids for e in self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False)], self.b.encode(new, num_threads=1)]
+        fine = self._fine(sides, want)
+        counts = np.array([[len(x) for x in side] for side in sides], np.int64)
+        n = len(new)
+        ids, marks, total = [], [], sum(len(w) for w, ok in zip(want, fine, strict=True) if ok)
+        for side, size in zip(sides, (self.a_size, self.b_size), strict=True):
+            own = np.fromiter(chain.from_iterable(x for x, ok in zip(side, fine, strict=True) if ok), np.int64)
+            mark = np.zeros(total + 1, np.int64)
+            mark[np.cumsum(size[own])] = 1
+            ids.append(own)
+            marks.append(mark)
+        # Every stretch of bytes without an end inside it is in one token of A and one of B, which it links.
+        ends = np.flatnonzero(marks[0] | marks[1])
+        both = marks[0] & marks[1]
+        before = [np.cumsum(m) for m in marks]
+        pairs = ids[0][before[0][ends - 1]] << self.shift | ids[1][before[1][ends - 1]]
+        # Groups as text: tokens of A, then those of B, each with the sign before it.
+        group_of = [np.cumsum(both)[np.flatnonzero(m) - 1] for m in marks]
+        start = [np.concatenate([[0], np.cumsum(np.bincount(g, minlength=int(both.sum())))]) for g in group_of]
+        place = [np.arange(len(ids[0])) + start[1][group_of[0]], np.arange(len(ids[1])) + start[0][group_of[1] + 1]]
+        leads = [np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool) for g in group_of]
+        sign = np.zeros(len(ids[0]) + len(ids[1]), np.int64)
+        which = np.zeros_like(sign)
+        for i, lead in ((0, 1), (1, 2)):
+            sign[place[i]], which[place[i]] = np.where(leads[i], lead, 0), ids[i]
+        signs = (",", ";", "|")
+        text = [signs[k] + str(x) for k, x in zip(sign.tolist(), which.tolist(), strict=True)]
+        numbers = np.zeros((n, 5), np.int64)
+        numbers[:, :2], numbers[:, 4] = counts.T, fine
+        good = np.flatnonzero(fine)
+        bytes_upto = np.cumsum([len(want[i]) for i in good])
+        for column, mark in ((2, both), (3, marks[0] | marks[1])):
+            numbers[good, column] = np.diff(np.concatenate([[0], np.cumsum(mark)[bytes_upto]])) if len(good) else 0
+        edges = np.concatenate([[0], np.cumsum(counts.sum(axis=0)[good])]).tolist()
+        groups = [""] * n
+        for k, i in enumerate(good.tolist()):
+            groups[i] = "".join(text[edges[k] : edges[k + 1]])[1:]  # without the first sign
+        for x in new:
+            self.index[x] = len(self.index)
+            self.known += len(x)
+        self.groups += groups
+        self.numbers = np.concatenate([self.numbers, numbers])
+        self.pairs = np.concatenate([self.pairs, pairs])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(numbers[:, 3])])
+
+    def _fine(self, sides: list[list[list[int]]], want: list[bytes]) -> np.ndarray:
+        """Whether the tokens of both give each stretch's bytes back."""
+        tables = (self.a_bytes, self.b_bytes)
+        edges, all_bytes = np.cumsum([len(w) for w in want]), b"".join(want)
+
+        def whole(side: list[list[int]], table: list[bytes], size: np.ndarray) -> bool:
+            ids = list(chain.from_iterable(side))
+            upto = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum([len(x) for x in side])]
+            return np.array_equal(upto, edges) and b"".join(map(table.__getitem__, ids)) == all_bytes
+
+        if all(map(whole, sides, tables, (self.a_size, self.b_size))):
+            return np.ones(len(want), bool)
+        return np.array([all(b"".join([table[i] for i in side[k]]) == w for side, table in zip(sides, tables, strict=True)) for k, w in enumerate(want)], bool)
 
     def measure(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of tokens of A and B, groups and links of each text; digests of its groups; linked pairs: their text, key and how often."""
@@ -103,14 +142,15 @@ class Aligner:
         if new := list(dict.fromkeys(x for s in split for x in s if x not in self.index)):
             self.learn(new)
         size = np.array([len(s) for s in split], np.int64)
-        at = np.fromiter((self.index[x] for s in split for x in s), np.int64, size.sum())
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, size.sum())
         of = np.repeat(np.arange(len(texts)), size)
         numbers = np.zeros((len(texts), 5), np.int64)
         np.add.at(numbers, of, self.numbers[at])
         fine = (numbers[:, 4] == size) & (size > 0)
         numbers[~fine] = 0
-        edges = np.concatenate([[0], np.cumsum(size)])
-        digests = [hashlib.sha256(b";".join([self.groups[k] for k in at[i:j]])).hexdigest() if ok else "" for ok, i, j in zip(fine, edges[:-1], edges[1:], strict=True)]
+        edges = np.concatenate([[0], np.cumsum(size)]).tolist()
+        groups = [self.groups[k] for k in at.tolist()]
+        digests = [hashlib.sha256(";".join(groups[i:j]).encode()).hexdigest() if ok else "" for ok, i, j in zip(fine.tolist(), edges[:-1], edges[1:], strict=True)]
         at, of = at[fine[of]], of[fine[of]]
         n = self.first[at + 1] - self.first[at]
         place = np.arange(n.sum()) + np.repeat(self.first[at] - (np.cumsum(n) - n), n)
@@ -119,32 +159,6 @@ class Aligner:
         return numbers[:, :4], digests, both >> 40, both & ((1 << 40) - 1), times
 
 
-def _visible(c: str) -> bool:
-    return "!" <= c <= "~" or c.isalnum()
-
-
-def aligned(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes], shift: int) -> tuple[list[str], list[int]]:
-    """Groups between byte offsets where tokens of both end, as text, and the keys of all linked pairs."""
-    groups, links = [], []
-    i = j = i0 = j0 = 0
-    at_a, at_b = len(a_bytes[a[0]]), len(b_bytes[b[0]])
-    while True:
-        links.append(a[i] << shift | b[j])
-        if at_a == at_b:
-            groups.append(f"{','.join(map(str, a[i0 : i + 1]))}|{','.join(map(str, b[j0 : j + 1]))}")
-            i, j = i + 1, j + 1
-            i0, j0 = i, j
-            if i == len(a):
-                return groups, links
-            at_a, at_b = at_a + len(a_bytes[a[i]]), at_b + len(b_bytes[b[j]])
-        elif at_a < at_b:
-            i += 1
-            at_a += len(a_bytes[a[i]])
-        else:
-            j += 1
-            at_b += len(b_bytes[b[j]])
-
-
 def _list_array(values: np.ndarray, of: np.ndarray, rows: int, kind: pa.DataType) -> pa.Array:
     """Values, ordered by the row that they are of, as one list a row."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows + 1)).astype(np.int32)), pa.array(values, kind))
@@ -155,12 +169,15 @@ _ALIGNED = "key binary, m long, n_a long, n_b long, n_groups long, n_links long,
 
 def align_distinct(distinct: DataFrame, a_file: bytes, b_file: bytes) -> DataFrame:
     """_ALIGNED of distinct texts (key, m, text): measures, and each linked pair with how often the text links it."""
-    sent = distinct.sparkSession.sparkContext.broadcast((a_file, b_file))  # the files of two fixed vocabularies
+    sent = distinct.sparkSession.sparkContext.broadcast({"files": (a_file, b_file)})  # two fixed vocabularies
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*sent.value)
+        # A worker that goes on to another task keeps what it has read of the broadcast, and so its aligner.
+        if "aligner" not in sent.value:
+            sent.value["aligner"] = Aligner(*sent.value["files"])
+        aligner = sent.value["aligner"]
         for batch in batches:
-            size = np.cumsum(np.array([len(x) for x in batch.column(2).to_pylist()], np.int64))
+            size = np.cumsum(pc.utf8_length(batch.column(2)).to_numpy())
             start = 0
             while start < batch.num_rows:
                 stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + SLICE, side="right")))
