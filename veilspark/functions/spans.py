@@ -33,6 +33,41 @@ def hinted(low: Column, hints: list[str], found: Column) -> Column:
     return F.when(some, found)
 
 
+#: Arrays grow in blocks of so many elements: what is there already is copied once a block, not once an element.
+BLOCK = 256
+
+
+def blocks(items: Column) -> Column:
+    """The items in slices of BLOCK, in order; one empty slice without items."""
+    return let(items, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int"))), lambda b: F.slice(x, b * BLOCK + 1, BLOCK)))
+
+
+def scan(items: Column, carried: Column, element: str, step) -> Column:
+    """struct<at, out> after all items in order: step(at, item) gives what is carried on, and a new element of out (array<element>) or null."""
+    empty = F.array().cast(f"array<{element}>")
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        at, new = step(acc["at"], x)
+        return let(new, lambda n: state(at, F.when(n.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], n))))
+
+    def block(acc: Column, part: Column) -> Column:
+        return let(F.aggregate(part, state(acc["at"], empty), one), lambda d: state(d["at"], F.concat(acc["out"], d["out"])))
+
+    return F.aggregate(blocks(items), state(carried, empty), block)
+
+
+def fold(items: Column, element: str, fresh, meets, join) -> Column:
+    """array<element>: items in order, where one that meets(last element, item) is joined into it; else it begins one with fresh(item)."""
+    none = F.lit(None).cast(element)
+
+    def step(cur: Column, x: Column) -> tuple[Column, Column]:
+        joins = F.coalesce(cur.isNotNull() & meets(cur, x), F.lit(False))
+        return F.when(joins, join(cur, x).cast(element)).otherwise(fresh(x).cast(element)), F.when(joins, none).otherwise(cur)
+
+    return let(scan(items, none, element, step), lambda d: F.when(d["at"].isNull(), d["out"]).otherwise(F.array_append(d["out"], d["at"])))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value, group>> in code points (end exclusive), in order; empty without a match or for null.
 
@@ -42,18 +77,27 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else value
     rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), value.alias("value"), groups.alias("group"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["group"].alias("group")).cast(SPAN))).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["group"].alias("group")).cast(SPAN)
 
-    empty = F.array().cast(f"array<{SPAN}>")
-    found = F.aggregate(F.filter(rows, lambda x: x["value"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(empty)
+    found = scan(F.filter(rows, lambda x: x["value"].isNotNull()), F.lit(0), SPAN, step)["out"]
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
-    """The text with spans (start, end, label; ordered, not overlapping) replaced by their labels."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    add = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["label"]).alias("out"))
-    return F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """The text with spans (start, end, label; ordered, not overlapping) replaced by their labels.  Each block of spans takes its stretch of the text once."""
+
+    def stretch(part: Column, chunk: Column) -> Column:
+        first = F.get(part, F.lit(0))["at"]
+        return F.array_join(F.transform(part, lambda x: F.concat(F.substring(chunk, x["at"] - first + 1, x["start"] - x["at"]), x["label"])), "")
+
+    def cut(part: Column) -> Column:
+        first = F.get(part, F.lit(0))["at"]
+        return let(F.substring(text, first + 1, F.element_at(part, -1)["end"] - first), lambda chunk: stretch(part, chunk))
+
+    with_gaps = let(spans, lambda all_: F.transform(all_, lambda s, i: F.struct(F.coalesce(F.get(all_, i - 1)["end"], F.lit(0)).alias("at"), s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"))))
+    pieces = F.transform(blocks(with_gaps), cut)
+    tail = let(spans, lambda all_: F.substring(text, F.element_at(all_, -1)["end"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)

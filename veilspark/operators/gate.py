@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 #: As they stand in the published rules; values of conditions are joined by underscores, so the first never meets one.
 RARE_CONDITIONS = ["ehlers-danlos", "huntington", "marfan"]
 RARE_OCCUPATIONS = ["zoologist", "astronomer", "epidemiologist"]
@@ -40,31 +42,43 @@ def uncertainty_flags() -> Column:
     return F.when(F.size("hard_stop_reasons") > 0, F.array().cast("array<string>")).otherwise(flags)
 
 
-def gate(k_min: int = 5, k_safe: int = 20, require_joint: bool = True) -> Column:
-    """SAFE, UNSAFE or UNCERTAIN from k_lower (null: no estimate), date_count, qi_count, contextual_count, word_count, disagreement, rare."""
+def _setting(x: Column | str | int | bool) -> Column:
+    """A setting for all rows, or the name of the column that holds each row's own."""
+    return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
+
+
+def gate(k_min: Column | str | int = 5, k_safe: Column | str | int = 20, require_joint: Column | str | bool = True) -> Column:
+    """SAFE, UNSAFE or UNCERTAIN from k_lower (null: no estimate), date_count, qi_count, contextual_count, word_count, disagreement, rare.
+
+    Settings are values, or names of columns where each row has its own policy.
+    """
     k, uncertain = F.col("k_lower"), F.lit("UNCERTAIN")
-    chain = F.when(k < k_min, "UNSAFE")
-    if require_joint:
-        chain = chain.when(k.isNull(), "UNSAFE")
     density = (F.col("qi_count") + F.col("contextual_count")) / F.greatest(F.col("word_count"), F.lit(1))
-    return chain.when(F.col("date_count") >= 3, uncertain).when((F.col("qi_count") >= 5) & k.isNull(), uncertain).when(density > 0.1, uncertain).when(F.col("disagreement"), uncertain).when(k >= k_safe, "SAFE").when((F.col("qi_count") <= 2) & ~F.col("rare"), "SAFE").otherwise(uncertain)
+    return (
+        F.when(k < _setting(k_min), "UNSAFE").when(k.isNull() & _setting(require_joint), "UNSAFE").when(F.col("date_count") >= 3, uncertain).when((F.col("qi_count") >= 5) & k.isNull(), uncertain)
+        .when(density > 0.1, uncertain).when(F.col("disagreement"), uncertain).when(k >= _setting(k_safe), "SAFE").when((F.col("qi_count") <= 2) & ~F.col("rare"), "SAFE").otherwise(uncertain)
+    )
 
 
-def hard_stops(k_min: int = 5, require_joint: bool = True) -> Column:
-    """Reasons to keep a text local whatever the gate says."""
-    low = F.when((F.col("k_lower") < k_min) & (F.col("method") == "empirical_joint"), F.format_string("k_lower %.1f below %d", F.col("k_lower"), F.lit(k_min)))
-    none = F.when(F.col("k_lower").isNull(), "no joint estimate") if require_joint else F.lit(None).cast("string")
-    return F.array_compact(F.array(low, none))
+def hard_stops(k_min: Column | str | int = 5, require_joint: Column | str | bool = True, residual: Column | None = None) -> Column:
+    """Reasons to keep a text local whatever the gate says; ``residual``: how many direct identifiers its masked form still holds."""
+    least = _setting(k_min)
+    shown = F.when(residual > 0, F.format_string("%d direct identifiers left unmasked", residual)) if residual is not None else F.lit(None).cast("string")
+    low = F.when((F.col("k_lower") < least) & (F.col("method") == "empirical_joint"), F.format_string("k_lower %.1f below %d", F.col("k_lower"), least))
+    none = F.when(F.col("k_lower").isNull() & _setting(require_joint), "no joint estimate")
+    return F.array_compact(F.array(shown, low, none))
 
 
-def route(features: DataFrame, k_min: int = 5, k_safe: int = 20, require_joint: bool = True, model=None) -> DataFrame:
+def route(features: DataFrame, k_min: Column | str | int = 5, k_safe: Column | str | int = 20, require_joint: Column | str | bool = True, model=None) -> DataFrame:
     """features with hard_stop_reasons, gate_decision and tier (1 as it is, 2 masked, 3 local).
 
-    Only texts whose gate is uncertain, and that no hard stop holds, go to ``model``, a function from a DataFrame to it with a boolean
-    model_flag; without a model, and where it abstains (null), the flag is false and the text is masked.
+    Settings are values or names of columns.  A column residual_count, if there is one, is how many direct identifiers the masked text
+    still holds.  Only texts whose gate is uncertain, and that no hard stop holds, go to ``model``, a function from a DataFrame to it
+    with a boolean model_flag; without a model, and where it abstains (null), the flag is false and the text is masked.
     """
-    f = features.withColumn("hard_stop_reasons", hard_stops(k_min, require_joint)).withColumn("_gate", gate(k_min, k_safe, require_joint))
-    weak = (F.col("_gate") == "UNSAFE") & F.col("method").isin(BOUNDS) & (F.col("k_lower") < k_min)
+    residual = F.col("residual_count") if "residual_count" in features.columns else None
+    f = features.withColumn("hard_stop_reasons", hard_stops(k_min, require_joint, residual)).withColumn("_gate", gate(k_min, k_safe, require_joint))
+    weak = (F.col("_gate") == "UNSAFE") & F.col("method").isin(BOUNDS) & (F.col("k_lower") < _setting(k_min))
     f = f.withColumn("gate_decision", F.when(weak, "UNCERTAIN").otherwise(F.col("_gate"))).drop("_gate")
     ask = (F.size("hard_stop_reasons") == 0) & (F.col("gate_decision") == "UNCERTAIN")
     f = f.withColumn("llm_invoked", ask if model else F.lit(False))
@@ -77,6 +91,33 @@ def route(features: DataFrame, k_min: int = 5, k_safe: int = 20, require_joint:
     return f.withColumn("tier", tier)
 
 
+def prompt(masked: Column) -> Column:
+    """What a model is asked about a masked text: the factors, the form of the answer, the text."""
+    head, tail = fixed.PROMPT.split("{text}")
+    return F.concat(F.lit(head.replace("{factors}", "\n".join(f"- {n}: {d}" for n, d in fixed.FACTORS.items()))), F.coalesce(masked, F.lit("")), F.lit(tail))
+
+
+def model_flag(answer: Column, least: float = 0.7) -> Column:
+    """Whether a model's answer (parse_answer() of the names of FACTORS) says that a text gives somebody away: any factor but an unusual
+    event, or that one with a confidence above ``least``.  Null (abstention) without an answer or if it can't be parsed."""
+    names = list(fixed.FACTORS)
+    says = lambda n: answer[n]["detected"]
+    some = says(names[0]) & (answer[names[0]]["confidence"] > least)
+    for n in names[1:]:
+        some = some | says(n)
+    return F.when(answer.isNotNull() & answer["parsed"], some)
+
+
+def asked(answers, text: str = "masked"):
+    """A model for route(): ``answers`` is a function from a DataFrame to it with a column answer, for which it finds a column prompt."""
+
+    def model(rows: DataFrame) -> DataFrame:
+        said = answers(rows.withColumn("prompt", prompt(F.col(text))))
+        return said.withColumn("model_flag", model_flag(parse_answer(F.col("answer"), list(fixed.FACTORS)))).drop("prompt", "answer")
+
+    return model
+
+
 #: The model's answer, by fixed names.
 FACTOR = "struct<detected:variant,confidence:variant>"
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import let, matches, pattern_of, replace_spans
+from ..functions.spans import fold, let, matches, pattern_of, replace_spans, scan
 
 
 def category(entity: Column) -> Column:
@@ -40,6 +40,14 @@ def evidence(text: Column, types: list[str] | None = None) -> Column:
     return let(F.rlike(text, F.lit(r"\p{Nd}")), every)
 
 
+def counts(text: Column, types: list[str] | None = None) -> Column:
+    """array<struct<entity_type, n>> of the types that the text has, in order; empty for a null text."""
+    number = lambda entity: sum((F.regexp_count(text, F.lit(pattern_of(p))) for p in fixed.PII[entity]), F.lit(0))
+    guard = lambda entity, digit: F.contains(text, F.lit(_HINTS[entity][0])) if entity in _HINTS else digit
+    every = lambda digit: F.array(*(F.struct(F.lit(e).alias("entity_type"), F.when(guard(e, digit), number(e)).otherwise(0).cast("long").alias("n")) for e in types or fixed.PII))
+    return F.filter(let(F.rlike(text, F.lit(r"\p{Nd}")), every), lambda x: x["n"] > 0)
+
+
 def detect(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
     """doc_id, entity_type, category, start, end, score, ord: every match of every pattern; the text isn't shuffled."""
     rows = docs.select("doc_id", F.explode_outer(evidence(F.col("text"), types)).alias("s")).where("s is not null")
@@ -51,17 +59,8 @@ def _typed(entity: str, ord_: int, spans: Column) -> Column:
     return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.struct(F.lit(ord_).alias("pattern"), i.alias("match")).alias("ord"), *own).cast(_EVIDENCE))
 
 
-def _fold(items: Column, element: str, fresh, join) -> Column:
-    """array<element>: items in order, where one that starts before the last element's end is joined into it."""
-    state = lambda out, cur: F.struct(out.alias("out"), cur.alias("cur"))
-
-    def step(acc: Column, x: Column) -> Column:
-        cur = acc["cur"]
-        out = F.when(cur.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], cur))
-        return F.when(cur.isNotNull() & (x["start"] < cur["end"]), state(acc["out"], join(cur, x).cast(element))).otherwise(state(out, fresh(x).cast(element)))
-
-    none = state(F.array().cast(f"array<{element}>"), F.lit(None).cast(element))
-    return F.aggregate(items, none, step, lambda acc: F.when(acc["cur"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["cur"])))
+def _overlaps(cur: Column, x: Column) -> Column:
+    return x["start"] < cur["end"]
 
 
 def merged(found: Column) -> Column:
@@ -76,7 +75,7 @@ def merged(found: Column) -> Column:
         kept = row(cur["start"], end, cur["entity_type"], cur["category"], cur["detector"], cur["score"], n, F.array_append(cur["confirmed_by"], x["detector"]))
         return F.when(priority(x["category"]) < priority(cur["category"]), won.cast(_MERGED)).otherwise(kept.cast(_MERGED))
 
-    return _fold(found, _MERGED, lambda x: row(x["start"], x["end"], x["entity_type"], x["category"], x["detector"], x["score"], F.lit(1), none), join)
+    return fold(found, _MERGED, lambda x: row(x["start"], x["end"], x["entity_type"], x["category"], x["detector"], x["score"], F.lit(1), none), _overlaps, join)
 
 
 def masked(text: Column, spans: Column, categories: list[str] | None = None) -> Column:
@@ -90,10 +89,37 @@ def all_masked(text: Column, spans: Column, qi: Column) -> Column:
     label = "struct<start:int,end:int,o:int,label:string>"
     one = lambda s, o, name: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(o).alias("o"), F.upper(s[name]).alias("label")).cast(label)
     both = F.array_sort(F.concat(F.transform(spans, lambda s: one(s, 0, "entity_type")), F.transform(F.filter(qi, lambda s: s["start"].isNotNull()), lambda s: one(s, 1, "qi_type"))))
-    islands = _fold(both, label, lambda x: x, lambda cur, x: F.struct(cur["start"].alias("start"), F.greatest(cur["end"], x["end"]).alias("end"), cur["o"].alias("o"), cur["label"].alias("label")))
+    islands = fold(both, label, lambda x: x, _overlaps, lambda cur, x: F.struct(cur["start"].alias("start"), F.greatest(cur["end"], x["end"]).alias("end"), cur["o"].alias("o"), cur["label"].alias("label")))
     return replace_spans(text, F.transform(islands, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["label"], F.lit("]")).alias("label"))))
 
 
+_PIECE = "struct<start:int,end:int,m_start:int,m_end:int>"
+
+
+def residual(text: Column, spans: Column, types: list[str], categories: list[str] | None = None) -> Column:
+    """array<struct<entity_type, category, start, end, m_start, m_end>>: identifiers of these types that masked() leaves in a text.
+
+    The masked text is searched once more; places are given in it (m_start, m_end) and in the source (start, end).  What lies within
+    a label stands for the whole span that the label replaced.  Empty for a null text.
+    """
+    chosen = F.filter(spans, lambda s: s["category"].isin(categories)) if categories else spans
+    label = lambda s: F.length(s["entity_type"]) + 2
+
+    def step(shift: Column, s: Column) -> tuple[Column, Column]:
+        first = s["start"] + shift
+        return shift + label(s) - (s["end"] - s["start"]), F.struct(s["start"].alias("start"), s["end"].alias("end"), first.alias("m_start"), (first + label(s)).alias("m_end")).cast(_PIECE)
+
+    def source(at: Column, pieces: Column, side: str) -> Column:
+        before = F.element_at(F.filter(pieces, lambda p: p["m_start"] < at if side == "end" else p["m_start"] <= at), -1)
+        return let(before, lambda p: F.when(p.isNull(), at).when(at < p["m_end"], p[side]).otherwise(at - p["m_end"] + p["end"]))
+
+    def places(pieces: Column) -> Column:
+        again = merged(evidence(masked(text, spans, categories), types))
+        return F.transform(again, lambda s: F.struct(s["entity_type"].alias("entity_type"), s["category"].alias("category"), source(s["start"], pieces, "start").alias("start"), source(s["end"], pieces, "end").alias("end"), s["start"].alias("m_start"), s["end"].alias("m_end")))
+
+    return let(scan(chosen, F.lit(0), _PIECE, step)["out"], places)
+
+
 def merge(evidence: DataFrame) -> DataFrame:
     """Overlapping spans of a document as one: the first of the strongest category names it, its end is the last end.
 

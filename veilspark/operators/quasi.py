@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import hinted, let, lowered, matches, pattern_of
+from ..functions.spans import fold, hinted, let, lowered, matches, pattern_of
 
 
 def _literal_map(values: dict[str, str]) -> Column:
@@ -60,8 +60,8 @@ _TIME_HINTS = [[":"], ["am", "pm", "a.m.", "p.m."], [":"], ["noon", "midnight"],
 
 
 @lru_cache(maxsize=16)
-def _found_in(session: int, name: str, types: tuple[str, ...] | None) -> Column:
-    # The expression is large: it is put together once for a column's name and a session.
+def _found_in(application: str, name: str, types: tuple[str, ...] | None) -> Column:
+    # The expression is large: it is put together once for a column's name and an application.
     text = F.col(name)
     hints = F.struct(lowered(text).alias("low"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digit"))
     return let(hints, lambda h: _found_with(text, h["low"], h["digit"], types))
@@ -70,7 +70,7 @@ def _found_in(session: int, name: str, types: tuple[str, ...] | None) -> Column:
 def found(name: str = "text", types: list[str] | None = None) -> Column:
     """array of every quasi-identifier found in the column named (of these types only), in order of detection: qi_type, value, start, end, confidence,
     granularity, unseen, detector, ord; null for a null text."""
-    return _found_in(id(SparkSession.getActiveSession()), name, None if types is None else tuple(types))
+    return _found_in(SparkSession.getActiveSession().sparkContext.applicationId, name, None if types is None else tuple(types))
 
 
 def _found_with(text: Column, low: Column, digit: Column, types: tuple[str, ...] | None) -> Column:
@@ -126,29 +126,28 @@ def detect(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
 def deduplicated(rows: Column) -> Column:
     """The first of each type and value of found(), within the row; the largest confidence; the detectors that agree (sorted)."""
     names = ["qi_type", "value", "start", "end", "granularity", "unseen", "detector"]
-
-    def one(keys: Column) -> Column:
-        def entry(x: Column, i: Column) -> Column:
-            same = F.filter(rows, lambda y: (y["qi_type"] == x["qi_type"]) & (y["value"] == x["value"]))
-            agree = F.array_sort(F.array_except(F.transform(same, lambda y: y["detector"]), F.array(x["detector"])))
-            made = F.struct(*(x[n].alias(n) for n in names), F.array_max(F.transform(same, lambda y: y["confidence"])).alias("confidence"), agree.alias("agreement"))
-            return F.when(F.array_position(keys, F.get(keys, i)) == i + 1, made)
-
-        return F.filter(F.transform(rows, entry), lambda x: x.isNotNull())
-
-    keys = F.transform(rows, lambda x: F.struct(x["qi_type"].alias("t"), x["value"].alias("v")))
-    return let(keys, one)
+    kinds = "struct<t:string,v:string,i:int,x:" + _FOUND + ",confidence:double,detectors:array<string>>"
+    entry = lambda t, v, i, x, c, d: F.struct(t.alias("t"), v.alias("v"), i.alias("i"), x.alias("x"), c.alias("confidence"), d.alias("detectors"))
+    keyed = F.transform(rows, lambda x, i: entry(x["qi_type"], x["value"], i, x.cast(_FOUND), x["confidence"], F.array(x["detector"])).cast(kinds))
+    same = lambda cur, x: (cur["t"] == x["t"]) & (cur["v"] == x["v"])
+    join = lambda cur, x: entry(cur["t"], cur["v"], cur["i"], cur["x"], F.greatest(cur["confidence"], x["confidence"]), F.array_union(cur["detectors"], x["detectors"]))
+    # Equal types and values come together, the first found first.
+    once = fold(F.array_sort(keyed), kinds, lambda x: x, same, join)
+    in_order = F.array_sort(F.transform(once, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x"), e["confidence"].alias("confidence"), F.array_sort(F.array_except(e["detectors"], F.array(e["x"]["detector"]))).alias("agreement"))))
+    return F.transform(in_order, lambda e: F.struct(*(e["x"][n].alias(n) for n in names), e["confidence"].alias("confidence"), e["agreement"].alias("agreement")))
 
 
 def asserted(rows: Column, text: Column) -> Column:
     """rows with assertion: negated if a negation stands in the 50 characters before the value's first place in the text."""
 
-    def one(x: Column) -> Column:
-        at = F.instr(F.lower(text), F.replace(F.lower(x["value"]), F.lit("_"), F.lit(" ")))
-        before = F.substring(F.lower(text), F.greatest(F.lit(1), at - 50), F.least(F.lit(50), at - 1))
-        return x.withField("assertion", F.when((at > 1) & F.rlike(before, F.lit(pattern_of(fixed.NEGATION))), "negated").otherwise("present"))
+    def one(x: Column, low: Column) -> Column:
+        def marked(at: Column) -> Column:
+            before = F.substring(low, F.greatest(F.lit(1), at - 50), F.least(F.lit(50), at - 1))
+            return x.withField("assertion", F.when((at > 1) & F.rlike(before, F.lit(pattern_of(fixed.NEGATION))), "negated").otherwise("present"))
+
+        return let(F.instr(low, F.replace(F.lower(x["value"]), F.lit("_"), F.lit(" "))), marked)
 
-    return F.transform(rows, one)
+    return let(F.lower(text), lambda low: F.transform(rows, lambda x: one(x, low)))
 
 
 def identify(docs: DataFrame, types: list[str] | None = None) -> DataFrame:

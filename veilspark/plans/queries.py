@@ -72,16 +72,17 @@ def register(sql: str | None = None):
 
 @register(f"SELECT tier, count(*) AS n FROM (SELECT CASE WHEN {_sql_count(fixed.PII['EMAIL_ADDRESS'][0])} + {_sql_count(fixed.PII['PHONE_NUMBER'][0])} > 0 THEN 2 ELSE 1 END AS tier FROM documents) GROUP BY tier")
 def tier_counts(spark, sf_dir):
-    """Detect, merge, and route by whether a text has identifiers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.merge(pii.detect(docs, ["EMAIL_ADDRESS", "PHONE_NUMBER"])).select("doc_id").distinct()
-    tier = docs.select("doc_id").join(found.withColumn("hit", F.lit(True)), "doc_id", "left").select(F.when(F.col("hit"), 2).otherwise(1).alias("tier"))
+    """Detect, merge, and route by whether a text has identifiers, within the row."""
+    found = pii.merged(pii.evidence(F.col("text"), ["EMAIL_ADDRESS", "PHONE_NUMBER"]))
+    tier = table(spark, sf_dir, "documents").select(F.when(F.size(found) > 0, 2).otherwise(1).alias("tier"))
     return tier.groupBy("tier").agg(F.count("*").alias("n"))
 
 
 @register(" UNION ALL ".join(f"SELECT doc_id, '{t}' AS entity_type, n FROM (SELECT doc_id, ({' + '.join(_sql_count(p) for p in ps)})::BIGINT AS n FROM documents) WHERE n > 0" for t, ps in fixed.PII.items()))
 def pii_counts(spark, sf_dir):
-    return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
+    """How often each document has each type of identifier, counted within the row."""
+    counts = F.explode_outer(pii.counts(F.col("text"))).alias("x")
+    return table(spark, sf_dir, "documents").select("doc_id", counts).where("x is not null").select("doc_id", "x.entity_type", "x.n")
 
 
 def _identified(spark, sf_dir, pii_too: bool = True) -> DataFrame:
