@@ -11,6 +11,7 @@ from ..operators import census, corpus, evaluate, frequency, gate, pii, populati
 from ..operators.scratch import written
 from ..sources import records
 from ..streaming.incremental import run_windowed_counts
+from . import span_sql
 
 _FACTS = ["balance", "nation", "segment"]
 
@@ -91,33 +92,33 @@ def _identified(spark, sf_dir, pii_too: bool = True) -> DataFrame:
     return docs.withColumn("pii", pii.merged(pii.evidence(F.col("text")))) if pii_too else docs
 
 
-@register()
+@register(span_sql.PII_MERGED)
 def pii_merged(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.explode_outer(pii.merged(pii.evidence(F.col("text")))).alias("s")).where("s is not null").select("doc_id", "s.*")
+    return docs.select("doc_id", F.explode_outer(pii.merged(pii.evidence(F.col("text")))).alias("s")).where("s is not null").select("doc_id", "s.*").withColumn("confirmed_by", F.array_join("confirmed_by", ","))
 
 
-@register()
+@register(span_sql.PII_MASKED)
 def pii_masked(spark, sf_dir):
     """Both masked views: strong and direct identifiers only, and all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", pii.merged(pii.evidence(F.col("text"))))
     both = docs.select("doc_id", F.length("text").alias("n"), pii.masked(F.col("text"), F.col("spans"), fixed.CATEGORIES[:2]).alias("masked"), pii.masked(F.col("text"), F.col("spans")).alias("full"))
-    return both.select("doc_id", F.md5("masked").alias("masked_md5"), F.md5("full").alias("pii_masked_md5"), ((F.col("n") - F.length("masked")) / F.greatest("n", F.lit(1))).alias("masking_ratio"))
+    return rounded(both.select("doc_id", F.md5("masked").alias("masked_md5"), F.md5("full").alias("pii_masked_md5"), ((F.col("n") - F.length("masked")) / F.greatest("n", F.lit(1))).alias("masking_ratio")))
 
 
-@register()
+@register(span_sql.EVERYTHING_MASKED)
 def everything_masked(spark, sf_dir):
     return _identified(spark, sf_dir).select("doc_id", F.md5(pii.all_masked(F.col("text"), F.col("pii"), F.col("qi"))).alias("masked_md5"))
 
 
-@register()
+@register(span_sql.QUASI_IDENTIFIERS)
 def quasi_identifiers(spark, sf_dir):
     # An outer explode and a test behind it: a test before it would find everything twice.
     rows = _identified(spark, sf_dir, False).select("doc_id", F.explode_outer("qi").alias("q")).where("q is not null")
-    return rows.select("doc_id", *(f"q.{c}" for c in ("qi_type", "value", "start", "end", "confidence", "granularity", "unseen", "agreement", "assertion")))
+    return rows.select("doc_id", *(f"q.{c}" for c in ("qi_type", "value", "start", "end", "confidence", "granularity", "unseen", "assertion")), F.array_join("q.agreement", ",").alias("agreement"))
 
 
-@register()
+@register(span_sql.QUASI_KEYS)
 def quasi_joint_keys(spark, sf_dir):
     unseen = lambda qi: F.exists(qi, lambda q: q["unseen"] & (q["assertion"] == "present"))
     made = let(F.col("qi"), lambda qi: F.struct(quasi.key_parts(qi).alias("pairs"), unseen(qi).alias("has_unseen")))
@@ -210,7 +211,7 @@ GATE_FEATURES = [
 ]
 
 
-@register()
+@register(span_sql.GATE_FEATURES)
 def gate_features(spark, sf_dir):
     """Features of the gate for every document."""
     return rounded(gate.features(_identified(spark, sf_dir)).select("doc_id", *GATE_FEATURES))
