@@ -96,11 +96,11 @@ def all_masked(text: Column, spans: Column, qi: Column) -> Column:
 _PIECE = "struct<start:int,end:int,m_start:int,m_end:int>"
 
 
-def residual(text: Column, spans: Column, types: list[str], categories: list[str] | None = None) -> Column:
-    """array<struct<entity_type, category, start, end, m_start, m_end>>: identifiers of these types that masked() leaves in a text.
+def with_residual(docs: DataFrame, spans: Column, types: list[str], categories: list[str] | None = None, text: str = "text") -> DataFrame:
+    """docs with masked (as masked() has it) and left: array<struct<entity_type, category, start, end, m_start, m_end>>, identifiers of these types that masking left.
 
     The masked text is searched once more; places are given in it (m_start, m_end) and in the source (start, end).  What lies within
-    a label stands for the whole span that the label replaced.  Empty for a null text.
+    a label stands for the whole span that the label replaced.  A null text has none.  Columns masked and left are replaced.
     """
     chosen = F.filter(spans, lambda s: s["category"].isin(categories)) if categories else spans
     label = lambda s: F.length(s["entity_type"]) + 2
@@ -109,15 +109,17 @@ def residual(text: Column, spans: Column, types: list[str], categories: list[str
         first = s["start"] + shift
         return shift + label(s) - (s["end"] - s["start"]), F.struct(s["start"].alias("start"), s["end"].alias("end"), first.alias("m_start"), (first + label(s)).alias("m_end")).cast(_PIECE)
 
-    def source(at: Column, pieces: Column, side: str) -> Column:
-        before = F.element_at(F.filter(pieces, lambda p: p["m_start"] < at if side == "end" else p["m_start"] <= at), -1)
-        return let(before, lambda p: F.when(p.isNull(), at).when(at < p["m_end"], p[side]).otherwise(at - p["m_end"] + p["end"]))
+    def source(at: Column, side: str) -> Column:
+        last = F.try_element_at(F.filter("_pieces", lambda p: p["m_start"] < at if side == "end" else p["m_start"] <= at), F.lit(-1))
+        return let(last, lambda p: F.when(p.isNull(), at).when(at < p["m_end"], p[side]).otherwise(at - p["m_end"] + p["end"]))
 
-    def places(pieces: Column) -> Column:
-        again = merged(evidence(masked(text, spans, categories), types))
-        return F.transform(again, lambda s: F.struct(s["entity_type"].alias("entity_type"), s["category"].alias("category"), source(s["start"], pieces, "start").alias("start"), source(s["end"], pieces, "end").alias("end"), s["start"].alias("m_start"), s["end"].alias("m_end")))
+    def placed(s: Column) -> Column:
+        return F.struct(s["entity_type"].alias("entity_type"), s["category"].alias("category"), source(s["start"], "start").alias("start"), source(s["end"], "end").alias("end"), s["start"].alias("m_start"), s["end"].alias("m_end"))
 
-    return let(scan(chosen, F.lit(0), _PIECE, step)["out"], places)
+    rows = docs.withColumn("_spans", chosen).withColumn("masked", masked(F.col(text), F.col("_spans"))).withColumn("left", merged(evidence(F.col("masked"), types)))
+    # An empty list of pieces has no last one.
+    pieces = F.when(F.size("left") > 0, scan(F.col("_spans"), F.lit(0), _PIECE, step)["out"])
+    return rows.withColumn("_pieces", pieces).withColumn("left", F.transform("left", placed)).drop("_spans", "_pieces")
 
 
 def merge(evidence: DataFrame) -> DataFrame:

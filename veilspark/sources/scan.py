@@ -69,7 +69,10 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
     whole = files.withColumn("tree", tree)
     by_line = F.transform(lines, F.try_parse_json)
-    rows = whole.withColumn("records", F.when(F.schema_of_variant("tree").startswith("ARRAY"), F.try_variant_get("tree", "$", "array<variant>")).when(F.col("tree").isNotNull(), F.array("tree")).when(F.forall(by_line, lambda x: x.isNotNull()) & (F.size(lines) > 0), by_line))
+    # Lines come first: of several records one after the other a parser sees only the first.
+    each_line = (F.size(lines) > 1) & F.forall(by_line, lambda x: x.isNotNull())
+    listed = F.schema_of_variant("tree").startswith("ARRAY")
+    rows = whole.withColumn("records", F.when(each_line, by_line).when(listed, F.try_variant_get("tree", "$", "array<variant>")).when(F.col("tree").isNotNull(), F.array("tree")))
     bad = rows.where("records is null").select("file", F.lit("not JSON").alias("reason"))
     each = rows.where("records is not null").select("file", F.posexplode("records").alias("at", "r"))
     value = lambda name, kind: F.try_variant_get("r", f"$.{name}", kind)

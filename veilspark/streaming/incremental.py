@@ -2,25 +2,50 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scratch import shared_folder
 
 
-def run_incremental(spark: SparkSession, source: str, schema, process: Callable[[DataFrame], DataFrame], out: str, state: str) -> None:
-    """Process files new in ``source`` and append results to ``out``; ``state`` is the stream's checkpoint.
+_STOPPED = "stopped between batches"
 
-    A batch that comes again writes its own folder again, so no text is written twice.  A new input or setting takes a new state and out.
+
+class _Stop(Exception):
+    pass
+
+
+def run_incremental(
+    spark: SparkSession, source: str, schema, process: Callable[[DataFrame], DataFrame], out: str, state: str, files_a_batch: int | None = None, most_batches: int | None = None, stop: threading.Event | None = None
+) -> int:
+    """Process files new in ``source`` and append results to ``out``; ``state`` is the stream's checkpoint.  Returns how many batches were done.
+
+    A batch takes ``files_a_batch`` files at most.  Once ``most_batches`` are done, or ``stop`` is set (by a signal's handler, say), the batch
+    that runs is finished and the next one isn't begun; a later run goes on there.  A batch that comes again writes its own folder again,
+    so no text is written twice.  A new input or setting takes a new state and out.
     """
+    done = 0
 
     def batch(rows: DataFrame, number: int) -> None:
+        nonlocal done
+        if (most_batches is not None and done >= most_batches) or (stop is not None and stop.is_set()):
+            raise _Stop(_STOPPED)
         process(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    query = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
+        done += 1
+
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader
+    query = reader.parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if _STOPPED not in str(e):
+            raise
+    return done
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
