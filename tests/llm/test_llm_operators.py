@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -181,6 +182,43 @@ def test_tiles_of_repeats(spark):
     assert sorted((str(r["doc_id"]), r["item_id"]) for r in tiling.contaminated(d, bench).collect()) == [("1", 1), ("1", 1), ("None", 2)]
 
 
+def test_common_seeds_lose_no_pair(spark, monkeypatch):
+    """Items that share a preamble, documents that bring most of one, pieces of many, or the preamble alone: as by all pairs."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    common = [rng.choice(words) for _ in range(12)]
+    items = [common + [rng.choice(words) for _ in range(rng.randint(4, 60))] for _ in range(40)] + [common, common[:5], ["one", "two"]]
+    docs = []
+    for _ in range(120):
+        own = list(rng.choice(items))
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(len(own))] = "changed"
+        cut = rng.randrange(len(own))
+        docs.append(own[cut:] + ["between"] + own[:cut] + rng.choice(items)[: rng.randint(0, 30)])
+    docs.append(common)
+    want = set()
+    for d, own in enumerate(docs):
+        for i, item in enumerate(items):
+            known = {}
+            x, y = tiling.word_ids([w.encode() for w in item], known), tiling.word_ids([w.encode() for w in own], known)
+            if sum(t[2] for t in tiling.tiles(x, y, np.arange(len(y)), min(5, len(x)))) / len(x) >= 0.8:
+                want.add((d, i))
+    table = lambda rows, name: spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], f"{name} long, text string")
+    for many in (0, 5, 1000):
+        monkeypatch.setattr(tiling, "COMMON", many)
+        got = tiling.contaminated(table(docs, "doc_id"), table(items, "item_id")).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_long_tiles_in_time():
+    """A text of 20,000 words against one with each sixth word changed."""
+    a = np.random.default_rng(1).integers(1, 2**60, 20_000).astype(np.uint64)
+    b = a.copy()
+    b[5::6] += np.uint64(1)
+    begin = time.time()
+    assert tiling.tiles(a, b, np.arange(len(b)), 5) == [(i, i, 5) for i in range(0, 19_998, 6)] and time.time() - begin < 1
+
+
 def test_warc_salvage(spark, tmp_path):
     page = "<p>" + "x" * 2000
     pages = spark.createDataFrame([(1, "http://a b", page), (2, None, page), (3, "u", None), (4, "u", "é"), (None, "u", page)], "page_id long, url string, html string")

@@ -66,23 +66,28 @@ def unused(taken: list[str], *names: str) -> list[str]:
     return out
 
 
-#: A bitmap of hashes has so many bits (as a power of 2): 8 MB, however many hashes.
-MAP_BITS = 26
+#: A bitmap of hashes has so many bits (as a power of 2): 8 MB; for more hashes more, up to 128 MB.
+MAP_BITS, MOST_MAP_BITS = 26, 30
 
 
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size of the highest bits of 64-bit hashes: tells which hashes can't be among them."""
-    place = F.shiftrightunsigned(column, 64 - MAP_BITS)
-    bit = F.expr(f"shiftleft(1L, int(shiftrightunsigned({column}, {64 - MAP_BITS}) & 63))")
-    bits = hashes.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2 ** 20 rows
-    out = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    out[bits.column("at").to_numpy()] = bits.column("bits").to_numpy()
+def map_bits(n: int) -> int:
+    """Bits (as a power of 2) of a bitmap of n hashes: 16 a hash, within the bounds."""
+    return min(MOST_MAP_BITS, max(MAP_BITS, (16 * n).bit_length()))
+
+
+def bitmap(hashes: DataFrame, column: str, bits: int = MAP_BITS) -> np.ndarray:
+    """A bitmap of the highest bits of 64-bit hashes: tells which hashes can't be among them."""
+    place = F.shiftrightunsigned(column, 64 - bits)
+    bit = F.expr(f"shiftleft(1L, int(shiftrightunsigned({column}, {64 - bits}) & 63))")
+    words = hashes.groupBy(F.shiftrightunsigned(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2 ** (bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def may_have(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether the hashes may be among those of the bitmap."""
-    at = h >> np.uint64(64 - MAP_BITS)
+    at = h >> np.uint64(64 - len(bits).bit_length() + 1 - 6)
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 

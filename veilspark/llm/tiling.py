@@ -14,14 +14,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bitmap, materialise, may_have, unused
+from .common import bitmap, map_bits, materialise, may_have, unused
 
 #: A-Z to lower case; ASCII punctuation and control characters to a blank.
 _TABLE = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256)).lower()
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+#: Items from which on a seed counts as common.
+COMMON = 20
 #: Most numbers of rows that are broadcast to take the rows out (8 bytes each).
 SENT_ROWS = 1_000_000
 
@@ -71,45 +74,65 @@ class _Runs:
         return (self.sums[at + n] - self.sums[at]) * self.back[at]
 
 
-def _common(item: _Runs, doc: _Runs, own: np.ndarray, other: np.ndarray, n: int) -> tuple[int, int] | None:
-    """The first places in item and doc of an equal run of n free words, or None."""
+def _any_common(item: _Runs, doc: _Runs, own: np.ndarray, other: np.ndarray, n: int) -> bool:
+    """Whether item and doc have an equal run of n free words."""
     i, d = np.flatnonzero(own >= n), np.flatnonzero(other >= n)
     if not len(i) or not len(d):
-        return None
+        return False
     values, seen = item.values(i, n), doc.values(d, n)
     order = np.argsort(seen, kind="stable")
-    seen = seen[order]
-    spot = np.minimum(np.searchsorted(seen, values), len(seen) - 1)
-    for k in np.flatnonzero(seen[spot] == values).tolist():
-        a, b = int(i[k]), int(d[order[spot[k]]])
-        if np.array_equal(item.ids[a : a + n], doc.ids[b : b + n]):
-            return a, b
-    return None
+    spot = np.minimum(np.searchsorted(seen, values, sorter=order), len(seen) - 1)
+    return any(np.array_equal(item.ids[i[k] : i[k] + n], doc.ids[d[order[spot[k]]] : d[order[spot[k]]] + n]) for k in np.flatnonzero(seen[order[spot]] == values).tolist())
+
+
+def _mark_all(item: _Runs, doc: _Runs, own: np.ndarray, other: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Mark equal runs of n free words, the longest there are: those first in the item come first, each with the first free place in doc."""
+    i, d = np.flatnonzero(own >= n), np.flatnonzero(other >= n)
+    values, seen = item.values(i, n), doc.values(d, n)
+    order = np.argsort(seen, kind="stable")
+    low, high = (np.searchsorted(seen, values, side=side, sorter=order) for side in ("left", "right"))
+    free = lambda x: doc.free[d[order[x]]] and doc.free[d[order[x]] + n - 1]
+    # Of each value the places before its own next one have been marked by now.
+    following: dict[int, int] = {}
+    out = []
+    for k in np.flatnonzero(low < high).tolist():
+        a = int(i[k])
+        # All runs marked here have n words, so one that meets another has its first or last word in common with it.
+        if not (item.free[a] and item.free[a + n - 1]):
+            continue
+        at = following.get(int(low[k]), int(low[k]))
+        while at < high[k] and not free(at):
+            at += 1
+        following[int(low[k])] = at
+        b = next((d[order[x]] for x in range(at, int(high[k])) if free(x) and np.array_equal(item.ids[a : a + n], doc.ids[d[order[x]] : d[order[x]] + n])), None)
+        if b is not None:
+            item.free[a : a + n] = doc.free[b : b + n] = False
+            out.append((a, int(b)))
+    return out
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, pos: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in item, place in doc, length >= n): the longest match of free words first, then the first in the item.
 
-    ``doc`` has the hashes of the document's words at the places ``pos``.  Each tile takes as many passes over both texts as the
-    longest match has binary digits, however often words repeat.
+    ``doc`` has the hashes of the document's words at the places ``pos``.  All tiles of one length are marked together, after as many
+    passes over both texts as the longest match has binary digits, however often words repeat.
     """
     gaps = np.flatnonzero(np.diff(pos) != 1) + 1
     a, b = _Runs(item, np.ones(len(item), bool)), _Runs(np.insert(doc, gaps, 0), np.insert(np.ones(len(doc), bool), gaps, False))
     pos, out, most = np.insert(pos, gaps, -1), [], len(item)
     while True:
         own, other = a.room(), b.room()
-        low, high, best = n, min(most, int(own.max(initial=0)), int(other.max(initial=0))), None
+        low, high, best = n, min(most, int(own.max(initial=0)), int(other.max(initial=0))), 0
         while low <= high:
             middle = (low + high) // 2
-            if found := _common(a, b, own, other, middle):
-                best, low = (*found, middle), middle + 1
+            if _any_common(a, b, own, other, middle):
+                best, low = middle, middle + 1
             else:
                 high = middle - 1
-        if best is None:
+        if not best:
             return out
-        i, d, most = best
-        a.free[i : i + most] = b.free[d : d + most] = False
-        out.append((i, int(pos[d]), most))
+        out += [(i, int(pos[d]), best) for i, d in _mark_all(a, b, own, other, best)]
+        most = best - 1
 
 
 def _item_rows(benchmark: DataFrame) -> DataFrame:
@@ -126,27 +149,41 @@ def _item_rows(benchmark: DataFrame) -> DataFrame:
     return materialise(rows.where(F.size("w") > 0).withColumn("item", F.monotonically_increasing_id()), "tiling-items")
 
 
-def _item_seeds(items: DataFrame, min_words: int) -> DataFrame:
-    """item, n, h: the items' seeds.  An item shorter than a run has one seed: itself."""
+def _item_seeds(items: DataFrame, min_words: int, coverage: float) -> tuple[DataFrame, DataFrame]:
+    """All seeds of items (item, n, h), and those to join by: item, h, places (how often the item has it), need.  An item shorter than a run has one seed: itself.
+
+    A document that covers enough of an item has seeds at so many of its places that some may be left out: of seeds which many items have,
+    the most frequent, but so few that the rest must still show the document at ``need`` places at least.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, w in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = w.values.to_numpy().view(np.uint64)
                 n = min(min_words, len(ids))
-                h = np.unique(rolling(ids, n)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), item, np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(h)], names=["item", "n", "h"])
-
-    return materialise(items.select("item", "w").mapInArrow(build, "item long, n int, h long"), "tiling-seeds")
+                h, places = np.unique(rolling(ids, n), return_counts=True)
+                # A tile of L words, n at least, begins at L - n + 1 places, so n times the places are no fewer than the words.
+                least = max(1, int(np.ceil(coverage * len(ids) / n - 1e-9)))
+                fill = lambda x, kind: pa.array(np.full(len(h), x, kind))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([fill(item, np.int64), fill(n, np.int32), pa.array(h.view(np.int64)), pa.array(places.astype(np.int64)), fill(least, np.int64)], names=["item", "n", "h", "places", "least"])
+
+    seeds = materialise(items.select("item", "w").mapInArrow(build, "item long, n int, h long, places long, least long"), "tiling-seeds")
+    common = seeds.groupBy("h").agg(F.count("*").alias("many")).where(F.col("many") > COMMON)
+    ranked = seeds.join(common, "h", "left").withColumn("many", F.coalesce("many", F.lit(0).cast("long")))
+    # A window over one item's seeds.
+    upto = F.sum("places").over(W.partitionBy("item").orderBy(F.desc("many"), "h"))
+    out = ranked.withColumn("left_out", (F.col("many") > 0) & (upto < F.col("least")))
+    lost = F.sum(F.when(F.col("left_out"), F.col("places")).otherwise(0)).over(W.partitionBy("item"))
+    return seeds, materialise(out.withColumn("need", F.col("least") - lost).where("not left_out").select("item", "h", "places", "need"), "tiling-rare")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int, coverage: float, id_col: str, text_col: str) -> DataFrame:
     """doc_id, item_id, coverage, tiles of pairs that reach the coverage."""
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     items = _item_rows(benchmark)
-    seeds = _item_seeds(items, min_words)
+    seeds, rare = _item_seeds(items, min_words, coverage)
     lengths = sorted(r["n"] for r in seeds.select("n").distinct().collect())  # 1 to min_words
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(seeds, "h"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(seeds, "h", map_bits(seeds.count())))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -173,7 +210,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int, coverage: fl
     # Numbered once when written: null and repeated ids don't matter.
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     scanned = materialise(own.mapInArrow(scan, f"doc_id {id_type}, h array<long>, w array<long>, pos array<long>").withColumn("doc", F.monotonically_increasing_id()), "tiling-scan")
-    pairs = scanned.select("doc", F.explode("h").alias("h")).join(seeds.select("h", "item"), "h").select("doc", "item").distinct()
+    # Only pairs with seeds at as many places as the coverage takes have their words brought together.
+    met = scanned.select("doc", F.explode("h").alias("h")).join(rare, "h")
+    pairs = met.groupBy("doc", "item").agg(F.sum("places").alias("met"), F.first("need").alias("need")).where("met >= need").select("doc", "item")
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
