@@ -248,7 +248,35 @@ def test_warc_salvage(spark, tmp_path):
     cut = warc.gzip_member(records[0] + noise)[:-20_000] + warc.gzip_member(records[3])
     got = list(warc.salvage(cut))
     assert [x.get("record_id") for x in got if x["kind"] == "record"] == ["r0", "r3"] and [x["reason"] for x in got if x["kind"] == "gap"]
-    assert [x["kind"] for x in warc.salvage(warc.gzip_member(noise), most_inflated=1000)] == ["gap"]
+    # A record that is too long is lost alone; those before and behind it in its member stay.
+    got = list(warc.salvage(warc.gzip_member(records[0] + noise + records[1] + records[2]), most_record=20_000))
+    assert [x.get("record_id") for x in got if x["kind"] == "record"] == ["r0", "r1", "r2"] and [(x["inner_offset"], x["inner_length"]) for x in got if x["kind"] == "gap"] == [(len(records[0]), len(noise))]
+
+
+@pytest.mark.parametrize("held", [1 << 24, 1000])
+def test_members_of_any_size(monkeypatch, held):
+    """A whole file as one member, read record by record: with a damaged record, a claimed length that isn't there, junk, and a break at its end."""
+    monkeypatch.setattr(warc, "HELD", held)
+    rng = random.Random(9)
+    body = lambda i: rng.randbytes(rng.choice([0, 10, 3000, 400_000])) + b"WARC/1.0 %d" % i
+    records = [warc.record_bytes("response", f"r{i}", "u", b := body(i), hashlib.sha1(b).hexdigest(), None) for i in range(60)]
+    broken = {7, 8, 30, 59}
+    parts = [r[:-9] + bytes([r[-9] ^ 1]) + r[-8:] if i in broken else r for i, r in enumerate(records)]
+    parts[20] = parts[20].replace(b"Content-Length: ", b"Content-Length: 9999999")
+    whole = b"".join(parts) + b"junk" * 5
+    got = list(warc.salvage(b"xx" + warc.gzip_member(whole) + records[0]))
+    assert [x["record_id"] for x in got if x["kind"] == "record"] == [f"r{i}" for i in range(60) if i not in broken | {20}] + ["r0"]
+    upto = np.cumsum([0, *map(len, parts)])
+    assert [(x["inner_offset"], x["inner_length"]) for x in got if x["kind"] == "gap" and x.get("inner_offset") is not None] == [(upto[7], upto[9] - upto[7]), (upto[20], upto[21] - upto[20]), (upto[30], upto[31] - upto[30]), (upto[59], len(whole) - upto[59])]
+    cut = list(warc.salvage(warc.gzip_member(b"".join(records))[:-5000] + records[0]))
+    kept = [x["record_id"] for x in cut if x["kind"] == "record"]
+    assert kept[:-1] == [f"r{i}" for i in range(len(kept) - 1)] and len(kept) > 50 and kept[-1] == "r0" and sum(x["kind"] == "gap" for x in cut) == 1
+
+
+def test_failures_are_linear():
+    begin = time.time()
+    got = list(warc.salvage(b"WARC/1.1 no record\n" * 200_000 + b"x" * 1_000_000))
+    assert len(got) == 1 and time.time() - begin < 10
 
 
 def test_warc_tables(spark, tmp_path):

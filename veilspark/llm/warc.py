@@ -24,8 +24,11 @@ RECORD_SCHEMA = (
     "path string, offset long, length long, inner_offset long, inner_length long, kind string, reason string, gaps_before long, record_type string, record_id string,"
     " target_uri string, refers_to string, payload_digest string, payload_bytes long, checked boolean, payload binary"
 )
-#: Most bytes that a gzip member may inflate to; a longer one is quarantined.
-MOST_INFLATED = 1 << 30
+#: Bytes of the longest record inside a gzip member that is looked for: a longer one is quarantined, as it is no row that Spark could hold.
+#: A member may hold any number of records and inflate to any size.
+MOST_RECORD = 1 << 30
+#: Bytes of a member that are held at once where it is no longer; longer ones are inflated twice, first to check them.
+HELD = 16 << 20
 
 
 def dedup_plan(pages: DataFrame, id_col: str = "page_id", text_col: str = "html", min_bytes: int = 1000) -> DataFrame:
@@ -155,49 +158,108 @@ def parse_record(data: bytes, at: int) -> tuple[dict | None, int, str]:
     }, close.end(), ""
 
 
-def _member(data: bytes, at: int, most: int) -> tuple[bytes, int | None, str]:
-    """What the gzip member at this place holds, as far as it can be read, its end if its CRC is right, and what is wrong with it."""
-    inflate, out, place = zlib.decompressobj(31), bytearray(), at
+def _inflated(data: bytes, at: int) -> Iterator[bytes]:
+    """What the gzip member at this place holds, in parts, as far as it can be read; returns its end if its CRC is right, and what is wrong with it."""
+    inflate, place = zlib.decompressobj(31), at
     try:
         while not inflate.eof:
-            part = data[place : place + 16384]
+            part = data[place : place + 65536]
             if not part:
-                return bytes(out), None, "member cut off"
-            out += inflate.decompress(part, most + 1 - len(out))
-            if len(out) > most:
-                return b"", None, "member inflates to too many bytes"
+                return None, "member cut off"
+            out = inflate.decompress(part, 1 << 20)
             place += len(part) - len(inflate.unconsumed_tail)
+            if out:
+                yield out
     except zlib.error:
-        return bytes(out), None, "broken member"
-    return bytes(out), place - len(inflate.unused_data), ""
+        return None, "broken member"
+    return place - len(inflate.unused_data), ""
 
 
-def _inside(data: bytes) -> Iterator[tuple[dict | None, int, int, str]]:
-    """Records of a member's bytes, and the gaps between them (no record): place, length, reason."""
-    gap, why, at = None, "", 0
-    while at < len(data):
-        found, end, reason = parse_record(data, at)
-        if found is None:
-            gap, why = (at, reason) if gap is None else (gap, why)
-            at = p if (p := data.find(b"WARC/1.", at + 1)) >= 0 else len(data)
+def _member(data: bytes, at: int) -> tuple[list[bytes] | None, int | None, str]:
+    """The parts of a member that is short enough to be held (else None), its end if its CRC is right, and what is wrong with it."""
+    parts, size, held = _inflated(data, at), 0, []
+    while True:
+        try:
+            part = next(parts)
+        except StopIteration as e:
+            return (held if size <= HELD else None), *e.value
+        size += len(part)
+        if size <= HELD:
+            held.append(part)
+        else:
+            held.clear()
+
+
+#: What more bytes may mend.
+_UNFINISHED = {"header without end", "block cut off", "no record end after the block"}
+_LONGEST_HEAD = 1 << 20
+
+
+def _inside(parts: Iterator[bytes], most: int) -> Iterator[tuple[dict | None, int, int, str]]:
+    """Records of a member's bytes, which come in parts, and the gaps between them (no record): place, length, reason.
+
+    Held are the bytes of one record, or of what looks like one; what is too long for one isn't waited for.
+    """
+    parts = iter(parts)
+    held, base, at, gap, why, ended = bytearray(), 0, 0, None, "", False
+
+    def more(n: int) -> None:
+        """Have n bytes from here on, if there are as many."""
+        nonlocal ended
+        while not ended and len(held) - at < n:
+            part = next(parts, None)
+            if part is None:
+                ended = True
+            else:
+                held.extend(part)
+
+    while True:
+        if at > 1 << 20:
+            del held[:at]
+            base, at = base + at, 0
+        more(16)
+        if at >= len(held):
+            break
+        found, end, reason = parse_record(held, at)
+        while found is None and reason in _UNFINISHED and not ended and len(held) - at < (_LONGEST_HEAD if reason == "header without end" else most):
+            more(2 * (len(held) - at))
+            found, end, reason = parse_record(held, at)
+        if found is None or end - at > most:
+            gap, why = (base + at, reason or "record too long") if gap is None else (gap, why)
+            more(1 << 16)
+            at = p if (p := held.find(b"WARC/1.", at + 1)) >= 0 else max(at + 1, len(held) if ended else len(held) - 6)
             continue
         if gap is not None:
-            yield None, gap, at - gap, why
+            yield None, gap, base + at - gap, why
             gap = None
-        yield found, at, end - at, ""
+        yield found | {"payload": bytes(found["payload"])}, base + at, end - at, ""
         at = end
     if gap is not None:
-        yield None, gap, len(data) - gap, why
+        yield None, gap, base + len(held) - gap, why
+
+
+class _Marks:
+    """The next gzip member's or version line's place; each mark is sought once over the whole file."""
+
+    def __init__(self, data: bytes):
+        self.data, self.next = data, {b"\x1f\x8b\x08": -1, b"WARC/1.": -1}
 
+    def after(self, at: int) -> int:
+        for mark, place in self.next.items():
+            if place <= at and place != len(self.data):
+                found = self.data.find(mark, at + 1)
+                self.next[mark] = found if found >= 0 else len(self.data)
+        return min(self.next.values())
 
-def salvage(data: bytes, most_inflated: int = MOST_INFLATED) -> Iterator[dict]:
+
+def salvage(data: bytes, most_record: int = MOST_RECORD) -> Iterator[dict]:
     """Records of one archive, plain or gzip, and the byte gaps between them.
 
     After a failed check the search goes on from the next byte for a gzip member that holds a record, or for a version
-    line; what lies between is one gap, with the first failure as its reason.  A member may hold many records: what can't be read
-    within it is a gap with an inner place.  Of a broken member the records before the break are kept if a digest confirms them.
+    line; what lies between is one gap, with the first failure as its reason.  A member may hold many records, of which one is held at a
+    time: what can't be read within it is a gap with an inner place.  Of a broken member the records before the break are kept if a digest confirms them.
     """
-    gap, why, at, gaps = None, "", 0, 0
+    gap, why, at, gaps, marks = None, "", 0, 0, _Marks(data)
 
     def lost(offset: int, length: int, reason: str, inner: tuple[int, int] | None = None) -> dict:
         nonlocal gaps
@@ -205,32 +267,51 @@ def salvage(data: bytes, most_inflated: int = MOST_INFLATED) -> Iterator[dict]:
         where = {"inner_offset": inner[0], "inner_length": inner[1]} if inner else {}
         return {"kind": "gap", "offset": offset, "length": length, "reason": reason} | where
 
+    def record(found: dict, place: int | None, length: int | None, end: int | None) -> dict:
+        return {"kind": "record", "offset": at, "length": None if end is None else end - at, "inner_offset": place, "inner_length": length, "reason": None, "gaps_before": gaps} | found
+
     while at < len(data):
-        rows, end, reason = [], at, "neither a member nor a version line"
+        end, reason = at, "neither a member nor a version line"
         if data[at : at + 3] == b"\x1f\x8b\x08":
-            member, stop, reason = _member(data, at, most_inflated)
-            rows = list(_inside(member))
+            parts, stop, reason = _member(data, at)
+            rows = _inside(_inflated(data, at) if parts is None else parts, most_record)
+            # Gaps before the first record wait until there is one: without any the whole member is a gap.
+            waiting, some, empty = [], False, True
+            for found, place, length, bad in rows:
+                empty = False
+                if found is None or (stop is None and not found["checked"]):
+                    if stop is not None and not some:
+                        waiting.append((place, length, bad))
+                    elif stop is not None:
+                        yield lost(at, stop - at, bad, (place, length))
+                    continue
+                if not some:
+                    some = True
+                    if gap is not None:
+                        yield lost(gap, at - gap, why)
+                        gap = None
+                    for x in waiting:
+                        yield lost(at, stop - at, x[2], x[:2])
+                yield record(found, place, length, stop)
             if stop is None:
-                rows, end = [r for r in rows if r[0] and r[0]["checked"]], None
-            elif not member or any(r[0] for r in rows):
+                end = None
+            elif some or empty:
                 end = stop
+                if gap is not None:
+                    yield lost(gap, at - gap, why)
+                    gap = None
             else:
-                rows, reason = [], rows[0][3]
+                reason = waiting[0][2]
         elif data[at : at + 5] == b"WARC/":
             found, end, reason = parse_record(data, at)
-            rows = [(found, None, None, "")] if found else []
-        if gap is not None and (rows or (end is not None and end > at)):
-            yield lost(gap, at - gap, why)
-            gap = None
-        for found, place, length, bad in rows:
             if found:
-                yield {"kind": "record", "offset": at, "length": None if end is None else end - at, "inner_offset": place, "inner_length": length, "reason": None, "gaps_before": gaps} | found
-            else:
-                yield lost(at, end - at, bad, (place, length))
+                if gap is not None:
+                    yield lost(gap, at - gap, why)
+                    gap = None
+                yield record(found, None, None, end)
         if end is None or end == at:
             gap, why = (at, reason) if gap is None else (gap, why)
-            places = [p for p in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
-            end = min(places, default=len(data))
+            end = marks.after(at)
         at = end
     if gap is not None:
         yield lost(gap, len(data) - gap, why)
