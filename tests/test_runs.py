@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.operators import corpus, frequency, gate, measure, pii, policy, quasi, shuffle, state
+from veilspark.operators import corpus, frequency, gate, measure, pii, policy, population, quasi, shuffle, state
 from veilspark.plans import queries
 from veilspark.sources import records, scan
 from veilspark.streaming import incremental
@@ -263,3 +263,52 @@ def test_population_and_order(spark):
     samples = spark.createDataFrame([("h2", 0), ("h1", 1)], "hash string, ord int")
     results = spark.createDataFrame([("h1", 3), ("h3", 4), ("h2", 5)], "hash string, tier int")
     assert [r["tier"] for r in corpus.in_sample_order(samples, results).collect()] == [5, 3]
+
+
+def test_sample_blocks(spark):
+    schema = "id string, text string, difficulty int, scenario string, expected_critical boolean, direct_identifiers map<string,string>, indirect_identifiers array<string>"
+    rows = [("57", "Hello", 3, "Chat", True, {"n": "1"}, ["CIT", "it's"]), ("wiki_1", "x [START OF TRANSCRIPT] y [END OF TRANSCRIPT]", 0, "Other", False, None, None), (None, None, None, None, None, None, []), ("a", "[START OF TRANSCRIPT] only", 1, "Wikipedia article", False, {}, None)]
+    frame = spark.createDataFrame(rows, schema)
+    got = [r[0] for r in frame.select(corpus.sample_block(frame)).collect()]
+    for (i, text, level, scenario, critical, direct, indirect), block in zip(rows, got, strict=True):
+        i, text, scenario = i or "unknown", text or "", scenario or "Unknown"
+        name = i if i.startswith("wiki_") or scenario == "Wikipedia article" else f"RAT-{i}"
+        body = text if "[START OF TRANSCRIPT]" in text and "[END OF TRANSCRIPT]" in text else f"[START OF TRANSCRIPT]\n{text}\n[END OF TRANSCRIPT]"
+        assert block == f"---\n# name: {name} (difficulty={level or 0}, {scenario})\n# expected_critical: {str(bool(critical)).lower()}\n# rat_difficulty: {level or 0}\n# rat_scenario: {scenario}\n# rat_direct_ids: {list(direct or {})}\n# rat_indirect_ids: {indirect or []}\n\n{body}\n"
+    back = corpus.parse_blocks(spark.createDataFrame([("\n".join(got),)], "value string"))
+    assert [r["expected"] for r in back.orderBy("ord").collect()][:2] == [True, False]
+
+
+def test_splits(spark):
+    rows = spark.createDataFrame([(1, "train"), (2, "test"), (3, None), (4, "train")], "id int, split string")
+    ids = lambda split, df=rows: sorted(r["id"] for r in corpus.choose_split(df, split).collect())
+    assert ids("train") == [1, 4] and ids("test") == [2] and ids("dev") == [2] and ids("x", rows.where("split is null")) == [] and ids("x", rows.limit(0)) == []
+
+
+def test_hospital_tables(spark):
+    shares = population.from_shares(spark, "education", fixed.EDUCATION_SHARES, fixed.US_POPULATION, "s")
+    scaled = {r["qi_value"]: r for r in population.hospital_scaled(shares, "education").collect()}
+    assert len(scaled) == len(fixed.EDUCATION_SHARES)
+    for v, f in fixed.EDUCATION_SHARES.items():
+        assert int(f * 150000 * 0.9) - 1 <= scaled[v]["count"] <= f * 150000 * 1.1 and abs(scaled[v]["frequency"] - scaled[v]["count"] / 150000) < 1e-12
+    counts = spark.createDataFrame([(v, n) for v, n in fixed.DETAILED_OCCUPATIONS.items()], "qi_value string, count long")
+    total = sum(fixed.OCCUPATION_COUNTS.values())
+    jobs = counts.select(F.lit("occupation_detailed").alias("qi_type"), "qi_value", (F.col("count") / total).alias("frequency"), F.lit("BLS").alias("source"))
+    got = {r["qi_value"]: r["count"] for r in population.hospital_scaled(jobs, "occupation_detailed").collect()}
+    factor = lambda v: 5.0 if "nurse" in v or "physician" in v else 0.5 if v in fixed.RARE_OCCUPATIONS else 1.0
+    assert got == {v: max(1, int(n / total * 150000 * factor(v))) for v, n in fixed.DETAILED_OCCUPATIONS.items()}
+    conditions = {r["qi_value"]: r for r in population.hospital_conditions(spark).collect()}
+    se = (0.15 * 0.85 / 150000) ** 0.5
+    assert abs(conditions["diabetes_type2"]["upper_bound"] - (0.15 + 1.96 * se)) < 1e-12 and conditions["huntingtons"]["count"] == 45
+    pair = {r["qi_value"]: r["count"] for r in population.yes_and_no(spark, "has_rare_disease", fixed.RARE_DISEASE_PATIENTS, fixed.US_POPULATION_2022, "s").collect()}
+    assert pair == {"yes": 33_000_000, "no": 298_097_593}
+
+
+def test_estimates_without_values(spark):
+    pop = frequency.frequency_table(spark.createDataFrame([("male",)] * 30, "sex string"), ["sex"])
+    pairs = "id int, pairs array<struct<t:string,v:string>>, found int, present int"
+    rows = [(1, [], 0, 0), (2, [], 2, 0), (3, [], 2, 1), (4, [("race", "x")], 1, 1), (5, [("sex", "male")], 1, 1)]
+    got = {r["id"]: r for r in frequency.estimate_found(spark.createDataFrame(rows, pairs), pop).collect()}
+    assert [got[i]["method"] for i in range(1, 6)] == ["no_qis", "no_patient_qis", "no_normalized_values", "unavailable", "empirical_joint"]
+    assert [got[i]["k_lower"] for i in (1, 2)] == [float("inf")] * 2 and got[3]["k_lower"] is None and got[4]["k_lower"] is None and got[5]["k_lower"] == 30
+    assert [got[i]["reason"] is None for i in range(1, 6)] == [True, True, False, False, True]

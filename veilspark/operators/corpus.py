@@ -61,6 +61,45 @@ def block(name: Column, expected: Column, text: Column) -> Column:
     return F.format_string("---\n# name: %s\n# expected_critical: %s\n\n[START OF TRANSCRIPT]\n%s\n[END OF TRANSCRIPT]\n", name, F.when(expected, "true").otherwise("false"), text)
 
 
+def identifier_names(column: Column, kind: str) -> Column:
+    """The names in a column of identifiers, which older files hold as a map and others as a list; empty for null."""
+    names = F.map_keys(column) if kind.startswith("map") else column if kind.startswith("array") else F.lit(None)
+    return F.coalesce(names.cast("array<string>"), F.array().cast("array<string>"))
+
+
+def quoted(names: Column) -> Column:
+    """A list of names as the files write it: ['a', 'b']."""
+    sign = F.lit("'")
+    one = lambda n: F.when(F.contains(n, sign) & ~F.contains(n, F.lit('"')), F.concat(F.lit('"'), n, F.lit('"'))).otherwise(F.concat(sign, F.replace(F.replace(n, F.lit("\\"), F.lit("\\\\")), sign, F.lit("\\'")), sign))
+    return F.concat(F.lit("["), F.array_join(F.transform(names, one), ", "), F.lit("]"))
+
+
+def sample_block(samples: DataFrame) -> Column:
+    """A sample (id, text, difficulty, scenario, expected_critical, direct_identifiers, indirect_identifiers) as a block with its metadata.
+
+    Articles keep their id as name, other samples are named by prefix and id; markers are only added to a text that lacks one of them.
+    """
+    kinds = dict(samples.dtypes)
+    own = F.coalesce(F.col("id").cast("string"), F.lit("unknown"))
+    scenario, level, text = F.coalesce("scenario", F.lit("Unknown")), F.coalesce(F.col("difficulty").cast("string"), F.lit("0")), F.coalesce("text", F.lit(""))
+    name = F.when(F.startswith(own, F.lit("wiki_")) | (scenario == "Wikipedia article"), own).otherwise(F.concat(F.lit("RAT-"), own))
+    marked = F.contains(text, F.lit("[START OF TRANSCRIPT]")) & F.contains(text, F.lit("[END OF TRANSCRIPT]"))
+    body = F.when(marked, text).otherwise(F.concat(F.lit("[START OF TRANSCRIPT]\n"), text, F.lit("\n[END OF TRANSCRIPT]")))
+    names = [quoted(identifier_names(F.col(c), kinds[c])) for c in ("direct_identifiers", "indirect_identifiers")]
+    critical = F.when(F.coalesce("expected_critical", F.lit(False)), "true").otherwise("false")
+    return F.concat(
+        F.lit("---\n# name: "), name, F.lit(" (difficulty="), level, F.lit(", "), scenario, F.lit(")\n# expected_critical: "), critical, F.lit("\n# rat_difficulty: "), level, F.lit("\n# rat_scenario: "), scenario,
+        F.lit("\n# rat_direct_ids: "), names[0], F.lit("\n# rat_indirect_ids: "), names[1], F.lit("\n\n"), body, F.lit("\n"),
+    )
+
+
+def choose_split(rows: DataFrame, split: str, column: str = "split") -> DataFrame:
+    """The rows of a split; if there are none, those of the first split by name (null counts as none)."""
+    have = rows.agg(F.max(F.col(column) == split).alias("asked"), F.min(column).alias("first"))  # one row
+    chosen = have.select(F.when(F.coalesce("asked", F.lit(False)), F.lit(split)).otherwise(F.col("first")).alias("_split"))
+    return rows.join(F.broadcast(chosen), F.col(column) == F.col("_split"), "left_semi")
+
+
 def parse_blocks(files: DataFrame, value: str = "value") -> DataFrame:
     """ord, name, expected, text of the blocks in whole files; a file without blocks gives its paragraphs, not critical."""
     blocks = files.withColumn("_b", F.regexp_extract_all(value, F.lit(_BLOCK), F.lit(0)))

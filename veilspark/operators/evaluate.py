@@ -139,17 +139,29 @@ def metrics(counts: DataFrame) -> DataFrame:
     return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))).withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)
 
 
-def ablation(results: DataFrame, setting: DataFrame) -> DataFrame:
-    """full, no_pii, no_qi, none: counts of a detector that is off are 0; with both off, risk and k aren't looked at."""
+def _ablated(results: DataFrame, setting: DataFrame) -> DataFrame:
+    """results under each condition (full, no_pii, no_qi, no_detectors) and the setting, with outcome and risk: counts of a detector that is off are 0; with
+    both off, risk and k aren't looked at."""
     on = results.sparkSession.createDataFrame([("full", True, True), ("no_pii", False, True), ("no_qi", True, False), ("no_detectors", False, False)], "condition string, use_pii boolean, use_qi boolean")
     off = ~F.col("use_pii") & ~F.col("use_qi")
     rows = results.crossJoin(F.broadcast(on)).withColumns({
         "direct_norm": F.when(F.col("use_pii"), F.col("direct_norm")).otherwise(0.0), "quasi_norm": F.when(F.col("use_qi"), F.col("quasi_norm")).otherwise(0.0),
         "joint_risk": F.when(off, 0.0).otherwise(F.col("joint_risk")), "k_lower": F.when(off, float("inf")).otherwise(F.col("k_lower")),
     })
-    marked = rows.crossJoin(F.broadcast(setting)).withColumn("_o", outcome("c"))
+    risk = F.col("joint_risk") + F.col("w_direct") * F.col("direct_norm") + F.col("w_quasi") * F.col("quasi_norm")
+    return rows.crossJoin(F.broadcast(setting)).withColumns({"_o": outcome("c"), "_risk": F.least(F.lit(1.0), F.greatest(F.lit(0.0), risk))})
+
+
+def ablation(results: DataFrame, setting: DataFrame) -> DataFrame:
+    """full, no_pii, no_qi, none: counts and metrics of each condition."""
     y, m = F.col("expected"), F.col("_o") != "pass"
-    return metrics(marked.groupBy("condition").agg(F.count_if(y & m).alias("tp"), F.count_if(~y & m).alias("fp"), F.count_if(~y & ~m).alias("tn"), F.count_if(y & ~m).alias("fn")))
+    return metrics(_ablated(results, setting).groupBy("condition").agg(F.count_if(y & m).alias("tp"), F.count_if(~y & m).alias("fp"), F.count_if(~y & ~m).alias("tn"), F.count_if(y & ~m).alias("fn")))
+
+
+def ablation_rates(results: DataFrame, setting: DataFrame) -> DataFrame:
+    """condition, the share of each tier (passed, reviewed, blocked), mean_combined_risk."""
+    rate = lambda o: ratio(F.count_if(F.col("_o") == o), F.count("*"))
+    return _ablated(results, setting).groupBy("condition").agg(rate("pass").alias("tier_1_rate"), rate("review").alias("tier_2_rate"), rate("block").alias("tier_3_rate"), F.coalesce(F.avg("_risk"), F.lit(0.0)).alias("mean_combined_risk"))
 
 
 def pareto(points: DataFrame) -> DataFrame:

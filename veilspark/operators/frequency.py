@@ -112,3 +112,18 @@ def estimate_pairs(people: DataFrame, table: DataFrame) -> DataFrame:
         by(infinite, F.col("joint_high"), F.col("pair"), F.col("least")).alias("k_upper"), by(F.lit(1.0), F.lit(0.9), F.lit(0.6), F.lit(0.4)).alias("confidence"),
         F.when(F.col("missing") == 0, F.col("_frechet") * F.col("n")).alias("frechet_lower"), F.when(F.col("missing") == 0, F.col("_least") * F.col("n")).alias("frechet_upper"),
     )
+
+
+def estimate_found(people: DataFrame, table: DataFrame) -> DataFrame:
+    """estimate_pairs() of people (id, pairs, found, present) with reason: found and present say how many values a text has, and how many of them are asserted.
+
+    Without any the method is no_qis; if all are denied it is no_patient_qis and k is infinite too; if none of those asserted has a
+    value it is no_normalized_values and there is no estimate.  What can't be estimated has a reason.
+    """
+    rows = estimate_pairs(people.select("id", "pairs"), table).join(people.select("id", "found", "present"), "id")
+    none = F.col("method") == "no_qis"
+    empty = none & (F.col("present") > 0)
+    method = F.when(empty, "no_normalized_values").when(none & (F.col("found") > 0), "no_patient_qis").otherwise(F.col("method"))
+    unknown = lambda c: F.when(~empty, F.col(c))
+    reason = F.when(empty, "no value of those found is normalized").when(F.col("method") == "unavailable", "no joint, pair or marginal of these values")
+    return rows.withColumns({c: unknown(c) for c in ("k_point", "k_lower", "k_upper", "confidence")}).withColumns({"method": method, "reason": reason}).drop("found", "present")

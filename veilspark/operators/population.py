@@ -73,6 +73,41 @@ def latest_metadata(rows: DataFrame, key: str, ordinal: str = "ordinal") -> Data
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(ordinal)))).where("_n = 1").drop("_n")
 
 
+#: How a hospital's share of a value differs from the population's: by kind of value, a factor.
+_FACTORS = {
+    "education": lambda v: 0.9 + 0.2 * F.pmod(F.xxhash64(v), F.lit(10)) / 10,
+    "employment": lambda v: F.lit(1.0),
+    "occupation_major": lambda v: F.when(v.isin("healthcare_practitioners", "healthcare_support"), 3.0).otherwise(0.8),
+    "occupation_detailed": lambda v: F.when(v.rlike("nurse|physician|healthcare"), 5.0).when(v.isin(fixed.RARE_OCCUPATIONS), 0.5).otherwise(1.0),
+    "occupation": lambda v: F.when(v == "healthcare", 5.0).otherwise(1.0),
+}
+
+
+def hospital_scaled(marginals: DataFrame, kind: str, patients: int = fixed.HOSPITAL_POPULATION) -> DataFrame:
+    """Marginals (qi_type, qi_value, frequency, source) as those of a hospital's patients: shares times a factor of the value, counts cut to whole ones.
+
+    A detailed occupation counts 1 at least.  The factor of education varies by a hash of the value; values of a null frequency have no count.
+    """
+    count = (F.col("frequency") * float(patients) * _FACTORS[kind](F.col("qi_value"))).cast("long")
+    count = F.greatest(F.lit(1).cast("long"), count) if kind == "occupation_detailed" else count
+    rows = marginals.withColumn("count", count).where("count is not null").withColumn("frequency", F.col("count") / float(patients))
+    low, high = wald(F.col("frequency"), F.greatest("count", F.lit(1)))
+    return rows.withColumns({"lower_bound": low, "upper_bound": high}).select("qi_type", "qi_value", "count", "frequency", "lower_bound", "upper_bound", "source")
+
+
+def hospital_conditions(spark: SparkSession) -> DataFrame:
+    """Conditions of a hospital's patients, with Wald's bounds over all patients."""
+    rows = spark.createDataFrame([("condition", v, n, f) for v, (n, f) in fixed.HOSPITAL_CONDITIONS.items()], "qi_type string, qi_value string, count long, frequency double")
+    low, high = wald(F.col("frequency"), F.lit(float(fixed.HOSPITAL_POPULATION)))
+    return rows.withColumns({"lower_bound": low, "upper_bound": high, "source": F.lit("HOSPITAL_DX_2024")})
+
+
+def yes_and_no(spark: SparkSession, qi_type: str, yes: int, population: int, source: str) -> DataFrame:
+    """Two marginals: those who have something, and all others of a population."""
+    rows = spark.createDataFrame([(qi_type, "yes", yes), (qi_type, "no", population - yes)], "qi_type string, qi_value string, count long")
+    return with_bounds(rows.withColumn("source", F.lit(source)), F.lit(population))
+
+
 def published(spark: SparkSession) -> DataFrame:
     """The marginals that ship as fixed values: education, employment, occupations, conditions."""
     jobs = spark.createDataFrame(list(fixed.OCCUPATION_COUNTS.items()), "qi_value string, count long")

@@ -213,3 +213,22 @@ def stopped_stream(spark, sf_dir):
     for most in (2, None):
         incremental.run_incremental(spark, f"{folder}/in", docs.schema, work, f"{folder}/out", f"{folder}/state", files_a_batch=1, most_batches=most)
     return spark.read.parquet(f"{folder}/out").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("characters").alias("characters"))
+
+
+_NL = "chr(10)"
+_PARTS = [
+    "'---'", _NL, "'# name: '", "CASE WHEN role = 'system' THEN 'wiki_' ELSE 'RAT-' END", "conv_id", "' (difficulty='", "turn", "', '", "role", "')'", _NL, "'# expected_critical: '", "CASE WHEN role = 'user' THEN 'true' ELSE 'false' END", _NL,
+    "'# rat_difficulty: '", "turn", _NL, "'# rat_scenario: '", "role", _NL, "'# rat_direct_ids: [''role'', ''turn'']'", _NL, "'# rat_indirect_ids: ['''", "role", "''']'", _NL, _NL, "'[START OF TRANSCRIPT]'", _NL, "text", _NL, "'[END OF TRANSCRIPT]'", _NL,
+]
+
+
+@register(f"SELECT conv_id, turn, md5(concat({', '.join(_PARTS)})) AS block_md5 FROM conversations")
+def sample_blocks(spark, sf_dir):
+    """Turns as samples in blocks with their metadata: names, difficulty, scenario, identifiers by map and by list."""
+    turns = table(spark, sf_dir, "conversations")
+    own = F.when(F.col("role") == "system", F.concat(F.lit("wiki_"), F.col("conv_id").cast("string"))).otherwise(F.col("conv_id").cast("string"))
+    samples = turns.select(
+        "conv_id", "turn", own.alias("id"), "text", F.col("turn").alias("difficulty"), F.col("role").alias("scenario"), (F.col("role") == "user").alias("expected_critical"),
+        F.create_map(F.lit("role"), F.col("role"), F.lit("turn"), F.col("turn").cast("string")).alias("direct_identifiers"), F.array("role").alias("indirect_identifiers"),
+    )
+    return samples.select("conv_id", "turn", F.md5(corpus.sample_block(samples)).alias("block_md5"))
