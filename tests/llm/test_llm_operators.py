@@ -348,6 +348,41 @@ def test_scores_stand_alone(spark):
     assert all(abs(whole[i] - parts[i]) <= 1e-9 * abs(whole[i]) for i in whole)
 
 
+def test_score_against_recursion(spark):
+    """The whole score of each text: its language by byte pairs, its words in the tree, its white space, and shares that add up to 1."""
+    texts = {"en": ["the tree of the river", "the  house\nof the tree", "a river"], "de": ["der baum am fluss", "das haus und der baum", "\tder fluss "], "fr": ["la maison", "une riviere la bas"]}
+    rows = [(10 * i + j, t, g) for i, (g, own) in enumerate(texts.items()) for j, t in enumerate(own)]
+    held = [(100, "the baum of la maison", "de"), (101, "", "xx"), (102, None, None), (103, "fluss fluss unknownword", "en")]
+    frame = spark.createDataFrame(rows + held, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["score"] for r in ctw.score_texts(frame, F.col("doc_id") >= 100).collect()}
+    pairs = {g: Counter(p for t in own for p in zip(b"\xff" + t.encode(), t.encode() + b"\xff", strict=True)) for g, own in texts.items()}
+    order = sorted(texts, key=lambda g: (-len(texts[g]), g))
+
+    def language(text):
+        data = text.lower().encode()
+        score = {g: sum(round(1000 * math.log2((pairs[g][p] + 1) / (sum(pairs[g].values()) + 65536))) for p in zip(b"\xff" + data, data + b"\xff", strict=True)) + round(1000 * math.log2((len(texts[g]) + 0.5) / (len(rows) + 1.5))) for g in order}
+        return max(order, key=lambda g: score[g])
+
+    cells, spaces, share = Counter(), np.zeros(64), Counter()
+
+    def coded(word, g):
+        row = ctw.before_word(g) + word + ctw.MARK
+        return [(row[i - ctw.DEPTH : i], row[i]) for i in range(ctw.DEPTH, len(row))]
+
+    for _, t, _ in rows:
+        share[language(t)] += 1
+        for w in t.lower().encode().split():
+            for c in coded(w, language(t)):
+                cells[c] += 1
+        spaces += np.bincount(ctw._gaps([t.lower().encode()])[0], minlength=64)
+    gaps = ctw.gap_model(spaces)
+    for i, t, _ in rows + held:
+        data = (t or "").lower().encode()
+        g = language(t or "")
+        want = sum(_tree_bits(cells, *c) for w in data.split() for c in coded(w, g)) + gaps[ctw._gaps([data])[0]].sum() + math.log10((share[g] + 0.5) / (len(rows) + 1.5))
+        assert abs(got[i] - want) < 1e-7 * abs(want), (i, got[i], want)
+
+
 def test_context_tree(spark, docs):
     rows = ctw.score_texts(docs, held_out(F.col("doc_id"), 7, 2)).collect()
     assert len(rows) == docs.count() and all(r["score"] < 0 for r in rows)

@@ -1,7 +1,8 @@
 """Language-model scoring by context-tree weighting over binary-decomposed byte contexts.
 
-The code of a text begins with its language; then come its words and the white space between them.  Each byte of a word, and
-the word's end, is coded as eight binary choices.  A choice has a context tree of its own over the DEPTH bytes before it; before
+The code of a text begins with the language that its pairs of bytes look like, which the text alone decides (their counts are learned from the
+training texts by their column lang); then come its words and the white space between them.  So a text has one code, and the probabilities of all
+texts add up to no more than 1.  Each byte of a word, and the word's end, is coded as eight binary choices.  A choice has a context tree of its own over the DEPTH bytes before it; before
 a word's first byte stand a start mark and two bytes that tell the language.  A node holds a Krichevsky-Trofimov estimate of the
 training counts, and weighting mixes the estimates of all depths by how well each codes these counts.  Where training never
 came by, the deepest node that it reached has all the weight that is left.  White space is coded by what stands before it.
@@ -39,6 +40,8 @@ SENT_CELLS = 1 << 22
 _PLACE = np.zeros(256, np.uint8)
 _PLACE[[9, 10, 11, 12, 13, 32]] = np.arange(1, 7)
 _CHUNK, _CELLS = 1 << 22, 200_000
+#: Languages that codes tell apart: the most frequent in training, each with a number for every pair of bytes.
+LANGUAGES = 32
 _U8 = np.uint64(8)
 
 
@@ -69,6 +72,65 @@ def _gaps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return 8 * row[:-1] + row[1:], at
 
 
+def _byte_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of neighbouring bytes, marks between the texts included, and the first of each text; each has one at least."""
+    data = np.frombuffer(MARK + b"".join(t + MARK for t in texts), np.uint8)
+    return data[:-1].astype(np.int32) << 8 | data[1:], np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])[:-1]
+
+
+def learn_languages(docs: DataFrame, most: int = LANGUAGES) -> dict:
+    """What languages look like, from texts to learn from (columns lang, text as binary, held_out): names, whole numbers for byte pairs and for each language.
+
+    Without a training text there is one language.  Texts of languages beyond ``most`` are taken for the others' that they look like.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, n in held.items():
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(n[used])], names=["lang", "pair", "n"])
+            held.clear()
+
+        for batch in batches:
+            langs, out = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, texts in _chunks(batch, 1):
+                by_lang: dict[str, list[bytes]] = defaultdict(list)
+                for row, text in enumerate(texts, first):
+                    if not out[row]:
+                        by_lang[langs[row]].append(text)
+                for lang, own in by_lang.items():
+                    n = held.setdefault(lang, np.zeros((1 << 16) + 1, np.int64))
+                    n[:-1] += np.bincount(_byte_pairs(own)[0], minlength=1 << 16)
+                    n[-1] += len(own)
+                if len(held) > 64:
+                    yield from rows()
+        yield from rows()
+
+    counts = docs.select("lang", "text", "held_out").mapInArrow(count, "lang string, pair int, n long").groupBy("lang", "pair").agg(F.sum("n").alias("n"))
+    counts = materialise(counts, "ctw-languages")
+    top = [(r["lang"], r["n"]) for r in counts.where(F.col("pair") == 1 << 16).orderBy(F.desc("n"), "lang").limit(most).collect()] or [("", 0)]
+    names = [g for g, _ in top]
+    n = np.zeros((len(top), 1 << 16))
+    table = counts.where((F.col("pair") < 1 << 16) & F.col("lang").isin(names)).toArrow()  # at most 65,536 rows a language
+    n[np.array([names.index(g) for g in table.column("lang").to_pylist()], np.int64), table.column("pair").to_numpy()] = table.column("n").to_numpy()
+    # Thousandths of bits, as whole numbers: their sums are exact, whatever texts stand beside one.
+    pairs = np.rint(1000 * np.log2((n + 1) / (n.sum(axis=1, keepdims=True) + (1 << 16)))).astype(np.int32)
+    share = np.array([t + 0.5 for _, t in top]) / (sum(t for _, t in top) + 0.5 * len(top))
+    return {"names": names, "pairs": pairs, "share": np.rint(1000 * np.log2(share)).astype(np.int64)}
+
+
+def languages_of(model: dict, texts: list[bytes]) -> list[str]:
+    """The language that each lower-cased text looks like; the more frequent one of equals."""
+    names = model["names"]
+    if len(names) == 1 or not texts:
+        return [names[0]] * len(texts)
+    pair, start = _byte_pairs(texts)
+    likely = [np.add.reduceat(own[pair], start, dtype=np.int64) + share for own, share in zip(model["pairs"], model["share"], strict=True)]
+    return [names[k] for k in np.argmax(likely, axis=0).tolist()]
+
+
 def before_word(lang: str) -> bytes:
     """The DEPTH bytes before a word of a language: two that tell it, and the start mark."""
     code = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFF
@@ -91,8 +153,8 @@ def word_cells(langs: list[str], words: list[bytes]) -> tuple[np.ndarray, np.nda
     return key, first
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """Counts in texts to learn from (columns lang, text as binary, held_out) in one pass: kind 0, a word by language; 1, a pair of places; 2, texts by language.
+def count_words(docs: DataFrame, model) -> DataFrame:
+    """Counts in texts to learn from (columns text as binary, held_out; model: a broadcast of learn_languages()) in one pass: kind 0, a word by language; 1, a pair of places; 2, texts by language.
 
     Words of texts that are held out are there too, with the count that learning gives them (0, if they occur nowhere else).
     """
@@ -105,16 +167,17 @@ def count_words(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(w), kind, np.int32)), pa.array([lang] * len(w), pa.string()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=["kind", "lang", "w", "n"])
 
         for batch in batches:
-            langs, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for first, texts in _chunks(batch, 1):
+            held = batch.column(1).to_pylist()
+            for first, texts in _chunks(batch, 0):
+                langs = languages_of(model.value, texts)
                 for row, text in enumerate(texts, first):
-                    own = words[langs[row]]
+                    own = words[langs[row - first]]
                     if held[row]:
                         for w in set(text.split()):
                             own[w] += 0
                     else:
                         own.update(text.split())
-                        ends[langs[row]] += 1
+                        ends[langs[row - first]] += 1
                 if learned := [t for row, t in enumerate(texts, first) if not held[row]]:
                     pairs += np.bincount(_gaps(learned)[0], minlength=64)
                 if sum(map(len, words.values())) > 500_000:
@@ -129,7 +192,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             for lang, n in ends.items():
                 yield rows(2, lang, [b""], [n])
 
-    partial = docs.select("lang", "text", "held_out").mapInArrow(count, "kind int, lang string, w binary, n long")
+    partial = docs.select("text", "held_out").mapInArrow(count, "kind int, lang string, w binary, n long")
     return materialise(partial.groupBy("kind", "lang", "w").agg(F.sum("n").alias("n")), "ctw-words")
 
 
@@ -341,16 +404,17 @@ def gap_model(pairs: np.ndarray) -> np.ndarray:
 def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", most_sent: int = SENT_CELLS, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Learns from the documents that are not held out and scores all.  The score is log10 of the probability of the text and of
-    its language, which the code begins with; without a column ``lang`` all texts have the same.  A null text is empty: it has its
-    end alone.  Repeated rows count as often as they stand there and score alike.  Very long texts are read whole, one at a time.
+    Learns from the documents that are not held out and scores all.  The score is log10 of the probability of the text's code, which
+    the text alone decides: a column ``lang`` is looked at in training only, to learn what languages look like; without it there is one
+    language.  A null text is empty: it has its end alone.  Repeated rows count as often as they stand there and score alike.  Very long texts are read whole, one at a time.
     The ``frequent`` most frequent words are looked up in a table of bounded size, all others by a join.  No training text: all counts are 0.
     Other columns are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), held_out.alias("held_out"), lang.alias("lang"))
-    counts = count_words(rows)
+    model = spark.sparkContext.broadcast(learn_languages(rows))
+    counts = count_words(rows, model)
     word_key = F.xxhash64(F.concat(F.col("lang").cast("binary"), F.lit(b"\x00"), F.col("w")))  # seed 42
     words = counts.where("kind = 0").select("lang", "w", "n", word_key.alias("k"))
     pairs = np.zeros(64)
@@ -358,7 +422,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
         pairs[r["w"][0]] = r["n"]
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     by_lang = counts.where("kind = 2").groupBy("lang").agg(F.sum("n").alias("texts"))
-    langs = by_lang.count()
+    langs = len(model.value["names"])
     scored_words = score_words(words, weigh(count_cells(words)), most_sent)
     known = words.groupBy(F.xxhash64("w").alias("kw")).agg(F.sum("n").alias("c"))
     table = words.select("k", F.xxhash64("w").alias("kw")).join(scored_words, "k").join(known, "kw").select("k", "c", "lp")
@@ -376,19 +440,18 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, number, log_p, gaps = shared.value
         for batch in batches:
-            every = batch.column(3).to_pylist()
             for first, texts in _chunks(batch, 1):
-                n = len(texts)
+                n, every = len(texts), languages_of(model.value, texts)
                 split = [text.split() for text in texts]
                 size = np.array([len(x) for x in split], np.int64)
                 index: dict[str, dict[bytes, int]] = defaultdict(dict)
                 ids = []
-                for g, x in zip(every[first : first + n], split, strict=True):
+                for g, x in zip(every, split, strict=True):
                     own = index[g]
                     put = own.setdefault
                     ids.append(np.fromiter((put(w, len(own)) for w in x), np.int64, len(x)))
                 offset = dict(zip(index, np.cumsum([0, *map(len, index.values())]).tolist(), strict=False))
-                ids = np.concatenate([i + offset[g] for i, g in zip(ids, every[first : first + n], strict=True)])
+                ids = np.concatenate([i + offset[g] for i, g in zip(ids, every, strict=True)])
                 k = np.fromiter((xxhash.xxh64_intdigest(front + w, 42) for g, own in index.items() for front in [g.encode() + b"\x00"] for w in own), np.uint64, sum(map(len, index.values()))).view(np.int64)
                 spot = np.minimum(np.searchsorted(key, k), max(0, len(key) - 1))
                 hit = key[spot] == k if len(key) else np.zeros(len(k), bool)
@@ -402,7 +465,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 offsets = np.searchsorted(once, np.arange(n + 1) * max(1, len(k))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(i).slice(first, n) for i in (0, 2, 3)), pa.array(size + 1), pa.array(total_of((c > 0).astype(float)).astype(np.int64)), pa.array(total_of(np.log10(c + 1.0))),
+                        *(batch.column(i).slice(first, n) for i in (0, 2)), pa.array(every, pa.string()), pa.array(size + 1), pa.array(total_of((c > 0).astype(float)).astype(np.int64)), pa.array(total_of(np.log10(c + 1.0))),
                         pa.array(total_of(lp) + np.add.reduceat(gaps[pair], start[:-1])), pa.array(np.array([len(x) + 1 for x in texts], np.int64)),
                         pa.ListArray.from_arrays(offsets, pa.array(k[once % max(1, len(k))])), pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
                     ],
@@ -410,12 +473,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
                 )
 
     schema = f"doc_id {id_type}, held_out boolean, lang string, n_tokens long, known long, partial double, score double, bytes long, rest_k array<long>, rest_n array<long>"
-    scored = materialise(rows.mapInArrow(score, schema).withColumn("_row", F.monotonically_increasing_id()), "ctw-scored")
+    scored = materialise(rows.select("doc_id", "text", "held_out").mapInArrow(score, schema).withColumn("_row", F.monotonically_increasing_id()), "ctw-scored")
     rest = scored.select("_row", F.explode(F.arrays_zip("rest_k", "rest_n")).alias("x")).select("_row", F.col("x.rest_k").alias("k"), F.col("x.rest_n").alias("times"))
     times = F.col("times")
     found = rest.join(table.where(F.col("c") < least), "k").groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, times).otherwise(0)).alias("m_known"), F.sum(times * F.log10(F.col("c") + 1)).alias("m_log"), F.sum(times * F.col("lp")).alias("m_score"))
     more = lambda name, zero: F.coalesce(name, F.lit(zero))
-    share = (more("texts", 0) + 0.5) / (ends + 0.5 * (langs + 1))
+    share = (more("texts", 0) + 0.5) / (ends + 0.5 * langs)
     score_all = F.col("score") + more("m_score", 0.0) + F.log10(share)
     return scored.drop("rest_k", "rest_n").join(found, "_row", "left").join(by_lang, "lang", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + more("m_known", 0) + F.lit(int(ends > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
