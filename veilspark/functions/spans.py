@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPAN = "struct<start:int,end:int,value:string,group:string>"
-
 
 def pattern_of(pattern: str, ignore_case: bool = True) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + pattern
@@ -25,14 +23,6 @@ def lowered(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("\u017f"), F.lit("s"))
 
 
-def hinted(low: Column, hints: list[str], found: Column) -> Column:
-    """found, but null where the lowered text has none of the literals that any match must hold: cheap tests before patterns."""
-    some = F.lit(False)
-    for h in hints:
-        some = some | F.contains(low, F.lit(h))
-    return F.when(some, found)
-
-
 #: Arrays grow in blocks of so many elements: what is there already is copied once a block, not once an element.
 BLOCK = 256
 
@@ -68,22 +58,39 @@ def fold(items: Column, element: str, fresh, meets, join) -> Column:
     return let(scan(items, none, element, step), lambda d: F.when(d["at"].isNull(), d["out"]).otherwise(F.array_append(d["out"], d["at"])))
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, value, group>> in code points (end exclusive), in order; empty without a match or for null.
+HIT = "struct<k:int,gaps:array<string>,values:array<string>,groups:array<string>>"
+HIT_SPAN = "struct<k:int,i:int,start:int,end:int,value:string,group:string>"
+
+
+def hits(text: Column, patterns: list[tuple[int, str, int, Column | None]]) -> Column:
+    """array<HIT>: each pattern (number, pattern, group, guard) that matches, with its matches and what lies between them.  A null guard is false, none true."""
 
-    What lies between the matches (split) gives their places.  A guard skips texts without a match.
+    def one(k: int, pattern: str, group: int, guard: Column | None) -> Column:
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else value
+        some = F.rlike(text, F.lit(pattern)) if guard is None else guard & F.rlike(text, F.lit(pattern))
+        return F.when(some, F.struct(F.lit(k).alias("k"), F.split(text, pattern, -1).alias("gaps"), value.alias("values"), groups.alias("groups")).cast(HIT))
+
+    return F.array_compact(F.array(*(one(*p) for p in patterns)))
+
+
+def hit_spans(found: Column) -> Column:
+    """array<HIT_SPAN> of hits(): all matches with their places in code points (end exclusive), by pattern, in order.
+
+    The gaps between the matches give their places.  One expression serves all patterns, however many there are.
     """
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else value
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), value.alias("value"), groups.alias("group"))
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
-        start = at + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["group"].alias("group")).cast(SPAN)
+        start = at["pos"] + F.length(x["gaps"])
+        end = start + F.length(x["values"])
+        new = F.struct(x["k"].alias("k"), at["i"].alias("i"), start.alias("start"), end.alias("end"), x["values"].alias("value"), x["groups"].alias("group")).cast(HIT_SPAN)
+        return F.struct(end.alias("pos"), (at["i"] + 1).alias("i")), new
+
+    def places(h: Column) -> Column:
+        rows = F.transform(F.arrays_zip(h["gaps"].alias("gaps"), h["values"].alias("values"), h["groups"].alias("groups")), lambda x: F.struct(h["k"].alias("k"), x["gaps"].alias("gaps"), x["values"].alias("values"), x["groups"].alias("groups")))
+        return scan(F.filter(rows, lambda x: x["values"].isNotNull()), F.struct(F.lit(0).alias("pos"), F.lit(0).alias("i")), HIT_SPAN, step)["out"]
 
-    found = scan(F.filter(rows, lambda x: x["value"].isNotNull()), F.lit(0), SPAN, step)["out"]
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.flatten(F.transform(found, places))
 
 
 def replace_spans(text: Column, spans: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import fold, let, matches, pattern_of, replace_spans, scan
+from ..functions.spans import fold, hit_spans, hits, let, pattern_of, replace_spans, scan
 
 
 def category(entity: Column) -> Column:
@@ -26,18 +26,21 @@ _MERGED = "struct<start:int,end:int,entity_type:string,category:string,detector:
 
 def evidence(text: Column, types: list[str] | None = None) -> Column:
     """array<struct<start, end, ord, entity_type, category, score, detector>> of every match of every pattern, by place, then by order of the patterns."""
-    order = {entity: sum(len(fixed.PII[e]) for e in (types or list(fixed.PII))[:k]) for k, entity in enumerate(types or list(fixed.PII))}
-    empty = F.array().cast(f"array<{_EVIDENCE}>")
+    every = [(entity, p) for entity in (types or list(fixed.PII)) for p in fixed.PII[entity]]
+    names = F.array(*(F.lit(entity) for entity, _ in every))
 
-    def every(digit: Column) -> Column:
-        parts = []
-        for entity, first in order.items():
-            for i, p in enumerate(fixed.PII[entity]):
-                some = F.contains(text, F.lit(_HINTS[entity][0])) if entity in _HINTS else digit
-                parts.append(F.coalesce(F.when(some, _typed(entity, first + i, matches(text, pattern_of(p)))), empty))
-        return F.array_sort(F.concat(*parts))
+    def found(digit: Column) -> Column:
+        return hits(text, [(k, pattern_of(p), 0, F.contains(text, F.lit(_HINTS[entity][0])) if entity in _HINTS else digit) for k, (entity, p) in enumerate(every)])
 
-    return let(F.rlike(text, F.lit(r"\p{Nd}")), every)
+    def typed(s: Column) -> Column:
+        entity = F.get(names, s["k"])
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), F.struct(s["k"].alias("pattern"), s["i"].alias("match")).alias("ord"), entity.alias("entity_type"), category(entity).alias("category"), F.lit(fixed.PII_SCORE).alias("score"),
+            F.lit("custom_regex").alias("detector"),
+        ).cast(_EVIDENCE)
+
+    spans = hit_spans(let(F.rlike(text, F.lit(r"\p{Nd}")), found))
+    return F.coalesce(F.array_sort(F.transform(spans, typed)), F.array().cast(f"array<{_EVIDENCE}>"))
 
 
 def counts(text: Column, types: list[str] | None = None) -> Column:
@@ -54,11 +57,6 @@ def detect(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
     return rows.select("doc_id", "s.entity_type", "s.start", "s.end", "s.ord", "s.category", "s.score", "s.detector")
 
 
-def _typed(entity: str, ord_: int, spans: Column) -> Column:
-    own = [F.lit(entity).alias("entity_type"), category(F.lit(entity)).alias("category"), F.lit(fixed.PII_SCORE).alias("score"), F.lit("custom_regex").alias("detector")]
-    return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.struct(F.lit(ord_).alias("pattern"), i.alias("match")).alias("ord"), *own).cast(_EVIDENCE))
-
-
 def _overlaps(cur: Column, x: Column) -> Column:
     return x["start"] < cur["end"]
 

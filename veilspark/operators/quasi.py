@@ -8,43 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.spans import fold, hinted, let, lowered, matches, pattern_of
+from ..functions.spans import HIT_SPAN, fold, hit_spans, hits, let, lowered, pattern_of
 
 
 def _literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
 
 
-def _rows(qi_type: str, ord_: int, spans: Column, value, confidence: float, granularity: str = "category", unseen=None, detector: str = "regex") -> Column:
-    unseen = unseen or (lambda s: F.lit(False))
-    made = F.transform(spans, lambda s, i: F.struct(F.lit(qi_type).alias("qi_type"), value(s).alias("value"), s["start"].alias("start"), s["end"].alias("end"), F.lit(confidence).alias("confidence"), F.lit(granularity).alias("granularity"), unseen(s).alias("unseen"), F.lit(detector).alias("detector"), F.struct(F.lit(ord_).alias("pattern"), i.alias("match")).alias("ord")))
-    return F.filter(made, lambda x: x["value"].isNotNull())
-
-
-def _fixed_value(value: str):
-    return lambda s: F.lit(value)
-
-
-def _place(text: Column, word: str) -> Column:
-    """The first place of a word in the lower-cased text, as an array of no or one span."""
-    at = F.instr(F.lower(text), word)
-    span = F.struct((at - 1).alias("start"), (at - 1 + len(word)).alias("end"), F.lit(word).alias("value"), F.lit(word).alias("group"))
-    return F.when(at > 0, F.array(span)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,group:string>>"))
-
-
-def _places(text: Column, values: dict[str, str]) -> Column:
-    """The first places of all words of a small table in the lower-cased text, with their values as groups."""
-    table = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(v).alias("v")) for w, v in values.items()))
-    at = lambda low, x: F.position(x["w"], low)
-    spans = lambda low: F.transform(F.filter(table, lambda x: at(low, x) > 0), lambda x: F.struct((at(low, x) - 1).alias("start"), (at(low, x) - 1 + F.length(x["w"])).alias("end"), x["w"].alias("value"), x["v"].alias("group")))
-    return F.flatten(F.transform(F.array(F.lower(text)), spans))
-
-
-def _first_of(text: Column, values: dict[str, str]) -> Column:
-    """The first place of the first word, in the table's order, that the lower-cased text holds."""
-    return F.slice(_places(text, values), 1, 1)
-
-
 _FOUND = "struct<qi_type:string,value:string,start:int,end:int,confidence:double,granularity:string,unseen:boolean,detector:string,ord:struct<pattern:int,match:int>>"
 #: Literals of which a lowered text must hold one to have a match.
 _AGE, _SEX, _MARITAL, _SPOUSE, _CITIZEN = ["age", "year", "yo", "y/o", "i'm", "iam"], ["male", "man", "boy", "girl"], ["married", "single", "divorced", "widowed", "separated"], ["spouse", "wife", "husband"], ["citizen", "born", "foreign"]
@@ -73,48 +43,112 @@ def found(name: str = "text", types: list[str] | None = None) -> Column:
     return _found_in(SparkSession.getActiveSession().sparkContext.applicationId, name, None if types is None else tuple(types))
 
 
-def _found_with(text: Column, low: Column, digit: Column, types: tuple[str, ...] | None) -> Column:
-    parts: list[tuple[str, Column]] = []
-    empty = F.array().cast(f"array<{_FOUND}>")
-
-    def add(kind: str, hints: list[str] | None, spans, *rest, only: Column | None = None, **named) -> None:
-        if types is not None and kind not in types:
-            parts.append((kind, empty))
-            return
-        rows = _rows(kind, len(parts), spans(), *rest, **named).cast(f"array<{_FOUND}>")
-        rows = hinted(low, hints, rows) if hints else rows
-        parts.append((kind, F.coalesce(rows if only is None else F.when(only, rows), empty)))
-
-    bucket = lambda s: F.when(s["group"].cast("int") <= 120, F.concat((F.floor(s["group"].cast("int") / 5) * 5).cast("string"), F.lit("-"), (F.floor(s["group"].cast("int") / 5) * 5 + 4).cast("string")))
-    lower = lambda s: F.lower(s["group"])
+def _some(low: Column, hints: list[str]) -> Column:
+    out = F.lit(False)
+    for h in hints:
+        out = out | F.contains(low, F.lit(h))
+    return out
+
+
+class _Parts:
+    """Patterns and word tables in the order of detection, with what each says of its matches."""
+
+    def __init__(self, types: tuple[str, ...] | None):
+        self.types, self.patterns, self.words, self.rows = types, [], [], []
+
+    def _row(self, kind: str, confidence: float, granularity: str, detector: str, mode: str, value: str | None) -> int | None:
+        self.rows.append((kind, confidence, granularity, detector, mode, value))
+        return len(self.rows) - 1 if self.types is None or kind in self.types else None
+
+    def pattern(self, kind: str, pattern: str, group: int, mode: str, confidence: float, granularity: str = "category", hints: list[str] | None = None, only: str | None = None, value: str | None = None, ignore_case: bool = True) -> None:
+        """mode: how a match becomes a value; "first" takes the fixed value of the first match alone."""
+        k = self._row(kind, confidence, granularity, "regex", mode, value)
+        if k is not None:
+            self.patterns.append((k, pattern_of(pattern, ignore_case), group, hints, only))
+
+    def table(self, kind: str, values: dict[str, str], confidence: float, granularity: str, detector: str, first: bool = False) -> None:
+        k = self._row(kind, confidence, granularity, detector, "word", None)
+        if k is not None:
+            self.words.append((k, values, first))
+
+
+def _parts(types: tuple[str, ...] | None) -> _Parts:
+    out = _Parts(types)
     for p in fixed.AGE:
-        add("age", _AGE, lambda: matches(text, pattern_of(p), 1), bucket, 0.9, "5yr_bucket", only=digit)
+        out.pattern("age", p, 1, "age", 0.9, "5yr_bucket", _AGE, "digit")
     for p in fixed.SEX:
-        add("sex", _SEX, lambda: matches(text, pattern_of(p), 1), lambda s: _literal_map(fixed.SEX_VALUES)[lower(s)], 0.85)
-    add("marital_status", _MARITAL, lambda: matches(text, pattern_of(fixed.MARITAL), 1), lambda s: _literal_map(fixed.MARITAL_VALUES)[lower(s)], 0.82)
-    add("marital_status", _SPOUSE, lambda: matches(text, pattern_of(fixed.SPOUSE)), _fixed_value("married"), 0.8)
+        out.pattern("sex", p, 1, "sex", 0.85, hints=_SEX)
+    out.pattern("marital_status", fixed.MARITAL, 1, "marital", 0.82, hints=_MARITAL)
+    out.pattern("marital_status", fixed.SPOUSE, 0, "fixed", 0.8, hints=_SPOUSE, value="married")
     for p, value in fixed.CITIZENSHIP:
-        add("citizenship", _CITIZEN, lambda: matches(text, pattern_of(p)), _fixed_value(value), 0.85)
-    race = lambda s: F.coalesce(_literal_map(fixed.RACE_VALUES)[lower(s)], F.replace(lower(s), F.lit(" "), F.lit("_")))
-    add("race", _RACE, lambda: matches(text, pattern_of(fixed.RACE), 1), race, 0.78, unseen=lambda s: lower(s).isin(fixed.RACE_UNSEEN))
-    add("state", list(fixed.STATES), lambda: _places(text, fixed.STATES), lambda s: s["group"], 0.88, "state", detector="gazetteer")
-    add("state", None, lambda: matches(text, pattern_of(fixed.STATE_CODE, False), 1), lambda s: F.when(s["group"].isin(sorted(set(fixed.STATES.values()))), s["group"]), 0.75, "state", only=F.rlike(text, F.lit("[A-Z][A-Z]")))
-    add("occupation", list(fixed.OCCUPATIONS), lambda: _first_of(text, fixed.OCCUPATIONS), lambda s: s["group"], 0.8, "occupation_broad", detector="keyword")
+        out.pattern("citizenship", p, 0, "fixed", 0.85, hints=_CITIZEN, value=value)
+    out.pattern("race", fixed.RACE, 1, "race", 0.78, hints=_RACE)
+    out.table("state", fixed.STATES, 0.88, "state", "gazetteer")
+    out.pattern("state", fixed.STATE_CODE, 1, "code", 0.75, "state", only="capitals", ignore_case=False)
+    out.table("occupation", fixed.OCCUPATIONS, 0.8, "occupation_broad", "keyword", first=True)
     for p, hints in zip(fixed.DATES, _DAY_HINTS, strict=True):
-        add("date", hints, lambda: matches(text, pattern_of(p)), lambda s: s["value"], 0.85, "full_date", only=digit)
+        out.pattern("date", p, 0, "match", 0.85, "full_date", hints, "digit")
     for p, hints in zip(fixed.TIMES, _TIME_HINTS, strict=True):
-        add("time", hints, lambda: matches(text, pattern_of(p)), lambda s: s["value"], 0.8, "time", only=None if hints[0] == "noon" else digit)
+        out.pattern("time", p, 0, "match", 0.8, "time", hints, None if hints[0] == "noon" else "digit")
     for p in fixed.STAMP_FORMS:
-        add("datetime", [":"], lambda: matches(text, pattern_of(p)), lambda s: s["value"], 0.9, "datetime", only=digit)
+        out.pattern("datetime", p, 0, "match", 0.9, "datetime", [":"], "digit")
     for term in fixed.RARE_OCCUPATIONS:
-        add("occupation", [term], lambda: _place(text, term), _fixed_value(term), 0.85, "specific", detector="gazetteer")
+        out.table("occupation", {term: term}, 0.85, "specific", "gazetteer")
     for term in fixed.RARE_DISEASES:
-        add("condition", [term], lambda: _place(text, term), _fixed_value(term.replace(" ", "_").replace("-", "_")), 0.85, detector="gazetteer")
+        out.table("condition", {term: term.replace(" ", "_").replace("-", "_")}, 0.85, "category", "gazetteer")
     for (p, value), hints in zip(fixed.EDUCATION, _EDUCATION, strict=True):
-        add("education", hints, lambda: F.slice(matches(text, pattern_of(p)), 1, 1), _fixed_value(value), 0.8)
+        out.pattern("education", p, 0, "first", 0.8, hints=hints, value=value)
     for (p, value), hints in zip(fixed.EMPLOYMENT, _EMPLOYMENT, strict=True):
-        add("employment", hints, lambda: F.slice(matches(text, pattern_of(p)), 1, 1), _fixed_value(value), 0.82)
-    return F.concat(*(part for kind, part in parts if types is None or kind in types))
+        out.pattern("employment", p, 0, "first", 0.82, hints=hints, value=value)
+    return out
+
+
+def _found_with(text: Column, low: Column, digit: Column, types: tuple[str, ...] | None) -> Column:
+    parts = _parts(types)
+    column = lambda j: F.array(*(F.lit(r[j]) for r in parts.rows))
+    kinds, confidences, granularities, detectors, modes, values = map(column, range(6))
+    lower = lambda s: F.lower(s["group"])
+
+    def value(s: Column) -> Column:
+        mode, group = F.get(modes, s["k"]), s["group"]
+        years = F.when(mode == "age", group).cast("int")
+        bucket = F.when(years <= 120, F.concat((F.floor(years / 5) * 5).cast("string"), F.lit("-"), (F.floor(years / 5) * 5 + 4).cast("string")))
+        return (
+            F.when(mode == "fixed", F.get(values, s["k"])).when((mode == "first") & (s["i"] == 0), F.get(values, s["k"])).when(mode == "age", bucket).when(mode == "sex", _literal_map(fixed.SEX_VALUES)[lower(s)])
+            .when(mode == "marital", _literal_map(fixed.MARITAL_VALUES)[lower(s)]).when(mode == "race", F.coalesce(_literal_map(fixed.RACE_VALUES)[lower(s)], F.replace(lower(s), F.lit(" "), F.lit("_"))))
+            .when((mode == "code") & group.isin(sorted(set(fixed.STATES.values()))), group).when(mode == "word", group).when(mode == "match", s["value"])
+        )
+
+    def row(s: Column) -> Column:
+        unseen = (F.get(modes, s["k"]) == "race") & lower(s).isin(fixed.RACE_UNSEEN)
+        named = {"qi_type": F.get(kinds, s["k"]), "value": value(s), "start": s["start"], "end": s["end"], "confidence": F.get(confidences, s["k"]), "granularity": F.get(granularities, s["k"]), "unseen": unseen, "detector": F.get(detectors, s["k"])}
+        return F.struct(*(c.alias(n) for n, c in named.items()), F.struct(s["k"].alias("pattern"), s["i"].alias("match")).alias("ord")).cast(_FOUND)
+
+    guards = {"digit": digit, "capitals": F.rlike(text, F.lit("[A-Z][A-Z]"))}
+
+    def guard(hints: list[str] | None, only: str | None) -> Column:
+        cheap = F.lit(True) if hints is None else _some(low, hints)
+        return cheap if only is None else guards[only] & cheap
+
+    # Words and what they stand for, sought in the lower-cased text: one table for all.
+    words = [(k, i, w, v, first) for k, table, first in parts.words for i, (w, v) in enumerate(table.items())]
+
+    def place(x: Column, plain: Column) -> Column:
+        at = F.position(x["w"], plain)
+        return F.struct(x["k"].alias("k"), x["i"].alias("i"), (at - 1).alias("start"), (at - 1 + F.length(x["w"])).alias("end"), x["w"].alias("value"), x["v"].alias("group")).cast(HIT_SPAN)
+
+    def word_spans(plain: Column) -> Column:
+        table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(v).alias("v"), F.lit(first).alias("first")) for k, i, w, v, first in words))
+        there = F.filter(table, lambda x: F.contains(plain, x["w"]))
+        # Of a table that gives one value the first word counts.
+        least = lambda rows: F.filter(rows, lambda x, i: ~x["first"] | (i == F.array_position(F.transform(rows, lambda y: y["first"]), True) - 1))
+        return F.transform(let(there, least), lambda x: place(x, plain))
+
+    spans = hit_spans(hits(text, [(k, p, g, guard(hints, only)) for k, p, g, hints, only in parts.patterns]))
+    both = F.concat(spans, let(F.lower(text), word_spans)) if words else spans
+    rows = F.filter(F.transform(both, row), lambda x: x["value"].isNotNull())
+    in_order = F.array_sort(F.transform(rows, lambda x: F.struct(x["ord"].alias("ord"), x.alias("x"))))
+    return F.transform(in_order, lambda y: y["x"])
 
 
 def detect(docs: DataFrame, types: list[str] | None = None) -> DataFrame:
