@@ -71,7 +71,7 @@ def hits(text: Column, patterns: list[tuple[int, str, int, Column | None]]) -> C
         some = F.rlike(text, F.lit(pattern)) if guard is None else guard & F.rlike(text, F.lit(pattern))
         return F.when(some, F.struct(F.lit(k).alias("k"), F.split(text, pattern, -1).alias("gaps"), value.alias("values"), groups.alias("groups")).cast(HIT))
 
-    return F.array_compact(F.array(*(one(*p) for p in patterns)))
+    return F.array_compact(F.array(*(one(*p) for p in patterns))) if patterns else F.array().cast(f"array<{HIT}>")
 
 
 def hit_spans(found: Column) -> Column:
