@@ -440,6 +440,38 @@ def test_toxicity(spark, docs, labels):
     assert crf.toxicity(empty(spark, docs), labels, F.lit(True)).count() == 0
 
 
+def test_toxicity_score_against_recursion(spark, docs, labels):
+    """Every score and span from the model's weights by a plain recursion over words."""
+    usable = ~held_out(F.col("doc_id"), 3, 1)
+    weights, trans, w = crf.train(docs.select("doc_id", "text"), labels, usable)
+    for r in crf.toxicity(docs, labels, usable).collect():
+        known = crf.Words()
+        words = known(crf.words_of((r["text"] or "").encode()))
+        places = known.places
+        emit = [weights[places[x, :4]].sum() + (weights[places[words[t - 1], 4]] if t else 0) + (weights[places[words[t + 1], 5]] if t + 1 < len(words) else 0) for t, x in enumerate(words)]
+        n, a, b = len(emit), [], [(0.0, 0.0)]
+        for t, e in enumerate(emit):
+            a.append((0.0, e) if t == 0 else tuple(x + np.logaddexp(a[-1][0] + trans[0][k], a[-1][1] + trans[1][k]) for k, x in enumerate((0.0, e))))
+        for e in reversed(emit[1:]):
+            b.insert(0, tuple(np.logaddexp(trans[k][0] + b[0][0], trans[k][1] + e + b[0][1]) for k in (0, 1)))
+        p = [1 / (1 + np.exp(x[0] + y[0] - x[1] - y[1])) for x, y in zip(a, b, strict=False)]
+        most, many = max(p, default=0.0), sum(x for x in p if x >= 0.5)
+        cut = min(1 - crf.LEAST, max(crf.LEAST, most))
+        want = 1 / (1 + np.exp(-(w[0] + w[1] * np.log(cut / (1 - cut)) + w[2] * np.log1p(many))))
+        assert abs(r["score"] - want) < 1e-9 and r["predicted"] == int(want >= 0.7) and len(r["spans"]) == sum(x >= 0.5 for x in p[:n])
+
+
+def test_thinned_stretches_keep_their_weight(spark):
+    """Clean stretches that are passed over are made up for by those that are learned from."""
+    rng = random.Random(2)
+    rows = [(" ".join(rng.choice("abcdefghij") * 3 for _ in range(32 * 20)), 0) for _ in range(100)] + [("idiot you " * 8, 1)] * 3
+    sample = spark.createDataFrame(rows, "text string, y int").select(F.col("text").cast("binary").alias("text"), "y")
+    whole = 100 * 20
+    for most in (10_000, 150):
+        _, tags, weight = crf.segments(sample, {b"idiot"}, most)
+        assert abs(weight[~tags.any(axis=1)].sum() - whole) < 0.25 * whole and weight[tags.any(axis=1)].sum() == 3 and len(weight) <= most
+
+
 def test_marginals_of_long_chains():
     rng = np.random.default_rng(0)
     trans, texts = rng.normal(size=(2, 2)), [rng.normal(size=n) for n in (1, 30, 0, 1500, 513)]

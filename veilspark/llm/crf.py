@@ -29,8 +29,8 @@ SEGMENT = 32
 #: Weights of hashed features (as many for words as for their beginnings, endings and lengths); features of a word.
 WEIGHTS, FEATURES = 1 << 16, 6
 PENALTY = np.full(2 * WEIGHTS + 4, 0.5)
-#: Texts are cut into blocks of so many words, each with so many more on either side, where messages have forgotten their start.
-BLOCK, MARGIN = 512, 64
+#: Words of texts that are worked off side by side (at least one text).
+CELLS = 500_000
 OWN = ["score", "predicted", "spans"]
 #: Raw scores are cut at this and 1 minus this before they are calibrated.
 LEAST = 1e-3
@@ -94,28 +94,37 @@ class Words:
         return out
 
 
+#: Of the stretches of texts that aren't toxic one in so many is learned from, by hash, with so many times the weight.
+THINNED = 4
+
+
 def segments(sample: DataFrame, lexicon: set[bytes], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature places of stretches of SEGMENT words (rows, SEGMENT, FEATURES; -1: no word), tags, and how often they occur.
+    """Feature places of stretches of SEGMENT words (rows, SEGMENT, FEATURES; -1: no word), tags, and how much each weighs.
 
-    Those with lexicon words, each text's first and every fourth (by hash) of texts that aren't toxic; of different ones at most
-    ``most``, those with lexicon words first and then by hash: the driver holds no more.
+    All stretches with lexicon words and each text's first count, of other ones of texts that aren't toxic every fourth, four times.  The
+    driver holds at most ``most`` different ones: those with tags come first, then the order is by hash, and those without tags
+    weigh as much more as there are more of them than it holds, so what is left out is made up for.
     """
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, marks = [], []
+            rows, marks, weights = [], [], []
             for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 toxic = [w in shared.value for w in words]
                 for i in range(0, len(words), SEGMENT):
                     part = b" ".join(words[i : i + SEGMENT])
-                    if i == 0 or any(toxic[i : i + SEGMENT]) or (y == 0 and xxhash.xxh32_intdigest(part) % 4 == 0):
+                    sure = i == 0 or any(toxic[i : i + SEGMENT])
+                    if sure or (y == 0 and xxhash.xxh32_intdigest(part) % THINNED == 0):
                         rows.append(part)
                         marks.append(sum(1 << k for k, t in enumerate(toxic[i : i + SEGMENT]) if t and y == 1))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(marks, pa.int64())], names=["x", "marks"])
+                        weights.append(1 if sure else THINNED)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(marks, pa.int64()), pa.array(weights, pa.int64())], names=["x", "marks", "w"])
 
-    found = sample.select("text", "y").mapInArrow(cut, "x binary, marks long").groupBy("x", "marks").agg(F.count("*").alias("n")).orderBy(F.col("marks") == 0, F.xxhash64("x", "marks"), "x").limit(most).toPandas()
+    every = materialise(sample.select("text", "y").mapInArrow(cut, "x binary, marks long, w long").groupBy("x", "marks").agg(F.sum("w").alias("n")), "crf-stretches")
+    clean = every.agg(F.sum(F.when(F.col("marks") == 0, F.col("n")))).first()[0]
+    found = every.orderBy(F.col("marks") == 0, F.xxhash64("x", "marks"), "x").limit(most).toPandas()
     known = Words()
     ids = [known(bytes(x).split()) for x in found["x"]]
     out = np.full((len(ids), SEGMENT, FEATURES), -1, np.int32)
@@ -124,7 +133,9 @@ def segments(sample: DataFrame, lexicon: set[bytes], most: int) -> tuple[np.ndar
         out[row, 1 : len(x), 4] = known.places[x[:-1], 4]
         out[row, : max(0, len(x) - 1), 5] = known.places[x[1:], 5]
     tags = (found["marks"].to_numpy(np.int64)[:, None] >> np.arange(SEGMENT)) & 1 == 1
-    return out, tags, found["n"].to_numpy(np.float64)
+    weight, bare = found["n"].to_numpy(np.float64), ~tags.any(axis=1)
+    weight[bare] *= (clean or 0) / max(1.0, weight[bare].sum())
+    return out, tags, weight
 
 
 def _forward_backward(emit: np.ndarray, trans: np.ndarray, valid: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,19 +176,38 @@ def fit(x: np.ndarray, tags: np.ndarray, times: np.ndarray, rounds: int = 60) ->
 
 
 def marginals(texts: list[np.ndarray], trans: np.ndarray) -> list[np.ndarray]:
-    """Probability of tag 1 for each word of texts given as emissions: blocks of all texts together, those of like length at a time."""
-    out = [np.zeros(len(x)) for x in texts]
-    blocks = [(t, i, max(0, i - MARGIN), min(len(x), i + BLOCK + MARGIN)) for t, x in enumerate(texts) for i in range(0, len(x), BLOCK)]
-    blocks.sort(key=lambda b: b[3] - b[2])
-    for k in range(0, len(blocks), 128):
-        part = blocks[k : k + 128]
-        emit, valid = np.zeros((len(part), part[-1][3] - part[-1][2])), np.zeros((len(part), part[-1][3] - part[-1][2]), bool)
-        for row, (t, _, a, b) in enumerate(part):
-            emit[row, : b - a], valid[row, : b - a] = texts[t][a:b], True
-        p, _ = _forward_backward(emit, trans, valid, np.ones(len(part)))
-        for row, (t, i, a, b) in enumerate(part):
-            own = min(i + BLOCK, b)
-            out[t][i:own] = p[row, i - a : own - a]
+    """Probability of tag 1 for each word of texts given as emissions: messages run over whole texts, those of like length side by side.
+
+    Of two tags only the ratio of the messages counts, in either direction.
+    """
+    out: list[np.ndarray] = [np.zeros(0)] * len(texts)
+    m = np.exp(trans)
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and (stop + 1 - at) * len(texts[order[stop]]) <= CELLS:
+            stop += 1
+        part = [texts[i] for i in order[at:stop]]
+        size = np.array([len(x) for x in part])
+        steps = int(size[-1])
+        e, r, s = (np.ones((steps, len(part))) for _ in range(3))
+        for row, x in enumerate(part):
+            e[: len(x), row] = np.exp(np.clip(x, -30, 30))
+        # The first text that is longer than t: shorter ones have ended.
+        first = np.searchsorted(size, np.arange(steps + 1), side="right")
+        for t in range(steps):
+            k = first[t]
+            x = r[t - 1, k:]
+            r[t, k:] = e[t, k:] if t == 0 else e[t, k:] * (m[0, 1] + x * m[1, 1]) / (m[0, 0] + x * m[1, 0])
+        for t in range(steps - 2, -1, -1):
+            k = first[t + 1]
+            x = e[t + 1, k:] * s[t + 1, k:]
+            s[t, k:] = (m[1, 0] + x * m[1, 1]) / (m[0, 0] + x * m[0, 1])
+        p = r * s / (1 + r * s)
+        for row, i in enumerate(order[at:stop]):
+            out[i] = p[: size[row], row].copy()
+        at = stop
     return out
 
 
@@ -268,7 +298,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 2
     """docs with score, predicted (1 from the threshold on) and spans (start, end in code points, p) of offending words, which replace columns of these names.
 
     ``usable`` says of a doc_id whether its labels may be learned from.  Null and empty texts have no spans and the score of a
-    text without offending words; very long ones are read whole, in blocks.  Without toxic labels all scores are 0.  Rows that repeat
+    text without offending words; of very long ones the messages run over the whole text.  Without toxic labels all scores are 0.  Rows that repeat
     get the same score.  An empty table gives an empty result.
     """
     model = train(docs, labels, usable, sample)
