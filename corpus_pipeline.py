@@ -1,11 +1,17 @@
-"""A corpus pipeline: quality, near-duplicates, benchmark decontamination, mixing, sharding."""
+"""A corpus pipeline: quality, near-duplicates, benchmark decontamination, mixing, sharding.
+
+In all stages rows are told apart by a number of their own, so null and repeated ids and rows that repeat are worked off one by one.  A null text
+is an empty one: it has no words to judge or to match, is a near-duplicate of every other text without words, and has the size 0 in the mix.  Very long texts are read whole.  Columns of other names stay up to the last stage, whatever they are called.  Of
+equal choices the smallest id, then a hash of the text decides.  Empty documents give an empty result; without labels all documents
+are kept, without benchmark items none is contaminated.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialise, unused
+from veilspark.llm.common import discard, materialise, unused
 from veilspark.llm.kneser_ney import kept_documents
 from veilspark.llm.pareto import copies_of, plan_mix, word_count
 from veilspark.llm.sharding import shard_documents
@@ -55,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages one after the other; what a stage has written is deleted once the next one is."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if written is not None:
+            discard(written)
+        written = docs
     return STAGES[-1][1](spark, docs, sf_dir)
