@@ -217,7 +217,7 @@ def gate_features(spark, sf_dir):
     return rounded(gate.features(_identified(spark, sf_dir)).select("doc_id", *GATE_FEATURES))
 
 
-@register()
+@register(span_sql.ROUTED)
 def routed(spark, sf_dir):
     """Every document from detection to its tier."""
     rows = routing(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -121,3 +121,20 @@ feats AS (SELECT doc_id, text, length(text)::INT AS text_length, len(list_filter
   coalesce(disease, false) AS rare_disease, coalesce(occupation, false) AS rare_occupation, coalesce(disease, false) OR coalesce(occupation, false) AS rare, coalesce(unseen, false) AS has_unseen, false AS disagreement, (coalesce(c0, 0) + coalesce(c1, 0))::INT AS mask_count
   FROM documents LEFT JOIN pc USING (doc_id) LEFT JOIN qc USING (doc_id))"""
 GATE_FEATURES = f"WITH {PLAIN}, {FEATURES} SELECT * EXCLUDE (text), round(CASE WHEN text_length > 0 THEN least(1.0, mask_count * {float(gate.MASK_LENGTH)} / text_length) ELSE 0 END, 6)::DOUBLE AS mask_ratio FROM feats"
+_KEY = r"t || '=' || regexp_replace(v, '([\\|=])', '\\\1', 'g')"
+#: k of each document's joint against the joints, pairs and marginals of all documents' own values.
+OWN_K = f"""{_PAIRS}, one AS (SELECT doc_id, t, {_KEY} AS key FROM pairs),
+two AS (SELECT a.doc_id, a.key || '|' || b.key AS key FROM one a JOIN one b ON a.doc_id = b.doc_id AND a.t < b.t),
+three AS (SELECT a.doc_id, a.key || '|' || b.key || '|' || c.key AS key FROM one a JOIN one b ON a.doc_id = b.doc_id AND a.t < b.t JOIN one c ON b.doc_id = c.doc_id AND b.t < c.t),
+tab AS (SELECT key, count(*)::DOUBLE AS c, (SELECT count(*)::DOUBLE FROM documents) AS n, count(*) / (SELECT count(*) FROM documents) AS p FROM (SELECT key FROM one UNION ALL SELECT key FROM two UNION ALL SELECT key FROM three) GROUP BY key),
+j AS (SELECT doc_id, c, p, n FROM (SELECT doc_id, string_agg(key, '|' ORDER BY t) AS key FROM one GROUP BY doc_id) JOIN tab USING (key)),
+pw AS (SELECT doc_id, min(p * n) AS pair FROM two JOIN tab USING (key) GROUP BY doc_id),
+mg AS (SELECT doc_id, min(p * n) AS least FROM one JOIN tab USING (key) GROUP BY doc_id),
+est AS (SELECT d.doc_id, CASE WHEN mg.least IS NULL THEN 'no_qis' WHEN j.c IS NOT NULL THEN 'empirical_joint' WHEN pair IS NOT NULL THEN 'pairwise_min_bound' ELSE 'min_marginal_bound' END AS method,
+  CASE WHEN mg.least IS NULL THEN 'inf'::DOUBLE WHEN j.c IS NOT NULL THEN greatest(0, j.p - 1.96 * sqrt(j.p * (1 - j.p) / j.n)) * j.n WHEN pair IS NOT NULL THEN greatest(1, pair * 0.05) ELSE greatest(1, least * 0.01) END AS k
+  FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id LEFT JOIN pw ON pw.doc_id = d.doc_id LEFT JOIN mg ON mg.doc_id = d.doc_id)"""
+ROUTED = f"""WITH {PLAIN}, {FEATURES}, {OWN_K},
+g0 AS (SELECT f.*, method, k, CASE WHEN k < 5 THEN 'UNSAFE' WHEN date_count >= 3 THEN 'UNCERTAIN' WHEN (qi_count + contextual_count) / greatest(word_count, 1) > 0.1 THEN 'UNCERTAIN' WHEN k >= 20 THEN 'SAFE' WHEN qi_count <= 2 AND NOT rare THEN 'SAFE' ELSE 'UNCERTAIN' END AS g, k < 5 AND method = 'empirical_joint' AS hard FROM feats f JOIN est USING (doc_id)),
+g1 AS (SELECT *, CASE WHEN g = 'UNSAFE' AND method IN ('pairwise_min_bound', 'min_marginal_bound') AND k < 5 THEN 'UNCERTAIN' ELSE g END AS gate_decision FROM g0)
+SELECT doc_id, substr(sha256(text), 1, 32) AS input_hash, method, round(k, 6) AS k_lower, gate_decision, CASE WHEN hard THEN printf('k_lower %.1f below 5', k) ELSE '' END AS hard_stops, CASE WHEN has_unseen AND NOT hard THEN 'unseen_qi_values' ELSE '' END AS flags, direct_count, qis_found,
+  CASE WHEN hard THEN 3 WHEN gate_decision = 'SAFE' THEN CASE WHEN pii_count > 0 THEN 2 ELSE 1 END WHEN gate_decision = 'UNSAFE' THEN 3 ELSE 2 END AS tier FROM g1"""
