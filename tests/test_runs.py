@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.functions import fixed
-from veilspark.operators import corpus, frequency, gate, measure, pii, policy, population, quasi, shuffle, state
+from veilspark.operators import corpus, evaluate, frequency, gate, measure, pii, policy, population, quasi, shuffle, state
 from veilspark.plans import queries
 from veilspark.sources import records, scan
 from veilspark.streaming import incremental
@@ -312,3 +312,20 @@ def test_estimates_without_values(spark):
     assert [got[i]["method"] for i in range(1, 6)] == ["no_qis", "no_patient_qis", "no_normalized_values", "unavailable", "empirical_joint"]
     assert [got[i]["k_lower"] for i in (1, 2)] == [float("inf")] * 2 and got[3]["k_lower"] is None and got[4]["k_lower"] is None and got[5]["k_lower"] == 30
     assert [got[i]["reason"] is None for i in range(1, 6)] == [True, True, False, False, True]
+
+
+def test_configurations_and_lists(spark, tmp_path):
+    for name, ids in (("english", "ab"), ("dutch", "c")):
+        (tmp_path / f"all/config={name}").mkdir(parents=True)
+        (tmp_path / f"all/config={name}/x.json").write_text(json.dumps([{"id": i, "text": i} for i in ids]))
+    read = lambda **more: sorted(r["id"] for r in records.read_samples(spark, f"{tmp_path}/all", **more).collect())
+    assert read() == ["a", "b", "c"] and read(config="english") == ["a", "b"] and read(config="none") == [] and read(lists_only=True) == ["a", "b", "c"]
+    (tmp_path / "all/config=dutch/lone.json").write_text('{"id": "d"}')
+    assert read(config="dutch") == ["c", "d"]
+    with pytest.raises(ValueError, match="lone.json"):
+        read(lists_only=True)
+
+
+def test_direct_or_all(spark):
+    rows = spark.createDataFrame([(0, 3), (2, 3), (None, 4), (None, None), (0, None)], "d int, n int")
+    assert [r[0] for r in rows.select(evaluate.direct_or_all(F.col("d"), F.col("n"))).collect()] == [3, 2, 4, 0, 0]

@@ -19,6 +19,11 @@ def joint_risk(k_lower: Column) -> Column:
     return F.when(k_lower.isNull() | (k_lower == 0) | (k_lower == float("inf")), 0.0).otherwise(F.least(F.lit(1.0), 1 / k_lower))
 
 
+def direct_or_all(direct: Column, identifiers: Column) -> Column:
+    """How many direct identifiers a result counts: where there are none, all identifiers stand for them.  Null counts are 0."""
+    return F.coalesce(F.nullif(F.coalesce(direct, F.lit(0)), F.lit(0)), identifiers, F.lit(0))
+
+
 def summary(results: DataFrame) -> DataFrame:
     """One row: tiers, rates over all rows, finite k, from expected, tier, llm_used, k_lower."""
     n, critical, local = F.count("*"), F.col("expected"), F.col("tier") == 3

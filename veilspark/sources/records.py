@@ -19,9 +19,19 @@ def record_text(text: Column, title: Column, article: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), titled, F.lit(""))
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """The samples of JSON files, each one array of records or one record a file."""
-    return spark.read.schema(SAMPLE).json(path, multiLine=True)
+def read_samples(spark: SparkSession, path: str, config: str | None = None, lists_only: bool = False) -> DataFrame:
+    """The samples of JSON files, each one array of records or one record a file.
+
+    Folders config=NAME partition an export by its configuration: ``config`` reads that one alone.  With ``lists_only`` a file that isn't
+    one array is an error, which names it.
+    """
+    if lists_only:
+        listed = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("ARRAY"), F.lit(False))
+        odd = spark.read.text(path, wholetext=True).where(~listed).select("_metadata.file_name").limit(1).collect()
+        if odd:
+            raise ValueError(f"{odd[0][0]} isn't a JSON list of records")
+    rows = spark.read.schema(SAMPLE).json(path, multiLine=True)
+    return rows if config is None else rows.where(F.col("config") == config).drop("config")
 
 
 def samples(rows: DataFrame, difficulties: list[int] | None = None, most: int | None = None, ordinal: str = "ord") -> DataFrame:
