@@ -25,7 +25,7 @@ WINDOW = 1.5
 #: Collisions that a pair needs.
 COUNT = 2
 #: Vectors a cell from which on it is compared in tiles, and rows of a tile's side.
-CROWDED, BLOCK = 512, 2048
+CROWDED, BLOCK = 128, 2048
 #: Most rows of crowded cells that are broadcast (8 bytes each).
 SENT_CELLS = 100_000
 
