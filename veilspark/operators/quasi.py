@@ -17,13 +17,17 @@ def _literal_map(values: dict[str, str]) -> Column:
 
 _FOUND = "struct<qi_type:string,value:string,start:int,end:int,confidence:double,granularity:string,unseen:boolean,detector:string,ord:struct<pattern:int,match:int>>"
 #: Literals of which a lowered text must hold one to have a match.
-_AGE, _SEX, _MARITAL, _SPOUSE, _CITIZEN = ["age", "year", "yo", "y/o", "i'm", "iam"], ["male", "man", "boy", "girl"], ["married", "single", "divorced", "widowed", "separated"], ["spouse", "wife", "husband"], ["citizen", "born", "foreign"]
+_AGE, _SEX, _MARITAL, _SPOUSE, _CITIZEN = ["age", "year", "yo", "y/o", "i'm", "iam"], [["sex", "gender"], [" male ", " female ", " man ", " woman "], [" male ", " female "]], ["married", "single", "divorced", "widowed", "separated"], ["spouse", "wife", "husband"], ["citizen", "born", "foreign"]
 _RACE = [
     "laotian", "hmong", "cambodian", "vietnamese", "filipin", "chinese", "korean", "japanese", "asian", "pacific", "hawaiian", "samoan", "tongan", "white", "caucasian", "black", "african", "indian",
     "alaska", "native", "indigenous", "hispanic", "latin", "mexican", "rican", "cuban", "eastern", "arab", "races", "multiracial", "mixed",
 ]
-_EDUCATION = [["high school", "hs"], ["ged", "g.e.d."], ["college"], ["associate", "aa", "as"], ["bachelor", "ba", "bs", "b.a.", "b.s."], ["master", "ma", "ms", "m.a.", "m.s."], ["doctor", "ph"], ["md", "m.d.", "medical", "medicine"], ["jd", "j.d.", "law", "juris"], ["drop"], ["education"]]
-_EMPLOYMENT = [["employed", "work"], ["employed", "work", "jobless", "looking"], ["retired", "not"], ["military", "armed", "army", "navy", "air", "marine", "coast"], ["serving", "enlisted", "active"], ["stay", "home", "house"], ["student", "school", "attending"], ["disab"]]
+#: With blanks around it a literal must be a whole word; "degree" may follow without a blank.
+_EDUCATION = [
+    ["high school", " hs ", "hsdiploma", "degree"], [" ged ", "g.e.d."], ["college"], ["associate", " aa ", " as ", "degree"], ["bachelor", " ba ", " bs ", "b.a.", "b.s.", "degree"], ["master", " ma ", " ms ", " mba ", "m.a.", "m.s.", "degree"],
+    ["doctor", " ph", "phd"], [" md ", "m.d.", "medical", "medicine"], [" jd ", "j.d.", " law ", "juris"], ["drop"], ["education"],
+]
+_EMPLOYMENT = [["employed", "work"], ["employed", "work", "jobless", "looking"], ["retired", "working"], ["military", "force", "army", "navy", "marine", "guard"], ["serving", "enlisted", "duty"], ["home", "housew", "househ"], ["student", "school", "attending"], ["disab"]]
 _MONTHS = [m.lower() for m in fixed.SHORT_MONTHS.split("|")]
 _DAY_HINTS = [["/", "-"], _MONTHS, _MONTHS, _MONTHS, ["/", "-"], _MONTHS]
 _TIME_HINTS = [[":"], ["am", "pm", "a.m.", "p.m."], [":"], ["noon", "midnight"], ["clock"]]
@@ -33,8 +37,9 @@ _TIME_HINTS = [[":"], ["am", "pm", "a.m.", "p.m."], [":"], ["noon", "midnight"],
 def _found_in(application: str, name: str, types: tuple[str, ...] | None) -> Column:
     # The expression is large: it is put together once for a column's name and an application.
     text = F.col(name)
-    hints = F.struct(lowered(text).alias("low"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digit"))
-    return let(hints, lambda h: _found_with(text, h["low"], h["digit"], types))
+    words = lambda low: F.concat(F.lit(" "), F.regexp_replace(low, r"(?U)\W+", " "), F.lit(" "))
+    hints = lambda low: F.struct(low.alias("low"), words(low).alias("words"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digit"))
+    return let(let(lowered(text), hints), lambda h: _found_with(text, h, types))
 
 
 def found(name: str = "text", types: list[str] | None = None) -> Column:
@@ -43,10 +48,11 @@ def found(name: str = "text", types: list[str] | None = None) -> Column:
     return _found_in(SparkSession.getActiveSession().sparkContext.applicationId, name, None if types is None else tuple(types))
 
 
-def _some(low: Column, hints: list[str]) -> Column:
+def _some(seen: Column, hints: list[str]) -> Column:
+    """Whether the lowered text has one of the literals; one that begins with a blank is sought among its words."""
     out = F.lit(False)
     for h in hints:
-        out = out | F.contains(low, F.lit(h))
+        out = out | F.contains(seen["words" if h[0] == " " else "low"], F.lit(h))
     return out
 
 
@@ -76,8 +82,8 @@ def _parts(types: tuple[str, ...] | None) -> _Parts:
     out = _Parts(types)
     for p in fixed.AGE:
         out.pattern("age", p, 1, "age", 0.9, "5yr_bucket", _AGE, "digit")
-    for p in fixed.SEX:
-        out.pattern("sex", p, 1, "sex", 0.85, hints=_SEX)
+    for p, hints in zip(fixed.SEX, _SEX, strict=True):
+        out.pattern("sex", p, 1, "sex", 0.85, hints=hints)
     out.pattern("marital_status", fixed.MARITAL, 1, "marital", 0.82, hints=_MARITAL)
     out.pattern("marital_status", fixed.SPOUSE, 0, "fixed", 0.8, hints=_SPOUSE, value="married")
     for p, value in fixed.CITIZENSHIP:
@@ -103,7 +109,7 @@ def _parts(types: tuple[str, ...] | None) -> _Parts:
     return out
 
 
-def _found_with(text: Column, low: Column, digit: Column, types: tuple[str, ...] | None) -> Column:
+def _found_with(text: Column, seen: Column, types: tuple[str, ...] | None) -> Column:
     parts = _parts(types)
     column = lambda j: F.array(*(F.lit(r[j]) for r in parts.rows))
     kinds, confidences, granularities, detectors, modes, values = map(column, range(6))
@@ -124,10 +130,10 @@ def _found_with(text: Column, low: Column, digit: Column, types: tuple[str, ...]
         named = {"qi_type": F.get(kinds, s["k"]), "value": value(s), "start": s["start"], "end": s["end"], "confidence": F.get(confidences, s["k"]), "granularity": F.get(granularities, s["k"]), "unseen": unseen, "detector": F.get(detectors, s["k"])}
         return F.struct(*(c.alias(n) for n, c in named.items()), F.struct(s["k"].alias("pattern"), s["i"].alias("match")).alias("ord")).cast(_FOUND)
 
-    guards = {"digit": digit, "capitals": F.rlike(text, F.lit("[A-Z][A-Z]"))}
+    guards = {"digit": seen["digit"], "capitals": F.rlike(text, F.lit("[A-Z][A-Z]"))}
 
     def guard(hints: list[str] | None, only: str | None) -> Column:
-        cheap = F.lit(True) if hints is None else _some(low, hints)
+        cheap = F.lit(True) if hints is None else _some(seen, hints)
         return cheap if only is None else guards[only] & cheap
 
     # Words and what they stand for, sought in the lower-cased text: one table for all.
