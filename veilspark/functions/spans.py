@@ -66,10 +66,13 @@ def hits(text: Column, patterns: list[tuple[int, str, int, Column | None]]) -> C
     """array<HIT>: each pattern (number, pattern, group, guard) that matches, with its matches and what lies between them.  A null guard is false, none true."""
 
     def one(k: int, pattern: str, group: int, guard: Column | None) -> Column:
-        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else value
-        some = F.rlike(text, F.lit(pattern)) if guard is None else guard & F.rlike(text, F.lit(pattern))
-        return F.when(some, F.struct(F.lit(k).alias("k"), F.split(text, pattern, -1).alias("gaps"), value.alias("values"), groups.alias("groups")).cast(HIT))
+        def hit(values: Column) -> Column:
+            groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else values
+            return F.when(F.size(values) > 0, F.struct(F.lit(k).alias("k"), F.split(text, pattern, -1).alias("gaps"), values.alias("values"), groups.alias("groups")).cast(HIT))
+
+        # A text without a match is searched once, one with matches twice (a third time for a group).
+        found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), hit)
+        return found if guard is None else F.when(guard, found)
 
     return F.array_compact(F.array(*(one(*p) for p in patterns))) if patterns else F.array().cast(f"array<{HIT}>")
 

@@ -17,7 +17,7 @@ BOUNDS = ["conservative_bound", "pairwise_min_bound", "min_marginal_bound"]
 
 def text_features(text: Column) -> list[Column]:
     words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda x: x != ""))
-    return [F.length(text).alias("text_length"), words.alias("word_count"), F.length(F.regexp_replace(text, "[^.!?]", "")).alias("sentence_count")]
+    return [F.length(text).alias("text_length"), words.alias("word_count"), F.regexp_count(text, F.lit("[.!?]")).alias("sentence_count")]
 
 
 def features(docs: DataFrame) -> DataFrame:

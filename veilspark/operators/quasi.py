@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +36,65 @@ _DAY_HINTS = [["/", "-"], _MONTHS, _MONTHS, _MONTHS, ["/", "-"], _MONTHS]
 _TIME_HINTS = [[":"], ["am", "pm", "a.m.", "p.m."], [":"], ["noon", "midnight"], ["clock"]]
 
 
+def _pieces(literal: str) -> list[str]:
+    """What must stand in a text's words for the literal to be there: itself, or what lies between its inner blanks."""
+    return literal.split() if " " in literal.strip() else [literal]
+
+
+def _present_in(literals: list[str]):
+    """A function from a lowered text to those literals (none with an inner blank) that it has; one that begins with a blank must begin a word, one that
+    ends with a blank end it, where words end at anything but a letter a-z, a digit or _, so no whole word is missed.
+
+    Texts are cut at blanks, and the literals are sought in a word when a task meets it first.
+    """
+    whole = {h: re.compile(("(?<![a-z0-9_])" if h[0] == " " else "") + re.escape(h.strip()) + ("(?![a-z0-9_])" if h[-1] == " " else "")) for h in literals if h != h.strip()}
+    bare = {h: h.strip() for h in literals}
+    most, longest = 1 << 18, 64
+
+    @F.pandas_udf("array<string>")
+    def present(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        nothing, some = set(), {}
+
+        def one(text):
+            if text is None:
+                return None
+            if len(nothing) + len(some) > most:
+                nothing.clear()
+                some.clear()
+            has, new = set(), []
+            for word in set(text.split(" ")) - nothing:
+                known = some.get(word)
+                if known is None:
+                    new.append(word)
+                else:
+                    has.update(known)
+            if new:
+                all_new = " ".join(new)
+                likely = [h for h in literals if bare[h] in all_new]
+                for word in new:
+                    own = [h for h in likely if bare[h] in word and (h not in whole or whole[h].search(word))]
+                    has.update(own)
+                    if len(word) <= longest:
+                        if own:
+                            some[word] = own
+                        else:
+                            nothing.add(word)
+            return sorted(has)
+
+        for texts in batches:
+            yield texts.map(one)
+
+    return present
+
+
 @lru_cache(maxsize=16)
 def _found_in(application: str, name: str, types: tuple[str, ...] | None) -> Column:
     # The expression is large: it is put together once for a column's name and an application.
-    text = F.col(name)
-    words = lambda low: F.concat(F.lit(" "), F.regexp_replace(low, r"(?U)\W+", " "), F.lit(" "))
-    hints = lambda low: F.struct(low.alias("low"), words(low).alias("words"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digit"))
-    return let(let(lowered(text), hints), lambda h: _found_with(text, h, types))
+    text, parts = F.col(name), _parts(types)
+    literals = {h for _, _, _, hints, _ in parts.patterns for h in hints or []} | {w for _, table, _ in parts.words for w in table}
+    present = _present_in(sorted({piece for h in literals for piece in _pieces(h)}))
+    hints = lambda has: F.struct(has.alias("literals"), F.rlike(text, F.lit(r"\p{Nd}")).alias("digit"))
+    return let(let(present(lowered(text)), hints), lambda h: _found_with(text, h, parts))
 
 
 def found(name: str = "text", types: list[str] | None = None) -> Column:
@@ -48,11 +103,12 @@ def found(name: str = "text", types: list[str] | None = None) -> Column:
     return _found_in(SparkSession.getActiveSession().sparkContext.applicationId, name, None if types is None else tuple(types))
 
 
-def _some(seen: Column, hints: list[str]) -> Column:
-    """Whether the lowered text has one of the literals; one that begins with a blank is sought among its words."""
-    out = F.lit(False)
+def _some(literals: Column, hints: list[str]) -> Column:
+    """Whether the text may have one of the hints: all pieces of it are among the literals that the text has."""
+    out = F.arrays_overlap(literals, F.array(*(F.lit(h) for h in hints if _pieces(h) == [h]))) if any(_pieces(h) == [h] for h in hints) else F.lit(False)
     for h in hints:
-        out = out | F.contains(seen["words" if h[0] == " " else "low"], F.lit(h))
+        if _pieces(h) != [h]:
+            out = out | F.forall(F.array(*map(F.lit, _pieces(h))), lambda p: F.array_contains(literals, p))
     return out
 
 
@@ -109,8 +165,7 @@ def _parts(types: tuple[str, ...] | None) -> _Parts:
     return out
 
 
-def _found_with(text: Column, seen: Column, types: tuple[str, ...] | None) -> Column:
-    parts = _parts(types)
+def _found_with(text: Column, seen: Column, parts: _Parts) -> Column:
     column = lambda j: F.array(*(F.lit(r[j]) for r in parts.rows))
     kinds, confidences, granularities, detectors, modes, values = map(column, range(6))
     lower = lambda s: F.lower(s["group"])
@@ -133,7 +188,7 @@ def _found_with(text: Column, seen: Column, types: tuple[str, ...] | None) -> Co
     guards = {"digit": seen["digit"], "capitals": F.rlike(text, F.lit("[A-Z][A-Z]"))}
 
     def guard(hints: list[str] | None, only: str | None) -> Column:
-        cheap = F.lit(True) if hints is None else _some(seen, hints)
+        cheap = F.lit(True) if hints is None else _some(seen["literals"], hints)
         return cheap if only is None else guards[only] & cheap
 
     # Words and what they stand for, sought in the lower-cased text: one table for all.
@@ -144,8 +199,8 @@ def _found_with(text: Column, seen: Column, types: tuple[str, ...] | None) -> Co
         return F.struct(x["k"].alias("k"), x["i"].alias("i"), (at - 1).alias("start"), (at - 1 + F.length(x["w"])).alias("end"), x["w"].alias("value"), x["v"].alias("group")).cast(HIT_SPAN)
 
     def word_spans(plain: Column) -> Column:
-        table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(v).alias("v"), F.lit(first).alias("first")) for k, i, w, v, first in words))
-        there = F.filter(table, lambda x: F.contains(plain, x["w"]))
+        table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), F.lit(w).alias("w"), F.lit(max(_pieces(w), key=len)).alias("piece"), F.lit(v).alias("v"), F.lit(first).alias("first")) for k, i, w, v, first in words))
+        there = F.filter(table, lambda x: F.array_contains(seen["literals"], x["piece"]) & F.contains(plain, x["w"]))
         # Of a table that gives one value the first word counts.
         least = lambda rows: F.filter(rows, lambda x, i: ~x["first"] | (i == F.array_position(F.transform(rows, lambda y: y["first"]), True) - 1))
         return F.transform(let(there, least), lambda x: place(x, plain))

@@ -24,3 +24,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly over tasks, however few parts the files can be read in; more tasks for more files."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, 2 * df.rdd.getNumPartitions()))

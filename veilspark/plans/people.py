@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import evaluate, frequency, gate, pii, quasi
-from ..operators.scratch import written
+from ..operators.scratch import spread, written
 from . import queries as base
 from . import span_sql
 from .queries import register, rounded, table
@@ -107,7 +107,7 @@ def routed_people(spark, sf_dir):
     """Notes about people from detection to the tier, with k against the population of all customers, and a model for the uncertain ones."""
     people = _people(spark, sf_dir)
     population = written(frequency.frequency_table(people.where("segment is not null"), _TYPES), "population")
-    notes = quasi.identify(_notes(people)).withColumn("pii", pii.merged(pii.evidence(F.col("text"))))
+    notes = quasi.identify(_notes(spread(people))).withColumn("pii", pii.merged(pii.evidence(F.col("text"))))
     present = F.size(F.filter("qi", lambda q: q["assertion"] == "present"))
     rows = gate.features(notes).select("id", quasi.key_parts(F.col("qi")).alias("pairs"), present.alias("present"), pii.masked(F.col("text"), F.col("pii")).alias("masked"), *base.GATE_FEATURES)
     rows = written(rows, "notes")
