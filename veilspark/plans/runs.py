@@ -203,15 +203,21 @@ def stage_measures(spark, sf_dir):
     return stages.table().select("stage", "rows", F.col("measures")["characters"].cast("long").alias("characters"))
 
 
+#: Texts have about so many bytes a file, and a batch takes so many files at most: a larger input has more batches, not larger tasks.
+_FILE_BYTES, _BATCH_FILES = 32 << 20, 16
+
+
 @register("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS characters FROM documents GROUP BY lang")
 def stopped_stream(spark, sf_dir):
     """Documents streamed in bounded batches: a run that stops after two of them, and one that goes on to the end; each text once."""
     docs = table(spark, sf_dir, "documents").select("lang", "text")
     folder = shared_folder(spark, "batches")
-    docs.repartition(5).write.parquet(f"{folder}/in")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one row
+    files = max(5, -(-size // _FILE_BYTES))
+    docs.repartition(files).write.parquet(f"{folder}/in")
     work = lambda rows: rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("characters"))
     for most in (2, None):
-        incremental.run_incremental(spark, f"{folder}/in", docs.schema, work, f"{folder}/out", f"{folder}/state", files_a_batch=1, most_batches=most)
+        incremental.run_incremental(spark, f"{folder}/in", docs.schema, work, f"{folder}/out", f"{folder}/state", files_a_batch=min(_BATCH_FILES, files // 5), most_batches=most)
     return spark.read.parquet(f"{folder}/out").groupBy("lang").agg(F.sum("n").alias("n"), F.sum("characters").alias("characters"))
 
 
