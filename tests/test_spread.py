@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators import quasi
-from veilspark.plans import people
+from veilspark.plans import people, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +30,10 @@ def test_notes_are_made_in_many_tasks(spark, monkeypatch):
     assert shares[0] < 0.5
 
 
+def test_documents_are_searched_in_many_tasks(spark):
+    assert _most_in_one_task(queries._identified(spark, SF).select("doc_id")) < 0.5
+
+
 def test_texts_are_not_searched_literal_by_literal(spark):
     plan = quasi.identify(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().optimizedPlan().toString().lower()
     assert plan.count("contains(") < 20

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.spans import let, pattern_of
 from ..operators import census, corpus, evaluate, frequency, gate, pii, population, quasi
-from ..operators.scratch import written
+from ..operators.scratch import spread, written
 from ..sources import records
 from ..streaming.incremental import run_windowed_counts
 from . import span_sql
@@ -88,7 +88,7 @@ def pii_counts(spark, sf_dir):
 
 def _identified(spark, sf_dir, pii_too: bool = True) -> DataFrame:
     """Documents with merged identifier spans and quasi-identifiers, found within the row."""
-    docs = quasi.identify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = quasi.identify(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return docs.withColumn("pii", pii.merged(pii.evidence(F.col("text")))) if pii_too else docs
 
 
