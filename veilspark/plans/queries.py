@@ -220,7 +220,7 @@ def gate_features(spark, sf_dir):
 @register(span_sql.ROUTED)
 def routed(spark, sf_dir):
     """Every document from detection to its tier."""
-    rows = routing(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = routing(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rounded(rows.select("doc_id", "input_hash", "method", "k_lower", "gate_decision", F.array_join("hard_stop_reasons", "; ").alias("hard_stops"), F.array_join("uncertainty_flags", ",").alias("flags"), "direct_count", "qis_found", "tier"))
 
 
